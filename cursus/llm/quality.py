@@ -67,6 +67,11 @@ def n_repeat_words() -> Column:
     return F.when(F.size("__words") > WINDOW, found).otherwise(F.lit(0)).cast("long")
 
 
+def n_stutters() -> Column:
+    """Words equal to the word after them."""
+    return F.size(F.filter("__words", lambda w, i: F.coalesce(w == F.get("__words", i + 1), F.lit(False))))
+
+
 def alpha_words() -> Column:
     return F.size(F.filter("__words", lambda w: F.rlike(w, F.lit(r"\p{L}"))))
 
@@ -77,7 +82,8 @@ RULES = {
     "repeated_windows": lambda: 100 * n_repeat_words() > 20 * n_words(),
     "symbols": lambda: 10 * n_symbols() > 3 * n_words(),
     "word_length": lambda: (word_chars() < 2 * n_words()) | (word_chars() > 20 * n_words()),
-    "repeated_lines": lambda: 10 * n_dup_lines() > 3 * F.size(_lines(F.col("__text"))),
+    "repeated_lines": lambda: 2 * n_dup_lines() > F.size(_lines(F.col("__text"))),
+    "stutter": lambda: 10 * n_stutters() > 4 * F.size("__words"),
     "few_letters": lambda: 10 * alpha_words() < 6 * F.size("__words"),
 }
 BASE = ("too_few_words", "repeated_windows")
@@ -88,9 +94,14 @@ def _with_words(docs: DataFrame) -> DataFrame:
     return text.withColumn("__words", words(F.col("__text")))
 
 
-def measured(docs: DataFrame, sample_rows: int = 500) -> dict[str, tuple[float, float]]:
-    """Seconds and share of rejected documents by rule, on at most sample_rows documents. It settles the order only."""
-    sample = _with_words(docs.select("text").limit(sample_rows)).persist()
+def measured(docs: DataFrame, sample_rows: int = 200, sample_bytes: int = 65_536) -> dict[str, tuple[float, float]]:
+    """Seconds and share of rejected documents by rule. It settles the order only.
+
+    The sample is the first sample_rows texts of at most sample_bytes bytes: take() reads a few partitions,
+    and no more than their product comes to the driver.
+    """
+    short = docs.select("text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes)
+    sample = _with_words(docs.sparkSession.createDataFrame(short.take(sample_rows), short.schema).coalesce(1)).persist()
     try:
         rows = sample.count()
         out = {}
@@ -108,7 +119,7 @@ def cascade_order(figures: dict[str, tuple[float, float]]) -> list[str]:
     return sorted(figures, key=lambda r: (-figures[r][1] / max(figures[r][0], 1e-6), figures[r][0], r))
 
 
-def judged(docs: DataFrame, sample_rows: int = 500) -> DataFrame:
+def judged(docs: DataFrame, sample_rows: int = 200) -> DataFrame:
     """docs with __text, __words and __rejected_by (null: kept); each rule runs on what the earlier ones left."""
     df = _with_words(docs).withColumn("__rejected_by", F.lit(None).cast("string"))
     for name in cascade_order(measured(docs, sample_rows)):
@@ -117,12 +128,12 @@ def judged(docs: DataFrame, sample_rows: int = 500) -> DataFrame:
     return df
 
 
-def quality_filter(docs: DataFrame, sample_rows: int = 500) -> DataFrame:
+def quality_filter(docs: DataFrame, sample_rows: int = 200) -> DataFrame:
     """The documents that no rule rejects, with the columns of docs."""
     return judged(docs, sample_rows).where(F.col("__rejected_by").isNull()).select(*docs.columns)
 
 
-def quality_report(docs: DataFrame, sample_rows: int = 500) -> DataFrame:
+def quality_report(docs: DataFrame, sample_rows: int = 200) -> DataFrame:
     """The counts behind the rules, base_failed, kept and rejected_by for each row."""
     counts = judged(docs.select("doc_id", "text"), sample_rows).select(
         "doc_id", n_words().alias("n_words"), word_chars().alias("word_chars"), n_symbols().alias("n_symbols"),
@@ -140,7 +151,8 @@ WITH t AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
          CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
          list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
-         CAST(len(list_filter(w, lambda x: regexp_matches(x, '\pL'))) AS BIGINT) AS alpha
+         CAST(len(list_filter(w, lambda x: regexp_matches(x, '\pL'))) AS BIGINT) AS alpha,
+         CAST(len(list_filter(w, lambda x, i: x = w[i + 1])) AS BIGINT) AS stutters
   FROM t
 ), g AS (
   SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM t
@@ -151,13 +163,13 @@ WITH t AS (
   FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM c WHERE n > 1) GROUP BY doc_id
 ), k AS (
   SELECT m.doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-         coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines, alpha
+         coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines, alpha, stutters
   FROM m LEFT JOIN r ON r.doc_id = m.doc_id
 ), b AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM k
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-            OR 10 * n_dup_lines > 3 * n_lines OR 10 * alpha < 6 * n_words) AS kept
+            OR 2 * n_dup_lines > n_lines OR 10 * stutters > 4 * n_words OR 10 * alpha < 6 * n_words) AS kept
 FROM b
 """

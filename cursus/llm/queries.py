@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality
+from . import bpe, exact_dedup, packing, quality, token_counts
 from .common import documents
 
 
+def op1_packing(spark, sf_dir):
+    return packing.pieces_digest(packing.pack(documents(spark, sf_dir)))
+
+
+def op4_token_counts(spark, sf_dir):
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op8_bpe(spark, sf_dir):
+    return bpe.digest(bpe.decode(bpe.encode(documents(spark, sf_dir))))
+
+
 def op10_quality_rules(spark, sf_dir):
     return quality.quality_report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op7_exact_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op4_token_counts, op7_exact_dedup, op8_bpe, op10_quality_rules)}
 ORACLE_SQL = {"op7_exact_dedup": exact_dedup.SQL, "op10_quality_rules": quality.SQL}
