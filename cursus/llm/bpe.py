@@ -11,8 +11,9 @@ table gives an empty result; further columns play no part.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .tokens import CHUNK, Remembered, in_slices, tokenizer_path
+from .tokens import CHUNK, Remembered, in_slices, of_worker, tokenizer_path
 
 #: Fixed value: the byte-level pre-token pattern that the public tokenizer states.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -41,85 +42,108 @@ class PairIndexBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, names = spec["model"]["vocab"], byte_names()
-        self.of_byte = [vocab[c] for c in names]
-        #: rank by pair, and what each rank joins
-        self.rank: dict[int, int] = {}
-        self.joins: list[tuple[int, int, int]] = []
-        for pair in spec["model"]["merges"]:
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.rank[vocab[a] << 32 | vocab[b]] = len(self.joins)
-            self.joins.append((vocab[a], vocab[b], vocab[a + b]))
+        self.of_byte = np.array([vocab[c] for c in names], np.int64)
+        pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in spec["model"]["merges"]]
+        #: what each rank joins, and the ranks in the order of their pairs
+        self.joins = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
+        keys = np.array([a << 32 | b for a, b, _ in self.joins], np.int64)
+        self.key_ranks = np.argsort(keys)
+        self.keys = keys[self.key_ranks]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         back = {c: b for b, c in enumerate(names)}
         self.bytes_of = {i: bytes(back[c] for c in token) for token, i in vocab.items()} | {i: c.encode() for c, i in self.special.items()}
 
-    def encode_pretokens(self, pretokens: list[bytes]) -> list[list[int]]:
-        of_byte, rank = self.of_byte, self.rank
-        symbols, starts, places = [], [], {}
-        for p in pretokens:
-            starts.append(len(symbols))
-            symbols += [of_byte[b] for b in p]
-            symbols.append(-1)  # no pair crosses it
-        before, after = list(range(-1, len(symbols) - 1)), list(range(1, len(symbols) + 1))
-        for i in range(len(symbols) - 1):
-            if (b := symbols[i + 1]) >= 0 and symbols[i] >= 0 and (r := rank.get(symbols[i] << 32 | b)) is not None:
-                places.setdefault(r, []).append(i)
-        active = list(places)
-        heapify(active)
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, -1 where they don't join."""
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((left >= 0) & (right >= 0) & (self.keys[at] == keys), self.key_ranks[at], -1)
+
+    def encode_pretokens(self, pretokens: list[bytes]) -> list[np.ndarray]:
+        """The ids of each pre-token; -1 stands between two of them, so no pair crosses it."""
+        sizes = np.fromiter(map(len, pretokens), np.int64, len(pretokens))
+        starts = np.concatenate([[0], np.cumsum(sizes + 1)]) + 1
+        symbols = np.full(starts[-1] + 1, -1, np.int64)
+        is_byte = np.ones(len(symbols), bool)
+        is_byte[0], is_byte[-1], is_byte[starts - 1] = False, False, False
+        symbols[is_byte] = self.of_byte[np.frombuffer(b"".join(pretokens), np.uint8)]
+        before, after = np.arange(len(symbols)) - 1, np.arange(len(symbols)) + 1
+        places: dict[int, list[np.ndarray]] = {}
+        active: list[int] = []
+
+        def index(at: np.ndarray, ranks: np.ndarray) -> None:
+            at, ranks = at[ranks >= 0], ranks[ranks >= 0]
+            if not len(at):
+                return
+            order = np.argsort(ranks, kind="stable")
+            at, ranks = at[order], ranks[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            lows, firsts = [0, *cuts.tolist()], ranks[np.concatenate([[0], cuts])].tolist()
+            for r, lo, hi in zip(firsts, lows, [*lows[1:], len(at)], strict=True):
+                if r in places:
+                    places[r].append(at[lo:hi])
+                else:
+                    places[r] = [at[lo:hi]]
+                    heappush(active, r)
+
+        index(np.arange(len(symbols) - 1), self.ranks_of(symbols[:-1], symbols[1:]))
         while active:
             r = heappop(active)
             a, b, new = self.joins[r]
-            for i in sorted(places.pop(r)):
-                j = after[i]
-                if symbols[i] != a or symbols[j] != b:  # a neighbour took one of them
-                    continue
-                symbols[i], symbols[j] = new, -2
-                after[i] = k = after[j]
-                before[k] = i
-                if (s := symbols[k]) >= 0 and (q := rank.get(new << 32 | s)) is not None:
-                    if q in places:
-                        places[q].append(i)
-                    else:
-                        places[q] = [i]
-                        heappush(active, q)
-                h = before[i]
-                if h >= 0 and (s := symbols[h]) >= 0 and (q := rank.get(s << 32 | new)) is not None:
-                    if q in places:
-                        places[q].append(h)
-                    else:
-                        places[q] = [h]
-                        heappush(active, q)
-        out = []
-        for i in starts:
-            ids = []
-            while symbols[i] >= 0:
-                ids.append(symbols[i])
-                i = after[i]
-            out.append(ids)
-        return out
+            lists = places.pop(r)
+            at = np.unique(np.concatenate(lists)) if len(lists) > 1 else lists[0]
+            at = at[(symbols[at] == a) & (symbols[after[at]] == b)]
+            if a == b and len(at) > 1:  # runs of one symbol: every second place from the left
+                free, taken = [], -1
+                for i in at.tolist():
+                    if i != taken:
+                        free.append(i)
+                        taken = int(after[i])
+                at = np.array(free)
+            if not len(at):
+                continue
+            gone = after[at]
+            beyond = after[gone]
+            symbols[at], symbols[gone] = new, -2
+            after[at], before[beyond] = beyond, at
+            left = before[at]
+            index(np.concatenate([at, left]), self.ranks_of(np.concatenate([symbols[at], symbols[left]]), np.concatenate([symbols[beyond], symbols[at]])))
+        kept = symbols != -2
+        ends = np.cumsum(kept)[starts - 1]
+        ids = symbols[kept]
+        return [ids[lo : hi - 1] for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def remembered(self) -> Remembered:
         """Pieces between white space to their ids, as bytes of little-endian 32-bit integers."""
         import regex
 
         split = regex.compile(PATTERN).findall
+        known = Remembered(lambda pretokens: (x.astype("<i4").tobytes() for x in self.encode_pretokens([p.encode() for p in pretokens])))
+        return Remembered(lambda chunks: map(b"".join, known.of([split(c) for c in chunks])))
 
-        def work(chunks: list[str]) -> Iterator[bytes]:
-            parts = [split(c) for c in chunks]
-            distinct = sorted(set().union(*parts))
-            ids = dict(zip(distinct, (np.array(x, "<i4").tobytes() for x in self.encode_pretokens([d.encode() for d in distinct])), strict=True))
-            return (b"".join(map(ids.__getitem__, p)) for p in parts)
+    def with_specials(self, texts: list[str], remembered: Remembered) -> Iterator[list[bytes]]:
+        """The ids of each text's pieces; where a special string stands, the text falls in parts around its id."""
+        parts: list[list[str]] = [[t] for t in texts]
+        between: dict[int, list[bytes]] = {}
+        for k, t in enumerate(texts):
+            if any(s in t for s in self.special):
+                found = re.split("(" + "|".join(map(re.escape, self.special)) + ")", t)
+                parts[k], between[k] = found[::2], [np.array([self.special[s]], "<i4").tobytes() for s in found[1::2]]
+        values = iter(remembered.of([CHUNK.findall(p) for its in parts for p in its]))
+        for k in range(len(texts)):
+            out = next(values)
+            for special in between.get(k, ()):
+                out = [*out, special, *next(values)]
+            yield out
 
-        return Remembered(work)
 
-    def pieces(self, text: str) -> list[str | int]:
-        """White-space pieces of the text; special strings in it are their id."""
-        out: list[str | int] = [text]
-        for s, i in self.special.items():
-            out = [y for x in out for y in ([x] if isinstance(x, int) or s not in x else [z for part in x.split(s) for z in (part, i)][:-1])]
-        if len(out) == 1:
-            return CHUNK.findall(text)
-        return [y for x in out for y in ([x] if isinstance(x, int) else CHUNK.findall(x))]
+def _encoder(name: str) -> tuple[PairIndexBpe, Remembered]:
+    bpe = PairIndexBpe(tokenizer_path(name))
+    return bpe, bpe.remembered()
+
+
+def _bytes_of(name: str) -> dict[int, bytes]:
+    return PairIndexBpe(tokenizer_path(name)).bytes_of
 
 
 def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
@@ -127,15 +151,9 @@ def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
     kinds = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = PairIndexBpe(tokenizer_path(tokenizer))
-        remembered = bpe.remembered()
+        bpe, remembered = of_worker(_encoder, tokenizer)
         for doc_ids, texts in in_slices(batches):
-            pieces = [bpe.pieces(t) for t in texts]
-            wanted = set().union(*pieces)
-            special = {i: np.array([i], "<i4").tobytes() for i in wanted if isinstance(i, int)}
-            held = remembered.of(wanted - special.keys())
-            held = held | special if special else held
-            data = [b"".join(map(held.__getitem__, p)) for p in pieces]
+            data = [b"".join(x) for x in bpe.with_specials(texts, remembered)]
             ends = np.cumsum([0, *(len(d) // 4 for d in data)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(data), "<i4")))
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), ids], schema=kinds)
@@ -148,7 +166,7 @@ def decode(encoded: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFram
     kinds = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = PairIndexBpe(tokenizer_path(tokenizer)).bytes_of
+        bytes_of = of_worker(_bytes_of, tokenizer)
         for batch in batches:
             ids = batch.column(1)
             if ids.null_count:

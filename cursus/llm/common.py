@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of every contract in this subpackage: space, tab, LF, VT, FF, CR.
@@ -51,15 +51,15 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
 
 
 def one_per_id(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in keep, one row for each id, without moving texts of ids that occur once.
+    """The rows of docs whose doc_id is in keep (__id), one for each id, the longest text of those that repeat one.
 
-    keep: distinct doc_id. Rows without an id match no key and are kept as they are by the callers' rules.
+    Only rows of repeated ids are sorted. A row without doc_id is in no keep.
     """
-    spark = docs.sparkSession
-    twice = written(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    held = docs.join(keep, "doc_id", "left_semi")
+    ids = docs.select(F.col("doc_id").cast("long").alias("__id"))
+    twice = written(ids.groupBy("__id").count().where("count > 1").select("__id"), "twice")
+    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).join(keep, "__id", "left_semi")
     if twice.isEmpty():
-        return held.select(*docs.columns)
-    rest = held.join(twice, "doc_id", "left_anti")
-    again = held.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rest.select(*docs.columns).unionByName(again.select(*docs.columns))
+        return keyed.select(*docs.columns)
+    first = Window.partitionBy("__id").orderBy(F.desc(F.char_length("text")), F.desc("text"))
+    again = keyed.join(twice, "__id", "left_semi").withColumn("__r", F.row_number().over(first)).where("__r = 1")
+    return keyed.join(twice, "__id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))

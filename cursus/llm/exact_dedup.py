@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_of, without_space, written
@@ -101,7 +101,7 @@ def exact_dedup(docs: DataFrame, capacity: int = 50_000) -> DataFrame:
     return kept_rows.unionByName(again.where("__r = 1").select(*docs.columns))
 
 
-def _longest() -> WindowSpec:
+def _longest():
     return Window.partitionBy("doc_id", "__sha").orderBy(F.desc("__n"))
 
 

@@ -12,6 +12,7 @@ play no part. Only open windows and one slice of texts are in memory.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of, written
-from .tokens import WORD, Remembered, in_slices, tokenizer_path
+from .tokens import Remembered, in_slices, of_worker, tokenizer_path, words_of
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -78,39 +79,65 @@ class Rows:
         return out
 
 
+#: Fixed value: the public tokenizer's pre-token pattern, spelt out for lower-case Latin-1 text.
+LATIN_1 = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+
+
 def word_encoder(name: str) -> Remembered:
     """Words to their ids as little-endian unsigned 32-bit integers. This tokenizer drops white space and
-    never looks across it, so a text's ids are those of its words in a row."""
+    never looks across it, so a text's ids are those of its words in a row. Words in Latin-1 go on by pre-token."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path(name))
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    vocab = tokenizer.get_vocab()
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+
+    def one_by_one(words: list[str]) -> Iterator[bytes]:
+        return (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False))
+
+    def pretokens(items: list[str]) -> Iterator[bytes]:
+        """Each ends at the one id that ends a word, so many are encoded in one call."""
+        for i in range(0, len(items), 4096):
+            some = items[i : i + 4096]
+            ids = np.array(tokenizer.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ends[ids]) + 1
+            if len(cuts) == len(some):
+                data, start = ids.tobytes(), 0
+                for end in (cuts * 4).tolist():
+                    yield data[start:end]
+                    start = end
+            else:
+                yield from one_by_one(some)
+
+    known = Remembered(pretokens)
 
-    def work(words: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(words), 4096):
-            for e in tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
+    def words(items: list[str]) -> Iterator[bytes]:
+        latin = [max(w) <= "\xff" and "<|" not in w for w in items]
+        parts = iter(known.of([LATIN_1.findall(w.lower()) for w, plain in zip(items, latin, strict=True) if plain]))
+        others = one_by_one([w for w, plain in zip(items, latin, strict=True) if not plain])
+        return (b"".join(next(parts)) if plain else next(others) for plain in latin)
 
-    return Remembered(work)
+    return Remembered(words)
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, length: int = 4096, windows: int = 32, least_cut: int = 32, merge_partitions: int = 32) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, length: int = 4096, windows: int = 32, least_cut: int = 32, merge_partitions: int = 8) -> DataFrame:
     """One row for each piece: its ids (binary, little-endian unsigned 32-bit) and its place in a sequence."""
     end = np.array([end_id], "<u4").tobytes()
     kinds = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_())])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(tokenizer)
+        encode = of_worker(word_encoder, tokenizer)
         rows = Rows(TaskContext.get().partitionId() << 32)
         packer = Packer(length, windows, least_cut, rows.add)
         as_batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows.take(), kinds.types, strict=True)], schema=kinds)
         for doc_ids, texts in in_slices(batches):
-            words = [WORD.findall(t) for t in texts]
-            held = encode.of(set().union(*words))
-            for doc_id, its in zip(doc_ids, words, strict=True):
-                ids = np.frombuffer(b"".join([*map(held.__getitem__, its), end]), "<u4")
+            for doc_id, found in zip(doc_ids, encode.of(list(map(words_of, texts))), strict=True):
+                found.append(end)
+                ids = np.frombuffer(b"".join(found), "<u4")
                 packer.add(doc_id, 0, ids, len(ids))
             if rows.rows:
                 yield as_batch()

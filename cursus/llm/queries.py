@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, quality, token_counts
+from . import bpe, exact_dedup, packing, quality, simhash, token_counts
 from .common import documents
 
 
@@ -10,6 +10,10 @@ def op1_packing(spark, sf_dir):
     return packing.pieces_digest(packing.pack(documents(spark, sf_dir)))
 
 
+def op2_simhash(spark, sf_dir):
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op4_token_counts(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir))
 
@@ -26,5 +30,5 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality_report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_token_counts, op7_exact_dedup, op8_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op4_token_counts, op7_exact_dedup, op8_bpe, op10_quality_rules)}
 ORACLE_SQL = {"op7_exact_dedup": exact_dedup.SQL, "op10_quality_rules": quality.SQL}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import text_of
-from .tokens import WORD, Remembered, in_slices, tokenizer_path
+from .tokens import Remembered, in_slices, of_worker, tokenizer_path, words_of
 
 MARK = "▁"
 
@@ -33,44 +33,54 @@ class Unigram:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
         total = math.log(sum(1 / (r + 1) for r in range(len(pieces) + 1)))
-        self.score = {p: -math.log(r + 1) - total for r, p in enumerate(pieces)}
+        #: Pieces by character: a node is (score or None, children).
+        self.pieces: list = [None, {}]
+        for r, p in enumerate(pieces):
+            node = self.pieces
+            for c in p:
+                node = node[1].setdefault(c, [None, {}])
+            node[0] = -math.log(r + 1) - total
         self.byte_score = -math.log(len(pieces) + 1) - total
-        self.longest = max(map(len, pieces))
 
     def forward(self, words: list[str]) -> list[tuple[int, float]]:
-        """(tokens, log probability) of the best path of each word."""
-        score, longest, out = self.score.get, self.longest, []
-        root = (0.0, 0, {})
+        """(tokens, log probability) of the best path of each word.
+
+        A node of the words' trie holds its score, its tokens, its children, and the pieces that run on through it.
+        """
+        out, first = [], self.pieces
+        root = (0.0, 0, {}, ())
         for word in words:
-            word = MARK + word
-            node, path = root, [root]
-            for end, c in enumerate(word, 1):
+            node = root
+            for c in MARK + word:
                 child = node[2].get(c)
                 if child is None:
                     n = len(c.encode())
-                    best, tokens = path[-1][0] + n * self.byte_score, path[-1][1] + n
-                    for start in range(end - 1, max(-1, end - 1 - longest), -1):
-                        if (s := score(word[start:end])) is not None:
-                            total, count = path[start][0] + s, path[start][1] + 1
-                            if total > best or total == best and count < tokens:
-                                best, tokens = total, count
-                    child = node[2][c] = (best, tokens, {})
+                    score, tokens = node[0], node[1]
+                    best, count, on = score + n * self.byte_score, tokens + n, []
+                    for s, t, piece in (*node[3], (score, tokens, first)):
+                        if (piece := piece[1].get(c)) is not None:
+                            if (own := piece[0]) is not None and (s + own > best or s + own == best and t + 1 < count):
+                                best, count = s + own, t + 1
+                            if piece[1]:
+                                on.append((s, t, piece))
+                    child = node[2][c] = (best, count, {}, on)
                 node = child
-                path.append(node)
             out.append((node[1], node[0]))
         return out
 
 
+def _scores(name: str) -> Remembered:
+    return Remembered(Unigram(tokenizer_path(name)).forward, 600_000)
+
+
 def token_counts(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model") -> DataFrame:
     """doc_id, n_words, n_tokens, log_prob of each whole text."""
     kinds = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64())])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remembered = Remembered(Unigram(tokenizer_path(tokenizer)).forward)
-        for doc_ids, texts in in_slices(batches):
-            words = [WORD.findall(t) for t in texts]
-            held = remembered.of(set().union(*words))
-            found = [[held[w] for w in its] for its in words]
+        remembered = of_worker(_scores, tokenizer)
+        for doc_ids, texts in in_slices(batches, 1_000_000):
+            found = remembered.of(list(map(words_of, texts)))
             columns = doc_ids, [len(f) for f in found], [sum(n for n, _ in f) for f in found], [math.fsum(s for _, s in f) for f in found]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.types, strict=True)], schema=kinds)
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,29 +27,58 @@ def tokenizer_path(name: str) -> str:
 
 
 class Remembered:
-    """Values of distinct pieces of text, worked out in bulk; at most `most` are held."""
+    """Values of distinct pieces of text, worked out in bulk; at most `most` are held, the oldest half goes first."""
 
-    def __init__(self, work: Callable[[list[str]], Iterable], most: int = 300_000):
+    def __init__(self, work: Callable[[list[str]], Iterable], most: int = 400_000):
         self.work, self.most, self.held = work, most, {}
 
-    def of(self, wanted: set[str]) -> dict:
-        new = wanted - self.held.keys()
-        if len(self.held) + len(new) > self.most:
-            self.held = {}
-            new = wanted
+    def of(self, texts: list[list[str]]) -> list[list]:
+        """The values of the pieces of each text."""
+        found = [list(map(self.held.get, pieces)) for pieces in texts]
+        short = [k for k, values in enumerate(found) if None in values]
+        new = {p for k in short for p, v in zip(texts[k], found[k], strict=True) if v is None}
         if new:
-            new = sorted(new)
-            self.held.update(zip(new, self.work(new), strict=True))
-        return self.held
-
-
-def in_slices(batches: Iterator[pa.RecordBatch], chars: int = 500_000) -> Iterator[tuple[list, list[str]]]:
-    """(doc_ids, texts) of about `chars` characters at a time; a text is never cut."""
-    for batch in batches:
-        ids, texts, held, size = batch.column(0), batch.column(1), 0, 0
-        ends = np.asarray(pc.fill_null(pc.utf8_length(texts), 0))
-        for i, n in enumerate(ends):
-            size += int(n)
-            if size >= chars or i + 1 == len(ends):
-                yield ids.slice(held, i + 1 - held).to_pylist(), texts.slice(held, i + 1 - held).to_pylist()
-                held, size = i + 1, 0
+            if len(self.held) + len(new) > self.most:
+                self.held = dict(islice(self.held.items(), len(self.held) // 2, None))
+            pieces = sorted(new)
+            made = dict(zip(pieces, self.work(pieces), strict=True))
+            self.held.update(made)
+            for k in short:
+                found[k] = [made[p] if v is None else v for p, v in zip(texts[k], found[k], strict=True)]
+        return found
+
+
+_OF_WORKER: dict = {}
+
+
+def of_worker(make: Callable, *args):
+    """make(*args), kept for the later tasks of this Python worker."""
+    if (make, args) not in _OF_WORKER:
+        _OF_WORKER[make, args] = make(*args)
+    return _OF_WORKER[make, args]
+
+
+def words_of(text: str) -> list[str]:
+    """What stands between white space; str.split also parts at four control characters that are none."""
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return WORD.findall(text)
+    return text.split()
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], chars: int = 3_000_000) -> Iterator[tuple[list, list[str]]]:
+    """(doc_ids, texts) of about `chars` characters at a time; a text is never cut.
+
+    The cycle collector rests meanwhile: the operators make millions of small objects and no cycles.
+    """
+    gc.disable()
+    try:
+        for batch in batches:
+            ids, texts, held, size = batch.column(0), batch.column(1), 0, 0
+            ends = np.asarray(pc.fill_null(pc.utf8_length(texts), 0))
+            for i, n in enumerate(ends.tolist()):
+                size += n
+                if size >= chars or i + 1 == len(ends):
+                    yield ids.slice(held, i + 1 - held).to_pylist(), texts.slice(held, i + 1 - held).to_pylist()
+                    held, size = i + 1, 0
+    finally:
+        gc.enable()
