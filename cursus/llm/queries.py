@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, quality, simhash, token_counts
+from . import bpe, class_lm, exact_dedup, packing, quality, secrets, simhash, token_counts, toxicity
 from .common import documents
 
 
@@ -18,6 +18,14 @@ def op4_token_counts(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
+def op5_class_lm(spark, sf_dir):
+    return class_lm.score(documents(spark, sf_dir))
+
+
+def op6_toxicity(spark, sf_dir):
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -26,9 +34,13 @@ def op8_bpe(spark, sf_dir):
     return bpe.digest(bpe.decode(bpe.encode(documents(spark, sf_dir))))
 
 
+def op9_secret_scan(spark, sf_dir):
+    return secrets.digest(secrets.secret_spans(documents(spark, sf_dir)))
+
+
 def op10_quality_rules(spark, sf_dir):
     return quality.quality_report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op4_token_counts, op7_exact_dedup, op8_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op4_token_counts, op5_class_lm, op6_toxicity, op7_exact_dedup, op8_bpe, op9_secret_scan, op10_quality_rules)}
 ORACLE_SQL = {"op7_exact_dedup": exact_dedup.SQL, "op10_quality_rules": quality.SQL}
