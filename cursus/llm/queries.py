@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, class_lm, exact_dedup, packing, quality, secrets, simhash, token_counts, toxicity
+from . import bpe, class_lm, exact_dedup, packing, pii, quality, secrets, simhash, token_counts, toxicity
 from .common import documents
 
 
@@ -14,6 +14,10 @@ def op2_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_pii_surrogates(spark, sf_dir):
+    return pii.replace_pii(documents(spark, sf_dir).select("doc_id", "text"), counts=True)
+
+
 def op4_token_counts(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir))
 
@@ -42,5 +46,5 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality_report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op4_token_counts, op5_class_lm, op6_toxicity, op7_exact_dedup, op8_bpe, op9_secret_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_pii_surrogates, op4_token_counts, op5_class_lm, op6_toxicity, op7_exact_dedup, op8_bpe, op9_secret_scan, op10_quality_rules)}
 ORACLE_SQL = {"op7_exact_dedup": exact_dedup.SQL, "op10_quality_rules": quality.SQL}
