@@ -155,7 +155,7 @@ def search(members: np.ndarray, queries: np.ndarray, shift: int, bits: int, link
                 link(some[i], m[j])
 
 
-def links(fps: DataFrame, bits: int = BITS, sample_rows: int = 4096, shard_rows: int = 16_384, task_queries: int = 65_536) -> DataFrame:
+def links(fps: DataFrame, bits: int = BITS, sample_rows: int = 4096, shard_rows: int = 131_072, task_queries: int = 32_768) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints fps (fp) exactly as all links within `bits` do.
 
     The sample, of at most sample_rows fingerprints, only places the vantage points.
@@ -176,17 +176,19 @@ def links(fps: DataFrame, bits: int = BITS, sample_rows: int = 4096, shard_rows:
                 yield pd.DataFrame({"side": side, "shard": shard, "fp": fp[at], "member": shard == home[at]})
 
     routes = written(fps.select("fp").mapInPandas(routed, "side int, shard long, fp long, member boolean"), "routes")
-    sizes = routes.groupBy("side", "shard").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.select("side", "shard", F.ceil(F.col("n") / task_queries).alias("parts"))
-    sizes = written(sizes, "sizes")  # two rows for each shard of the trees, at most sample_rows / 4
-    routes = routes.join(F.broadcast(sizes), ["side", "shard"])
-    part = F.pmod(F.xxhash64("fp"), "parts")
-    queries = routes.select("side", "shard", part.alias("part"), "fp", F.lit(True).alias("asks"), F.lit(False).alias("member"))
-    members = routes.where("member").select("side", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "fp", F.lit(False).alias("asks"), F.lit(True).alias("member"))
-
-    def searched(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-        members, queries = np.sort(fp[pdf["member"].to_numpy()]), np.sort(fp[pdf["asks"].to_numpy()])
+    sizes = routes.groupBy("side", "shard").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.when(F.col("member"), F.col("fp"))).alias("members"))
+    sizes = sizes.select("side", "shard", F.ceil(F.col("n") / task_queries).alias("parts"), "members")
+    shards_ = written(sizes, "shards")  # a row for each shard of the two trees
+    parts = shards_.select("side", "shard", "parts")
+    queries = routes.select("side", "shard", "fp").join(F.broadcast(parts), ["side", "shard"])
+    queries = queries.select("side", "shard", F.pmod(F.xxhash64("fp"), "parts").alias("part"), "fp")
+    members = shards_.select(F.col("side").alias("s"), F.col("shard").alias("h"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"), "members")
+
+    def searched(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(held):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        members = np.sort(np.asarray(held["members"].iloc[0], np.int64).view(np.uint64))
+        queries = np.sort(asked["fp"].to_numpy(np.int64).view(np.uint64))
         nodes = np.unique(np.concatenate([members, queries]))
         forest = Forest(len(nodes))
         m_at, q_at = np.searchsorted(nodes, members), np.searchsorted(nodes, queries)
@@ -194,7 +196,7 @@ def links(fps: DataFrame, bits: int = BITS, sample_rows: int = 4096, shard_rows:
         tied = np.flatnonzero(forest.parent != np.arange(len(nodes)))
         return pd.DataFrame({"a": nodes[tied].view(np.int64), "b": nodes[forest.parent[tied]].view(np.int64)})
 
-    return queries.unionByName(members).groupBy("side", "shard", "part").applyInPandas(searched, "a long, b long")
+    return queries.groupBy("side", "shard", "part").cogroup(members.groupBy("s", "h", "p")).applyInPandas(searched, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, bits: int = BITS) -> DataFrame:
