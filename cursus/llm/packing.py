@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of, written
-from .tokens import Remembered, in_slices, of_worker, tokenizer_path, words_of
+from .tokens import Remembered, array_slices, distinct_words, of_worker, tokenizer_path
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -116,7 +116,7 @@ def word_encoder(name: str) -> Remembered:
     known = Remembered(pretokens)
 
     def words(items: list[str]) -> Iterator[bytes]:
-        latin = [max(w) <= "\xff" and "<|" not in w for w in items]
+        latin = [(w.isascii() or max(w) <= "\xff" and "\x85" not in w and "\xa0" not in w) and "<|" not in w for w in items]
         parts = iter(known.of([LATIN_1.findall(w.lower()) for w, plain in zip(items, latin, strict=True) if plain]))
         others = one_by_one([w for w, plain in zip(items, latin, strict=True) if not plain])
         return (b"".join(next(parts)) if plain else next(others) for plain in latin)
@@ -126,7 +126,7 @@ def word_encoder(name: str) -> Remembered:
 
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, length: int = 4096, windows: int = 32, least_cut: int = 32, merge_partitions: int = 8) -> DataFrame:
     """One row for each piece: its ids (binary, little-endian unsigned 32-bit) and its place in a sequence."""
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
     kinds = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_())])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,11 +134,18 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
         rows = Rows(TaskContext.get().partitionId() << 32)
         packer = Packer(length, windows, least_cut, rows.add)
         as_batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows.take(), kinds.types, strict=True)], schema=kinds)
-        for doc_ids, texts in in_slices(batches):
-            for doc_id, found in zip(doc_ids, encode.of(list(map(words_of, texts))), strict=True):
-                found.append(end)
-                ids = np.frombuffer(b"".join(found), "<u4")
-                packer.add(doc_id, 0, ids, len(ids))
+        for doc_ids, texts in array_slices(batches, 8_000_000):
+            word_ends, places, words = distinct_words(texts)
+            values = encode.of([words.to_pylist()])[0]
+            flat, sizes = np.frombuffer(b"".join(values), "<u4"), np.fromiter(map(len, values), np.int64, len(values)) // 4
+            starts = np.cumsum(sizes) - sizes
+            each = sizes[places]
+            ends = np.cumsum(each)
+            ids = flat[np.repeat(starts[places] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)]
+            cuts = np.concatenate([[0], ends])[word_ends].tolist()
+            for doc_id, lo, hi in zip(doc_ids.to_pylist(), [0, *cuts[:-1]], cuts, strict=True):
+                own = np.append(ids[lo:hi], end)
+                packer.add(doc_id, 0, own, len(own))
             if rows.rows:
                 yield as_batch()
         for _, pieces in packer.open:

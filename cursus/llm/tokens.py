@@ -65,7 +65,7 @@ def words_of(text: str) -> list[str]:
     return text.split()
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], chars: int = 3_000_000) -> Iterator[tuple[list, list[str]]]:
+def array_slices(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[pa.Array, pa.Array]]:
     """(doc_ids, texts) of about `chars` characters at a time; a text is never cut.
 
     The cycle collector rests meanwhile: the operators make millions of small objects and no cycles.
@@ -78,7 +78,29 @@ def in_slices(batches: Iterator[pa.RecordBatch], chars: int = 3_000_000) -> Iter
             for i, n in enumerate(ends.tolist()):
                 size += n
                 if size >= chars or i + 1 == len(ends):
-                    yield ids.slice(held, i + 1 - held).to_pylist(), texts.slice(held, i + 1 - held).to_pylist()
+                    yield ids.slice(held, i + 1 - held), texts.slice(held, i + 1 - held)
                     held, size = i + 1, 0
     finally:
         gc.enable()
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], chars: int = 3_000_000) -> Iterator[tuple[list, list[str]]]:
+    for ids, texts in array_slices(batches, chars):
+        yield ids.to_pylist(), texts.to_pylist()
+
+
+def distinct_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(ends, places, words): the distinct pieces between ASCII white space, the place among them of each piece
+    of the texts in turn, and how many pieces there are up to the end of each text."""
+    lists = pc.ascii_split_whitespace(texts)
+    sizes = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+    flat = lists.flatten().dictionary_encode()
+    places = flat.indices.to_numpy(zero_copy_only=False)
+    words = flat.dictionary
+    ends = np.cumsum(sizes)
+    empty = pc.index(words, "").as_py()
+    if empty >= 0:  # where a text begins or ends with white space
+        real = places != empty
+        ends = np.concatenate([[0], np.cumsum(real)])[ends]
+        places = places[real]
+    return ends, places, words
