@@ -33,26 +33,26 @@ def _bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def n_words(text: str = "__text") -> Column:
-    return F.size("__words").cast("long")
+def n_words(w: Column) -> Column:
+    return F.size(w).cast("long")
 
 
-def word_chars() -> Column:
-    return F.char_length(F.array_join("__words", "")).cast("long")
+def word_chars(w: Column) -> Column:
+    return F.char_length(F.array_join(w, "")).cast("long")
 
 
-def n_symbols() -> Column:
-    return F.regexp_count(F.col("__text"), F.lit("[#*$%&|<>]")).cast("long")
+def n_symbols(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long")
 
 
-def n_dup_lines() -> Column:
-    return _bind(_lines(F.col("__text")), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+def n_dup_lines(text: Column) -> Column:
+    return _bind(_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def n_repeat_words() -> Column:
+def n_repeat_words(w: Column) -> Column:
     """Words inside windows of five words that occur twice or more; hashes only rule out texts without any."""
-    positions = F.sequence(F.lit(1), F.size("__words") - (WINDOW - 1))
-    hashes = F.transform(positions, lambda i: F.xxhash64(F.slice("__words", i, WINDOW)))
+    positions = F.sequence(F.lit(1), F.size(w) - (WINDOW - 1))
+    hashes = F.transform(positions, lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
 
     def covered(hits: Column) -> Column:
         step = F.transform(hits, lambda p, k: F.least(F.coalesce(F.get(hits, k + 1) - p, F.lit(WINDOW)), F.lit(WINDOW)))
@@ -62,36 +62,45 @@ def n_repeat_words() -> Column:
         same = lambda x, k: F.coalesce(F.get(rows, k)["w"] == x["w"], F.lit(False))
         return F.sort_array(F.transform(F.filter(rows, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))
 
-    exact = _bind(_bind(F.sort_array(F.transform(positions, lambda i: F.struct(F.array_join(F.slice("__words", i, WINDOW), " ").alias("w"), i.alias("i")))), twice), covered)
+    exact = _bind(_bind(F.sort_array(F.transform(positions, lambda i: F.struct(F.array_join(F.slice(w, i, WINDOW), " ").alias("w"), i.alias("i")))), twice), covered)
     found = _bind(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), exact).otherwise(F.lit(0)))
-    return F.when(F.size("__words") > WINDOW, found).otherwise(F.lit(0)).cast("long")
+    return F.when(F.size(w) > WINDOW, found).otherwise(F.lit(0)).cast("long")
 
 
-def n_stutters() -> Column:
+def n_stutters(w: Column) -> Column:
     """Words equal to the word after them."""
-    return F.size(F.filter("__words", lambda w, i: F.coalesce(w == F.get("__words", i + 1), F.lit(False))))
+    return F.size(F.filter(w, lambda x, i: F.coalesce(x == F.get(w, i + 1), F.lit(False))))
 
 
-def alpha_words() -> Column:
-    return F.size(F.filter("__words", lambda w: F.rlike(w, F.lit(r"\p{L}"))))
+def alpha_words(w: Column) -> Column:
+    return F.size(F.filter(w, lambda x: F.rlike(x, F.lit(r"\p{L}"))))
 
 
 #: name -> whether the document fails it. The first two are the base; the others are wide enough for clean prose.
 RULES = {
-    "too_few_words": lambda: F.size("__words") < 10,
-    "repeated_windows": lambda: 100 * n_repeat_words() > 20 * n_words(),
-    "symbols": lambda: 10 * n_symbols() > 3 * n_words(),
-    "word_length": lambda: (word_chars() < 2 * n_words()) | (word_chars() > 20 * n_words()),
-    "repeated_lines": lambda: 2 * n_dup_lines() > F.size(_lines(F.col("__text"))),
-    "stutter": lambda: 10 * n_stutters() > 4 * F.size("__words"),
-    "few_letters": lambda: 10 * alpha_words() < 6 * F.size("__words"),
+    "too_few_words": lambda text, w: F.size(w) < 10,
+    "repeated_windows": lambda text, w: 100 * n_repeat_words(w) > 20 * n_words(w),
+    "symbols": lambda text, w: 10 * n_symbols(text) > 3 * n_words(w),
+    "word_length": lambda text, w: ~word_chars(w).between(2 * n_words(w), 20 * n_words(w)),
+    "repeated_lines": lambda text, w: 2 * n_dup_lines(text) > F.size(_lines(text)),
+    "stutter": lambda text, w: 10 * n_stutters(w) > 4 * F.size(w),
+    "few_letters": lambda text, w: 10 * alpha_words(w) < 6 * F.size(w),
 }
+
 BASE = ("too_few_words", "repeated_windows")
 
 
-def _with_words(docs: DataFrame) -> DataFrame:
-    text = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return text.withColumn("__words", words(F.col("__text")))
+def rejected_by(text: Column, order: list[str]) -> Column:
+    """The first rule that the text fails, null if none: the branches of one CASE, each tried only after the ones
+    before it. The words are bound inside, so the expression can move into a filter without being repeated."""
+
+    def cascade(w: Column) -> Column:
+        out = F
+        for name in order:
+            out = out.when(RULES[name](text, w), F.lit(name))
+        return out
+
+    return _bind(words(text), cascade)
 
 
 def measured(docs: DataFrame, sample_rows: int = 200, sample_bytes: int = 65_536) -> dict[str, tuple[float, float]]:
@@ -101,46 +110,49 @@ def measured(docs: DataFrame, sample_rows: int = 200, sample_bytes: int = 65_536
     and no more than their product comes to the driver.
     """
     short = docs.select("text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes)
-    sample = _with_words(docs.sparkSession.createDataFrame(short.take(sample_rows), short.schema).coalesce(1)).persist()
+    sample = docs.sparkSession.createDataFrame(short.take(sample_rows), short.schema).coalesce(1)
+    sample = sample.select(_text().alias("t"), words(_text()).alias("w")).persist()
     try:
         rows = sample.count()
         out = {}
         for name, fails in RULES.items():
             began = time.perf_counter()
-            failed = sample.select(F.sum(F.when(fails(), 1).otherwise(0))).first()[0] or 0
+            failed = sample.select(F.sum(F.when(fails(F.col("t"), F.col("w")), 1).otherwise(0))).first()[0] or 0
             out[name] = (time.perf_counter() - began, failed / rows if rows else 0.0)
         return out
     finally:
         sample.unpersist()
 
 
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
 def cascade_order(figures: dict[str, tuple[float, float]]) -> list[str]:
     """The most rejection per cost first; rules that reject none by cost."""
     return sorted(figures, key=lambda r: (-figures[r][1] / max(figures[r][0], 1e-6), figures[r][0], r))
 
 
-def judged(docs: DataFrame, sample_rows: int = 200) -> DataFrame:
-    """docs with __text, __words and __rejected_by (null: kept); each rule runs on what the earlier ones left."""
-    df = _with_words(docs).withColumn("__rejected_by", F.lit(None).cast("string"))
-    for name in cascade_order(measured(docs, sample_rows)):
-        so_far = F.col("__rejected_by")
-        df = df.withColumn("__rejected_by", F.when(so_far.isNotNull(), so_far).when(RULES[name](), F.lit(name)))
-    return df
-
-
 def quality_filter(docs: DataFrame, sample_rows: int = 200) -> DataFrame:
     """The documents that no rule rejects, with the columns of docs."""
-    return judged(docs, sample_rows).where(F.col("__rejected_by").isNull()).select(*docs.columns)
+    return docs.where(rejected_by(_text(), cascade_order(measured(docs, sample_rows))).isNull())
 
 
 def quality_report(docs: DataFrame, sample_rows: int = 200) -> DataFrame:
-    """The counts behind the rules, base_failed, kept and rejected_by for each row."""
-    counts = judged(docs.select("doc_id", "text"), sample_rows).select(
-        "doc_id", n_words().alias("n_words"), word_chars().alias("word_chars"), n_symbols().alias("n_symbols"),
-        n_dup_lines().alias("n_dup_lines"), n_repeat_words().alias("n_repeat_words"), "__rejected_by",
+    """The counts behind the rules, base_failed and kept for each row."""
+    order = cascade_order(measured(docs, sample_rows))
+    text, w = F.col("t"), F.col("w")
+    counts = docs.select("doc_id", _text().alias("t")).select("doc_id", "t", words(text).alias("w")).select(
+        "doc_id", n_words(w).alias("n_words"), word_chars(w).alias("word_chars"), n_symbols(text).alias("n_symbols"),
+        n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(w).alias("n_repeat_words"), "t", "w",
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return counts.select("*", failed.alias("base_failed"), F.col("__rejected_by").isNull().alias("kept")).drop("__rejected_by")
+    rest = F
+    for name in order:
+        if name not in BASE:
+            rest = rest.when(RULES[name](text, w), False)
+    kept = F.when(F.col("base_failed"), False).otherwise(rest.otherwise(True))
+    return counts.withColumn("base_failed", failed).withColumn("kept", kept).drop("t", "w")
 
 
 #: DuckDB SQL for the rows of quality_report.
