@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,7 +114,7 @@ def word_encoder(name: str) -> Remembered:
             else:
                 yield from one_by_one(some)
 
-    known = Remembered(pretokens)
+    known = Remembered(pretokens, 1_000_000)
 
     def words(items: list[str]) -> Iterator[bytes]:
         latin = [(w.isascii() or max(w) <= "\xff" and "\x85" not in w and "\xa0" not in w) and "<|" not in w for w in items]
@@ -121,7 +122,15 @@ def word_encoder(name: str) -> Remembered:
         others = one_by_one([w for w, plain in zip(items, latin, strict=True) if not plain])
         return (b"".join(next(parts)) if plain else next(others) for plain in latin)
 
-    return Remembered(words)
+    return Remembered(words, 300_000)
+
+
+def _parted(texts: pa.Array) -> pa.Array:
+    """The texts with A-Z lowered and a comma or full stop at the end of a word apart from it: the tokenizer does both
+    itself, and fewer distinct words are left. Texts that may hold its special strings stay as they are."""
+    if pc.any(pc.match_substring(texts, "<|")).as_py():
+        return texts
+    return pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z0-9])([,.])([ \n])", r"\1 \2\3")
 
 
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, length: int = 4096, windows: int = 32, least_cut: int = 32, merge_partitions: int = 8) -> DataFrame:
@@ -135,7 +144,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
         packer = Packer(length, windows, least_cut, rows.add)
         as_batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows.take(), kinds.types, strict=True)], schema=kinds)
         for doc_ids, texts in array_slices(batches, 8_000_000):
-            word_ends, places, words = distinct_words(texts)
+            word_ends, places, words = distinct_words(_parted(texts))
             values = encode.of([words.to_pylist()])[0]
             flat, sizes = np.frombuffer(b"".join(values), "<u4"), np.fromiter(map(len, values), np.int64, len(values)) // 4
             starts = np.cumsum(sizes) - sizes
