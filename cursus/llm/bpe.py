@@ -118,8 +118,8 @@ class PairIndexBpe:
         import regex
 
         split = regex.compile(PATTERN).findall
-        known = Remembered(lambda pretokens: (x.astype("<i4").tobytes() for x in self.encode_pretokens([p.encode() for p in pretokens])))
-        return Remembered(lambda chunks: map(b"".join, known.of([split(c) for c in chunks])))
+        known = Remembered(lambda pretokens: (x.astype("<i4").tobytes() for x in self.encode_pretokens([p.encode() for p in pretokens])), 250_000)
+        return Remembered(lambda chunks: map(b"".join, known.of([split(c) for c in chunks])), 200_000)
 
     def with_specials(self, texts: list[str], remembered: Remembered) -> Iterator[list[bytes]]:
         """The ids of each text's pieces; where a special string stands, the text falls in parts around its id."""
@@ -152,7 +152,7 @@ def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, remembered = of_worker(_encoder, tokenizer)
-        for doc_ids, texts in in_slices(batches):
+        for doc_ids, texts in in_slices(batches, 2_000_000):
             data = [b"".join(x) for x in bpe.with_specials(texts, remembered)]
             ends = np.cumsum([0, *(len(d) // 4 for d in data)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(data), "<i4")))
