@@ -57,7 +57,7 @@ def one_per_id(docs: DataFrame, keep: DataFrame) -> DataFrame:
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("__id"))
     twice = written(ids.groupBy("__id").count().where("count > 1").select("__id"), "twice")
-    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).join(keep, "__id", "left_semi")
+    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).join(keep.hint("merge"), "__id", "left_semi")
     if twice.isEmpty():
         return keyed.select(*docs.columns)
     first = Window.partitionBy("__id").orderBy(F.desc(F.char_length("text")), F.desc("text"))

@@ -93,7 +93,8 @@ def exact_dedup(docs: DataFrame, capacity: int = 50_000) -> DataFrame:
     # Rows that repeat the id and text of one that stays go by row; all others go by id and digest.
     sha = F.sha2(without_space(F.coalesce(F.col("text"), F.lit(""))), 256)
     keyed = docs.withColumn("__sha", sha)
-    kept_rows = keyed.join(drop, on=keyed["doc_id"].cast("long").eqNullSafe(drop["__id"]) & (keyed["__sha"] == drop["__sha"]), how="left_anti").select(*docs.columns)
+    # A merge join at every size: what is dropped grows with the corpus, and the plan should not change with it.
+    kept_rows = keyed.join(drop.hint("merge"), on=keyed["doc_id"].cast("long").eqNullSafe(drop["__id"]) & (keyed["__sha"] == drop["__sha"]), how="left_anti").select(*docs.columns)
     if both.isEmpty():
         return kept_rows
     again = keyed.join(both, on=keyed["doc_id"].cast("long").eqNullSafe(both["__id"]) & (keyed["__sha"] == both["__sha"]), how="left_semi")
