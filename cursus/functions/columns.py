@@ -50,3 +50,16 @@ def effect_label(d: Column) -> Column:
 
 def share(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
+
+
+def any_of(text: Column, markers) -> Column:
+    """Whether a marker occurs, whatever its case; text is in lower case. No markers: false. Null text: false."""
+    hit = F.lit(False)
+    for m in markers:
+        hit = hit | F.contains(text, F.lit(m.lower()))
+    return F.coalesce(hit, F.lit(False))
+
+
+def total(text: Column, markers) -> Column:
+    """Occurrences of all markers, each counted for itself."""
+    return sum((occurrences(text, m) for m in markers), F.lit(0).cast("long"))
