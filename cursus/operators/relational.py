@@ -30,7 +30,7 @@ def missing_profile(df: DataFrame) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, column: str) -> DataFrame:
     """Bounds at 1.5 interquartile ranges and the rows outside them; the bounds are one row."""
-    q = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = exact_quantiles(df, column, [0.25, 0.75])
     bounds = q.select(*[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "q3"))]).selectExpr("q1", "q3", "q1 - 1.5 * (q3 - q1) AS low", "q3 + 1.5 * (q3 - q1) AS high")
     return df.crossJoin(F.broadcast(bounds)).groupBy("q1", "q3", "low", "high").agg(F.count_if((F.col(column) < F.col("low")) | (F.col(column) > F.col("high"))).alias("outliers"), F.count("*").alias("total"))
 
@@ -41,17 +41,34 @@ def drop_repeats(df: DataFrame, group: str, order: str, value: str) -> DataFrame
     return df.withColumn("__b", before).where(~F.col(value).eqNullSafe(F.col("__b")) | F.col("__b").isNull()).drop("__b")
 
 
-def mid_ranks(df: DataFrame, value: str, bins: int = 64) -> DataFrame:
-    """df with mid_rank, the average rank of ties, and ties; rows with a null value are left out.
+def ordered(df: DataFrame, value: str, bins: int = 64) -> DataFrame:
+    """(value, ties, below, n): each distinct value that isn't null, its rows, the rows before it, all rows.
 
     Distinct values are ordered inside bins between approximate quantiles, so no task sees more than about one bin;
-    the ranks before each bin are one small table. The bins change the work's split, not the ranks.
+    only the bins' totals meet in one task. The bins split the work and don't change the result.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("ties"))
     cuts = counts.agg(F.percentile_approx(value, [i / bins for i in range(1, bins)], 1000).alias("__cuts"))
     binned = counts.crossJoin(F.broadcast(cuts)).withColumn("__bin", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
     sums = binned.groupBy("__bin").agg(F.sum("ties").alias("__s"))
-    before = sums.select("__bin", F.coalesce(F.sum("__s").over(Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    below = F.coalesce(F.sum("ties").over(Window.partitionBy("__bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = binned.join(F.broadcast(before), "__bin").select(value, (F.col("__before") + below + (F.col("ties") + 1) / 2).alias("mid_rank"), "ties")
-    return df.join(ranked, value)
+    before = F.sum("__s").over(Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1))
+    totals = sums.select("__bin", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__s").over(Window.partitionBy()).alias("n"))
+    inside = F.coalesce(F.sum("ties").over(Window.partitionBy("__bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return binned.withColumn("__inside", inside).join(F.broadcast(totals), "__bin").select(value, "ties", (F.col("__before") + F.col("__inside")).alias("below"), "n")
+
+
+def mid_ranks(df: DataFrame, value: str, bins: int = 64) -> DataFrame:
+    """df with mid_rank, the average rank of ties, and ties; rows with a null value are left out."""
+    return df.join(ordered(df, value, bins).select(value, (F.col("below") + (F.col("ties") + 1) / 2).alias("mid_rank"), "ties"), value)
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: list[float], bins: int = 64) -> DataFrame:
+    """One row with q, the linearly interpolated quantiles; no task holds all distinct values. Nulls don't count; q
+    holds nulls where there are no values."""
+    ranked = ordered(df, value, bins)
+    v = F.col(value).cast("double")
+    at = lambda rank: F.max(F.when((F.col("below") <= rank) & (rank < F.col("below") + F.col("ties")), v))
+    place = {s: F.lit(s) * (F.col("n") - 1) for s in shares}
+    ends = [x for i, s in enumerate(shares) for x in (at(F.floor(place[s])).alias(f"lo{i}"), at(F.ceil(place[s])).alias(f"hi{i}"), F.max(place[s] - F.floor(place[s])).alias(f"f{i}"))]
+    parts = [F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"f{i}") for i in range(len(shares))]
+    return ranked.agg(*ends).select(F.array(*parts).alias("q"))

@@ -30,7 +30,7 @@ SCORED_SQL = VIDEOS_SQL + ", scored AS (SELECT *, ln(1 + (3 * comments + likes)
 
 def levelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = scored(spark, sf_dir)
-    cuts = df.agg(F.percentile("score", F.array(F.lit(0.33), F.lit(0.67))).alias("q"))
+    cuts = R.exact_quantiles(df, "score", [0.33, 0.67])
     return df.crossJoin(F.broadcast(cuts)).withColumn("level", C.level(F.col("score"), F.get("q", F.lit(0)), F.get("q", F.lit(1)))).drop("q")
 
 
@@ -96,8 +96,9 @@ def event_mix(spark, sf_dir):
 
 @query("SELECT round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75, round(avg(value), 6) AS mean, round(stddev(value), 6) AS std, round(min(value), 6) AS low, round(max(value), 6) AS high, count(*) AS n FROM events")
 def describe_values(spark, sf_dir):
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = table(spark, sf_dir, "events").agg(q.alias("q"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev("value"), 6).alias("std"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high"), F.count("*").alias("n"))
+    events = table(spark, sf_dir, "events")
+    out = events.agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev("value"), 6).alias("std"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high"), F.count("*").alias("n"))
+    out = out.crossJoin(F.broadcast(R.exact_quantiles(events, "value", [0.25, 0.5, 0.75])))
     return out.select(*[F.round(F.get("q", F.lit(i)), 6).alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "mean", "std", "low", "high", "n")
 
 
@@ -245,7 +246,7 @@ def planned_lookup(spark, sf_dir):
     """State lookup with the table's median for channels that it lacks."""
     df = videos(spark, sf_dir)
     state = df.where("channel_id % 10 <> 0").groupBy("channel_id").agg(F.avg("views").alias("mean_views"))
-    median = state.agg(F.median("mean_views").alias("m"))
+    median = R.exact_quantiles(state, "mean_views", [0.5]).select(F.get("q", F.lit(0)).alias("m"))
     known = F.col("mean_views").isNotNull()
     out = df.join(state, "channel_id", "left").crossJoin(F.broadcast(median))
     return out.select("video_id", F.when(F.col("channel_id") % 10 == 0, "Unknown").otherwise(F.coalesce("subject", F.lit("Unknown"))).alias("subject"), F.round(F.coalesce("mean_views", "m"), 6).alias("channel_views"), known.alias("known_channel"))

@@ -128,3 +128,14 @@ def test_priority(spark):
     full = spark.createDataFrame([(str(i), "m", 0.1 * i) for i in range(4)] + [("b", "global", 0.9)], schema)
     assert {r["subject"] for r in V.prioritised(full, "id", "subject", "m", 5).collect()} == {"m"}
     assert V.prioritised(spark.createDataFrame([("c", "p", 0.8)], schema), "id", "subject", "m", 5).count() == 1
+
+
+def test_exact_quantiles(spark):
+    r = np.random.default_rng(3)
+    values = [float(x) for x in np.round(r.normal(size=501), 2)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    for bins in (2, 64):
+        got = R.exact_quantiles(df, "v", [0.0, 0.33, 0.5, 0.9, 1.0], bins).first()["q"]
+        assert got == pytest.approx(np.quantile(values, [0.0, 0.33, 0.5, 0.9, 1.0]))
+    assert R.exact_quantiles(df.where("v IS NULL"), "v", [0.5]).first()["q"] == [None]
+    assert R.exact_quantiles(df.limit(1), "v", [0.5]).first()["q"] == [values[0]]
