@@ -155,14 +155,18 @@ def search(members: np.ndarray, queries: np.ndarray, shift: int, bits: int, link
                 link(some[i], m[j])
 
 
-def links(fps: DataFrame, bits: int = BITS, sample_rows: int = 4096, shard_rows: int = 131_072, task_queries: int = 32_768) -> DataFrame:
+def links(fps: DataFrame, bits: int = BITS, sample_rows: int = 4096, shard_rows: int = 131_072, task_queries: int = 32_768, most_sample: int = 262_144) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints fps (fp) exactly as all links within `bits` do.
 
-    The sample, of at most sample_rows fingerprints, only places the vantage points.
+    The sample only places the vantage points. It is drawn by hash, eight fingerprints for each shard wanted, from
+    sample_rows to most_sample of them, and no task sees more of it than its own part.
     """
     total = fps.count()
-    sample = np.array([r["fp"] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).collect()], np.int64).view(np.uint64)
-    shards = max(1, min(-(-total // shard_rows), max(1, len(sample) // 8)))
+    wanted = -(-total // shard_rows)
+    drawn = min(most_sample, max(sample_rows, 8 * wanted))
+    picked = written(fps.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, total))) < drawn).select("fp"), "sample")
+    sample = np.sort(np.array([r["fp"] for r in picked.limit(2 * drawn).collect()], np.int64).view(np.uint64))
+    shards = max(1, min(wanted, max(1, len(sample) // 8)))
     shifts = (0, 32)
     trees = [Tree((sample >> np.uint64(s)) & np.uint64(0xFFFFFFFF), shards) for s in shifts]
 
