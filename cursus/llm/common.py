@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of every contract in this subpackage: space, tab, LF, VT, FF, CR.
@@ -50,16 +50,16 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
-def one_per_id(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in keep (__id), one for each id, the longest text of those that repeat one.
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a row key of their own, __row; written, so that every later reading has the same keys."""
+    return written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
 
-    Only rows of repeated ids are sorted. A row without doc_id is in no keep.
-    """
-    ids = docs.select(F.col("doc_id").cast("long").alias("__id"))
-    twice = written(ids.groupBy("__id").count().where("count > 1").select("__id"), "twice")
-    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).join(keep.hint("merge"), "__id", "left_semi")
-    if twice.isEmpty():
-        return keyed.select(*docs.columns)
-    first = Window.partitionBy("__id").orderBy(F.desc(F.char_length("text")), F.desc("text"))
-    again = keyed.join(twice, "__id", "left_semi").withColumn("__r", F.row_number().over(first)).where("__r = 1")
-    return keyed.join(twice, "__id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
+
+def one_per_component(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The numbered rows without their key: of each root's rows in roots (__row, root) the first by doc_id, nulls last,
+    then by key; rows that are in no component all stay."""
+    ids = rows.select("__row", F.col("doc_id").cast("long").alias("id")).join(roots, "__row")
+    first = ids.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("first"))
+    # By row key, so a large component is no burden to a task.
+    drop = written(roots.select("__row").join(first.select(F.col("first.__row").alias("__row")), "__row", "left_anti"), "dropped")
+    return rows.join(drop.hint("merge"), "__row", "left_anti").drop("__row")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_per_id, text_of, written
+from .common import numbered, one_per_component, text_of, written
 from .graph import components
 from .tokens import in_slices
 
@@ -203,18 +203,21 @@ def links(fps: DataFrame, bits: int = BITS, sample_rows: int = 4096, shard_rows:
     return queries.groupBy("side", "shard", "part").cogroup(members.groupBy("s", "h", "p")).applyInPandas(searched, "a long, b long")
 
 
+def rooted(prints: DataFrame, bits: int) -> DataFrame:
+    """prints (doc_id, fp) with the root of each one's component."""
+    roots = written(components(links(prints.select("fp").distinct(), bits)), "roots").select(F.col("node").alias("fp"), "root")
+    return prints.join(roots, "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """doc_id, fingerprint, component_id for each row."""
-    prints = written(fingerprints(docs, words), "prints")
-    roots = written(components(links(prints.select("fp").distinct(), bits)), "roots").select(F.col("node").alias("fp"), "root")
-    prints = prints.join(roots, "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
+    prints = rooted(written(fingerprints(docs, words), "prints"), bits)
     least = prints.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return prints.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, words: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """One document of each component, that with the smallest doc_id, with the columns of docs; a row without
-    doc_id stays only if no row of its component has one."""
-    found = written(near_duplicates(docs.select("doc_id", "text"), words, bits), "components")
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    return one_per_id(docs, keep)
+    """One row of each component, that with the smallest doc_id (nulls last, then by row), with the columns of docs."""
+    rows = numbered(docs)
+    prints = written(fingerprints(rows.select(F.col("__row").alias("doc_id"), "text"), words), "prints")
+    return one_per_component(rows, written(rooted(prints, bits).select(F.col("doc_id").alias("__row"), "root"), "components"))

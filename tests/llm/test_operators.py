@@ -125,6 +125,17 @@ def test_simhash(docs, none):
     assert simhash.near_dedup(docs.where("doc_id IS NOT NULL")).count() == len(set(root.values()))
 
 
+@pytest.mark.parametrize("stage", [simhash.near_dedup, lambda docs: corpus_pipeline.near(None, docs, "")])
+def test_near_dedup_keeps_rows_by_row(spark, stage):
+    r = random.Random(3)
+    a, b, c, d, e = (" ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(60 + 9 * k)) for k in range(5))
+    rows = [(None, a), (1, b), (1, c), (2, d), (2, e), (3, e), (None, d), (0, b)]
+    docs = spark.createDataFrame([(i, t, "en", None, None, None) for i, t in rows], SCHEMA)
+    got = Counter((x["doc_id"], x["text"]) for x in stage(docs).collect())
+    assert got == Counter([(None, a), (0, b), (1, c), (2, d), (2, e)])
+    assert stage(docs.limit(0)).count() == 0
+
+
 def test_links_across_shards(spark):
     r = random.Random(2)
     base = [r.getrandbits(64) for _ in range(300)]
