@@ -125,6 +125,24 @@ def test_simhash(docs, none):
     assert simhash.near_dedup(docs.where("doc_id IS NOT NULL")).count() == len(set(root.values()))
 
 
+def test_near_stage_holds_similarity(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    texts = [[word() for _ in range(120)] for _ in range(12)]
+    near = []
+    for t in texts:  # one word changed in the middle, two at most: 5 or 10 shingles of 116
+        near += [t[:40] + [word()] + t[41:], t[:30] + [word()] + t[31:90] + [word()] + t[91:]]
+    apart = [t[:60] + [word() for _ in range(60)] for t in texts]  # about a third in common
+    rows = [(i, " ".join(t), "en", None, None, None) for i, t in enumerate(texts + near + apart)]
+    got = {x["doc_id"] for x in corpus_pipeline.near(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts + near + apart]
+    root = {i: i for i in range(len(sets))}
+    for _ in sets:
+        for a in root:
+            root[a] = min(root[b] for b in root if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert got == set(root.values()) and len(got) < len(texts + apart) + 1
+
+
 @pytest.mark.parametrize("stage", [simhash.near_dedup, lambda docs: corpus_pipeline.near(None, docs, "")])
 def test_near_dedup_keeps_rows_by_row(spark, stage):
     r = random.Random(3)
