@@ -4,6 +4,10 @@ Detected entities get keyed replacements of their own type: digits for digits in
 of the same case, surnames made in the script of the original, given names of the gender that the title states.
 One table holds each distinct entity of the corpus once, so all its mentions share a surrogate whatever
 their format; a surrogate that another entity has, or that is itself an entity of the corpus, is drawn again.
+A person is the words of the name without title and punctuation: each given name, with the gender, and the family name are
+entities of that table, so two persons share a surrogate only if they share every part. A title that states no gender takes
+the one that the corpus states for that person, if any. An initial becomes a whole given name. Capitalised words of a
+person's name are replaced wherever else they stand in the same document.
 
 Defined results: a null text stays null; a text without entities is returned as it is; repeated rows get the same text;
 an empty table gives an empty result; further columns, whatever their names, pass through unread.
@@ -19,7 +23,14 @@ from .common import written
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Titles by the gender that they state.
 MALE, FEMALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н"), ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа")
-TITLES = "|".join(sorted((*MALE, *FEMALE), key=len, reverse=True))
+MALE, FEMALE = (*MALE, "Mister", "Don", "Sir", "Señorito", "господин"), (*FEMALE, "Doña", "Mlle", "Mademoiselle", "Señorita", "Srta", "Fräulein", "Madam", "Lady", "госпожа")
+NEUTRAL = ("Dr", "Dra", "Doctor", "Doctora", "Docteur", "Prof", "Professor", "Professeur", "Profesor", "Profesora", "Mx", "Доктор", "Профессор", "д-р", "проф")
+TITLES = "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True))
+#: A word of a name, without a possessive 's; an initial; what may stand between the words.
+_WORD = r"\p{Lu}(?:\p{L}|['’-](?!s(?!\p{L}))(?=\p{L}))+"
+_INITIAL = r"\p{Lu}(?:\. ?| )"
+_PARTICLE = r"(?:van|von|vom|zu|zur|de|der|den|del|della|di|da|das|do|dos|du|la|las|los|le|y|e|bin|ibn|al|el|ter|ten) "
+_TITLED = rf"(?:{TITLES})\.?(?: (?:{TITLES})(?:\.|(?= )))*"
 #: Entities in the order in which a place is tried.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
@@ -28,11 +39,11 @@ PATTERNS = {
     "card": r"(?<![\p{L}\p{N}])\d{4}(?:[ -]?\d{4}){3}(?![\p{L}\p{N}])",
     "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\p{L}\p{N}])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "person": rf"(?<![\p{{L}}])(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
+    "person": rf"(?<!\p{{L}}){_TITLED} (?:{_INITIAL}|{_WORD} |{_PARTICLE})*{_WORD}",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Any text with an entity has one of these; the test spares the others the patterns above.
-HINT = rf"@|\d[\d .()-]{{5}}|(?:{TITLES})\.? \p{{Lu}}"
+HINT = rf"@|\d[\d .()-]{{5}}|(?<!\p{{L}})(?:{TITLES})\.? (?:\p{{Lu}}|{_PARTICLE}|(?:{TITLES}))"
 #: Syllables of made-up surnames, and given names, by script and gender.
 SYLLABLES = {"latin": "ba be bo da de do fa fe ga ge ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se ta te va".split(), "cyrillic": "ба бе бо да де до га ка ко ла ле ло ма ме мо на не но па пе ра ре ро са се со та те то ва ве зо".split()}
 GIVEN = {("latin", True): "Adam Bruno Carl David Emil Felix Hugo Ivan Jonas Karl Leon Marco Noel Oscar Paul Simon".split(), ("latin", False): "Anna Bella Clara Diana Elena Flora Greta Helena Ida Julia Karla Laura Maria Nora Olga Paula".split(), ("cyrillic", True): "Иван Пётр Антон Борис Глеб Денис Егор Илья Лев Марк Олег Павел Роман Семён Тарас Фёдор".split(), ("cyrillic", False): "Анна Вера Галина Дарья Елена Жанна Зоя Ирина Лидия Мария Нина Ольга Раиса Софья Юлия Яна".split()}
@@ -42,8 +53,25 @@ def _digits(e: Column) -> Column:
     return F.regexp_replace(e, r"\D", "")
 
 
+#: E.164's country codes; no code begins another one. All of three digits that begin with none of the short ones count.
+_CODES = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
+
 def _country(e: Column) -> Column:
-    return F.regexp_extract(e, r"^\+(\d{1,3})(?=\D)", 1)
+    """The country code of a phone; the national format that is found, of three, three and four digits, is that of 1."""
+    return F.when(F.startswith(e, F.lit("+")), F.regexp_extract(_digits(e), _CODES, 1)).otherwise("1")
+
+
+def words_of_person(e: Column) -> Column:
+    """The words of the name in lower case, without title, particles and punctuation; the last is the family name."""
+    name = F.regexp_replace(e, rf"^{_TITLED} ", "")
+    return F.transform(F.regexp_extract_all(name, F.lit(rf"{_WORD}|(?<!\p{{L}})\p{{Lu}}(?!\p{{L}})"), 0), F.lower)
+
+
+def gender_of(e: Column) -> Column:
+    """m or f where a title of the mention states it."""
+    stated = lambda titles: e.rlike(rf"^(?:(?:{TITLES})\.? )*?(?:{'|'.join(titles)})\.? ")
+    return F.when(stated(FEMALE), "f").when(stated(MALE), "m")
 
 
 def kind_of(e: Column) -> Column:
@@ -55,10 +83,11 @@ def kind_of(e: Column) -> Column:
 
 def canonical(kind: Column, e: Column) -> Column:
     """What two mentions of one entity share."""
-    rest = F.substr(_digits(e), F.length(_country(e)) + 1)
+    plus = F.startswith(e, F.lit("+"))
+    rest = F.substr(_digits(e), F.when(plus, F.length(_country(e))).otherwise(0) + 1)
     return (
         F.when(kind == "email", F.lower(e)).when(kind == "ip", e).when(kind == "phone", F.concat(_country(e), F.lit("|"), rest))
-        .when(kind == "iban", F.replace(e, F.lit(" "), F.lit(""))).when(kind == "person", F.lower(F.regexp_extract(e, r"(\S+)$", 1))).otherwise(_digits(e))
+        .when(kind == "iban", F.replace(e, F.lit(" "), F.lit(""))).when(kind == "person", F.array_join(words_of_person(e), " ")).otherwise(_digits(e))
     )
 
 
@@ -88,11 +117,17 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: int) -> Column:
 
     local, more = F.substring_index(canon, "@", 1), "".join(f"{n}" for n in range(attempt // 4))
     octet = lambda i: (_byte(seed, F.lit(i)) % 254 + 1).cast("string")
-    syllables = lambda script: F.concat(*[_pick(SYLLABLES[script], _byte(seed, F.lit(i))) for i in range(4 + attempt)])
+    syllables = lambda script, n, at=0: F.concat(F.lit(""), *[_pick(SYLLABLES[script], _byte(seed, F.lit(at + i))) for i in range(n)])
+    cyrillic = canon.rlike(r"\p{IsCyrillic}")
+    family = F.when(cyrillic, syllables("cyrillic", 4 + attempt)).otherwise(syllables("latin", 4 + attempt))
+    # Given names are few, so a redrawn one has more syllables at once; a neutral one is of either gender.
+    male = F.startswith(canon, F.lit("m|")) | (F.startswith(canon, F.lit("x|")) & (_byte(seed, F.lit(40)) % 2 == 0))
+    script = F.when(cyrillic, "cyrillic").otherwise("latin")
+    given = F.coalesce(*[F.when((script == s) & (male == F.lit(g)), F.lower(F.concat(_pick(names, _byte(seed, F.lit(41))), syllables(s, 2 * attempt, 42)))) for (s, g), names in GIVEN.items()])
     return (
         F.when(kind == "email", F.concat(like(local, F.lit(0)), F.lit(more), F.lit("@example."), _pick(["org", "net", "com"], _byte(seed, F.lit(63)))))
         .when(kind == "ip", F.concat_ws(".", *map(octet, range(4)))).when(kind == "phone", like(canon, F.locate("|", canon))).when(kind == "iban", like(canon, F.lit(2)))
-        .when(kind == "person", F.when(canon.rlike(r"\p{IsCyrillic}"), syllables("cyrillic")).otherwise(syllables("latin"))).otherwise(like(canon, F.lit(0)))
+        .when(kind == "family", family).when(kind == "given", given).otherwise(like(canon, F.lit(0)))
     )
 
 
@@ -105,16 +140,10 @@ def render(kind: Column, e: Column, canon_surrogate: Column) -> Column:
         nth = lambda i: F.size(F.filter(F.slice(own, 1, i + 1), lambda c: c.rlike(marks)))
         return F.array_join(F.transform(own, lambda c, i: F.when(c.rlike(marks), F.substr(chars, nth(i), F.lit(1))).otherwise(c)), "")
 
-    title = F.regexp_extract(e, rf"^((?:{TITLES})\.?) ", 1)
-    script = F.when(e.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    at = F.pmod(F.crc32(e.cast("binary")), F.lit(16)).cast("int")
-    male = F.regexp_replace(title, r"\.$", "").isin(*MALE)
-    given = F.coalesce(*[F.when((script == s) & (male == F.lit(g)), _pick(names, at)) for (s, g), names in GIVEN.items()])
-    two = F.size(F.split(F.substr(e, F.length(title) + 2), " ")) > 1
-    person = F.concat_ws(" ", title, F.when(two, given), F.initcap(canon_surrogate))
+    phone = F.when(F.startswith(e, F.lit("+")), F.replace(canon_surrogate, F.lit("|"), F.lit(""))).otherwise(F.substring_index(canon_surrogate, "|", -1))
     return (
         F.when(kind == "email", F.when(F.upper(e) == e, F.upper(canon_surrogate)).otherwise(canon_surrogate)).when(kind == "ip", canon_surrogate)
-        .when(kind == "person", person).when(kind == "iban", filled(canon_surrogate, "[A-Z0-9]")).otherwise(filled(F.replace(canon_surrogate, F.lit("|"), F.lit("")), r"\d"))
+        .when(kind == "iban", filled(canon_surrogate, "[A-Z0-9]")).when(kind == "phone", filled(phone, r"\d")).otherwise(filled(canon_surrogate, r"\d"))
     )
 
 
@@ -124,7 +153,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     while True:
         drawn = written(todo.select("kind", "canon", surrogate(key, F.col("kind"), F.col("canon"), attempt).alias("surrogate")), "drawn")
         first = drawn.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon"))
-        first = first.join(entities.select("kind", F.col("canon").alias("surrogate")), ["kind", "surrogate"], "left_anti")
+        real = entities.select("kind", F.when(F.col("kind") == "given", F.substring_index("canon", "|", -1)).otherwise(F.col("canon")).alias("surrogate"))
+        first = first.join(real, ["kind", "surrogate"], "left_anti")
         if taken is not None:
             first = first.join(taken, ["kind", "surrogate"], "left_anti")
         first = first.select("kind", "canon", "surrogate")
@@ -135,6 +165,44 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
             return taken
 
 
+def parts_of(persons: DataFrame) -> DataFrame:
+    """__row, __at, __place, word, kind (given or family), canon for each word of each person's name."""
+    persons = persons.withColumn("gender", gender_of(F.col("entity")))
+    stated = written(persons.groupBy("canon").agg(F.min("gender").alias("stated")).where("stated IS NOT NULL"), "stated")
+    persons = persons.join(stated, "canon", "left").withColumn("gender", F.coalesce("gender", "stated", F.lit("x")))
+    words = persons.select("__row", "__at", "gender", F.split("canon", " ").alias("words")).select("__row", "__at", "gender", F.size("words").alias("n"), F.posexplode("words").alias("__place", "word"))
+    family = F.col("__place") == F.col("n") - 1
+    return words.select("__row", "__at", "__place", "word", F.when(family, "family").otherwise("given").alias("kind"), F.when(family, F.col("word")).otherwise(F.concat_ws("|", "gender", "word")).alias("canon"))
+
+
+def _cased(like: Column, word: Column) -> Column:
+    return F.when((F.length(like) > 1) & (F.upper(like) == like), F.upper(word)).otherwise(F.initcap(word))
+
+
+def _between(text: Column, words: Column, pattern: str, new) -> Column:
+    """The text with its i-th match of the pattern, words[i], replaced by new(words[i], i)."""
+    gaps = F.split(text, pattern, -1)
+    return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.when(i < F.size(words), new(F.get(words, i), i)).otherwise(""))), "")
+
+
+def named(e: Column, at: Column, parts: Column) -> Column:
+    """A titled mention with its words replaced by the parts (by "at,place"); title and particles stay as they are."""
+    pattern = rf"{_WORD}|(?<!\p{{L}})\p{{Lu}}(?!\p{{L}})\.?"
+    title = F.regexp_extract(e, rf"^({_TITLED} )", 1)
+    name = F.substr(e, F.length(title) + 1)
+    words = F.regexp_extract_all(name, F.lit(pattern), 0)
+    return F.concat(title, _between(name, words, pattern, lambda w, i: _cased(F.regexp_replace(w, r"\.$", ""), F.try_element_at(parts, F.concat_ws(",", at, i)))))
+
+
+def mentioned_again(gap: Column, names: Column) -> Column:
+    """(text, n): what stands between entities with capitalised words of the names (kind, word, surrogate) replaced."""
+    pattern = rf"(?<!\p{{L}}){_WORD}"
+    words = F.regexp_extract_all(gap, F.lit(pattern), 0)
+    of = lambda w: F.get(F.filter(names, lambda x: x["word"] == F.lower(w)), F.lit(0))["surrogate"]
+    text = _between(gap, words, pattern, lambda w, i: F.coalesce(_cased(w, of(w)), w))
+    return F.struct(text.alias("text"), F.size(F.filter(words, lambda w: of(w).isNotNull())).alias("n"))
+
+
 def replace_pii(docs: DataFrame, key: str = "corpus", counts: bool = False) -> DataFrame:
     """docs with the entities in text replaced; counts adds n_entities."""
     columns = docs.columns
@@ -142,12 +210,29 @@ def replace_pii(docs: DataFrame, key: str = "corpus", counts: bool = False) -> D
     some = docs.where(hinted).select(F.monotonically_increasing_id().alias("__row"), F.struct(*map(F.col, columns)).alias("__doc"), F.regexp_extract_all("text", F.lit(ENTITY), 0).alias("__found"), F.split("text", ENTITY, -1).alias("__gaps"))
     some = written(some, "hinted")
     mentions = some.select("__row", F.posexplode("__found").alias("__at", "entity")).withColumn("kind", kind_of(F.col("entity")))
-    mentions = mentions.withColumn("canon", canonical(F.col("kind"), F.col("entity")))
-    table = surrogates(written(mentions.select("kind", "canon").distinct(), "entities"), key)
-    made = mentions.join(table, ["kind", "canon"]).select("__row", "__at", render(F.col("kind"), F.col("entity"), F.col("surrogate")).alias("__new"))
-    made = made.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("__at", "__new"))).alias("__made"))
-    text = F.array_join(F.transform("__gaps", lambda gap, i: F.concat(gap, F.coalesce(F.get(F.col("__made"), i)["__new"], F.lit("")))), "")
-    done = some.join(made, "__row", "left").select("__doc", F.when(F.col("__made").isNull(), F.col("__doc")["text"]).otherwise(text).alias("__text"), F.size("__found").cast("long").alias("__n"))
+    mentions = written(mentions.withColumn("canon", canonical(F.col("kind"), F.col("entity"))), "mentions")
+    parts = written(parts_of(mentions.where("kind = 'person'")), "parts")
+    simple = mentions.where("kind <> 'person'")
+    entities = simple.select("kind", "canon").unionByName(parts.select("kind", "canon")).distinct()
+    table = surrogates(written(entities, "entities"), key)
+    made = simple.join(table, ["kind", "canon"]).select("__row", "__at", render(F.col("kind"), F.col("entity"), F.col("surrogate")).alias("__new"))
+    made = made.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("__at", "__new"))).alias("__simple"))
+    # By mention and place in it, and the same words for the rest of the document: the family name goes before a given one.
+    drawn = parts.join(table, ["kind", "canon"]).select("__row", "__at", "__place", "kind", "word", "surrogate")
+    drawn = drawn.groupBy("__row").agg(
+        F.collect_list(F.struct("__at", "__place", "surrogate")).alias("__parts"),
+        F.array_sort(F.collect_set(F.when(F.length("word") > 1, F.struct("kind", "word", "surrogate")))).alias("__names"),
+    )
+    both = some.join(made, "__row", "left").join(drawn, "__row", "left")
+    simple_at = F.map_from_entries(F.coalesce("__simple", F.expr("array()").cast("array<struct<__at:int,__new:string>>")))
+    parts_at = F.map_from_entries(F.transform("__parts", lambda p: F.struct(F.concat_ws(",", p["__at"], p["__place"]), p["surrogate"])))
+    both = both.withColumns({"__simple_at": simple_at, "__parts_at": parts_at})
+    gaps = F.when(F.col("__names").isNull(), F.transform("__gaps", lambda g: F.struct(g.alias("text"), F.lit(0).alias("n")))).otherwise(F.transform("__gaps", lambda g: mentioned_again(g, F.col("__names"))))
+    both = both.withColumn("__gaps", gaps)
+    filled = lambda i: F.coalesce(F.try_element_at("__simple_at", i), named(F.get("__found", i), i, F.col("__parts_at")), F.lit(""))
+    text = F.array_join(F.transform("__gaps", lambda gap, i: F.concat(gap["text"], F.when(i < F.size("__found"), filled(i)).otherwise(""))), "")
+    again = F.aggregate("__gaps", F.lit(0), lambda n, g: n + g["n"])
+    done = both.select("__doc", F.when(F.size("__found") == 0, F.col("__doc")["text"]).otherwise(text).alias("__text"), (F.size("__found") + again).cast("long").alias("__n"))
     extra = [F.col("__n").alias("n_entities")] if counts else []
     done = done.select(*[F.col("__text").alias(c) if c == "text" else F.col("__doc")[c].alias(c) for c in columns], *extra)
     plain = docs.where(~hinted)

@@ -238,6 +238,25 @@ def test_pii(spark, none):
     assert pii.replace_pii(none).count() == 0
 
 
+def replaced(spark, *texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    return [r["text"] for r in pii.replace_pii(df).orderBy("doc_id").collect()]
+
+
+def test_pii_persons_are_entities(spark):
+    given = [f"{a}{b}" for a in ("Al", "Be", "Co", "Du") for b in ("ric", "nan", "lov", "mir", "sto")]
+    got = replaced(spark, *[f"Mr {g} Smith came" for g in given], "Mr. Alric Smith came", "Dr Alric Smith came", "Dr Smith came")
+    names = [re.fullmatch(r"(?:Mr\.?|Dr) (.+) came", t)[1] for t in got]
+    assert len(set(names[:20])) == 20 and len({n.split()[1] for n in names[:20]}) == 1
+    assert names[20] == names[21] == names[0] and names[22] == names[0].split()[1]
+
+
+def test_pii_phones_by_country(spark):
+    got = replaced(spark, "call +14155552671 now", "call +1 415 555 2671 now", "call (415) 555-2671 now", "call +442079460958 now", "call +44 20 7946 0958 now")
+    digits = [re.sub(r"\D", "", t) for t in got]
+    assert digits[0] == digits[1] == "1" + digits[2] != "14155552671" and digits[3] == digits[4] != "442079460958" and digits[3].startswith("44")
+
+
 def test_surrogates_stay_distinct(spark):
     entities = spark.createDataFrame([("email", f"{c}@x.org") for c in "abcdefghijklmnopqrstuvwxyz"], "kind string, canon string")
     got = pii.surrogates(entities, "k").collect()
