@@ -257,6 +257,19 @@ def test_pii_phones_by_country(spark):
     assert digits[0] == digits[1] == "1" + digits[2] != "14155552671" and digits[3] == digits[4] != "442079460958" and digits[3].startswith("44")
 
 
+def test_pii_names_of_any_form(spark):
+    got = replaced(
+        spark, "Mr John Paul Smith", "Mr J. Smith and Mr J.R. Smith", "Prof. Dr. Ada Lovelace wrote; later Lovelace left. Ada Lovelace's notes, LOVELACE.", "Doña Ana de la Cruz",
+        "Mr. Ludwig van Dyck's hat. Mr Long is long", "Don Quijote y Sancho", "no title: John Smith", "Mr. O'Brien-Jones came",
+    )
+    gone = ("John|Paul|Smith", "Smith|J|R", "Ada|Lovelace|LOVELACE", "Ana|Cruz", "Ludwig|Dyck", "Quijote", None, "Brien|Jones")
+    for text, names in zip(got, gone, strict=True):
+        assert names is None or not re.search(rf"\b(?:{names})\b", text), text
+    m = re.fullmatch(r"Prof\. Dr\. (\w+) (\w+) wrote; later (\w+) left\. (\w+) (\w+)'s notes, (\w+)\.", got[2])
+    assert m[2] == m[3] == m[5] == m[6].capitalize() and m[1] == m[4]
+    assert re.fullmatch(r"Doña \w+ de la \w+", got[3]) and re.fullmatch(r"Mr\. \w+ van \w+'s hat\. Mr \w+ is long", got[4]) and got[6] == "no title: John Smith"
+
+
 def test_surrogates_stay_distinct(spark):
     entities = spark.createDataFrame([("email", f"{c}@x.org") for c in "abcdefghijklmnopqrstuvwxyz"], "kind string, canon string")
     got = pii.surrogates(entities, "k").collect()
