@@ -1,8 +1,9 @@
 """Exact deduplication through an extendible-hash index on shared files. DataFrame functions only.
 
 Index entries (hash key, digest, lengths) are written to the shared folder. A directory over the leading
-bits of the key doubles until no bucket holds more distinct keys than its capacity. Owner tasks take
-whole buckets: entries of one key form a chain, and the members of a chain are compared byte for byte.
+bits of the key doubles until no bucket holds more distinct keys than its capacity. It does not place anything: the
+bucket is a column of the grouping and follows from the key, so rows are dealt by key and text; texts
+of one key are compared byte for byte.
 
 Defined results: a null text equals the empty one; rows that repeat a doc_id are rows of their own, of
 which one stays; a null doc_id loses ties against any other; an empty table gives an empty result;
