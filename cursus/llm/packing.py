@@ -5,15 +5,16 @@ none fits, the fullest window is emitted, after the head of the document has fil
 wide enough. What is still open at the end of the partitions is merged, a fixed number of partitions at a time.
 
 Defined results: a null text is empty, so its document is the end id alone; repeated rows are packed each for
-itself; an empty table gives an empty result; a document longer than a window is cut; further columns
-play no part. Only open windows and one slice of texts are in memory.
+itself; an empty table gives an empty result; a document longer than a window is cut; of windows with equal gaps the
+one opened first is taken; a null doc_id stays null; further columns, whatever their names, play no part. Only open
+windows and one slice of texts are in memory; a very long text is a slice of its own.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of, written
-from .tokens import Remembered, array_slices, distinct_words, of_worker, tokenizer_path
+from .pieces import ODD, Cut, buffers, kinds_of, spread
+from .tokens import array_slices, of_worker, tokenizer_path
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -80,57 +82,94 @@ class Rows:
         return out
 
 
-#: Fixed value: the public tokenizer's pre-token pattern, spelt out for lower-case Latin-1 text.
-LATIN_1 = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+#: First bytes of the two-byte letters that this module lowers itself; words with any other go to the tokenizer whole.
+LATIN = np.zeros(256, bool)
+LATIN[0xC3] = True
 
 
-def word_encoder(name: str) -> Remembered:
-    """Words to their ids as little-endian unsigned 32-bit integers. This tokenizer drops white space and
-    never looks across it, so a text's ids are those of its words in a row. Words in Latin-1 go on by pre-token."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class WordEncoder:
+    """The ids of texts under a tokenizer that drops white space and never looks across it: a text's ids are those of
+    its words in a row, and a plain word's those of its runs of letters, digits and marks."""
 
-    tokenizer = Tokenizer.from_file(tokenizer_path(name))
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    vocab = tokenizer.get_vocab()
-    ends = np.zeros(max(vocab.values()) + 1, bool)
-    ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+    def __init__(self, name: str, most: int = 300_000):
+        self.held, self.most = {}, most
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    def one_by_one(words: list[str]) -> Iterator[bytes]:
-        return (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False))
+        self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
-    def pretokens(items: list[str]) -> Iterator[bytes]:
-        """Each ends at the one id that ends a word, so many are encoded in one call."""
-        for i in range(0, len(items), 4096):
-            some = items[i : i + 4096]
-            ids = np.array(tokenizer.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ends[ids]) + 1
+    def pretokens(self, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of pre-tokens. Each ends at the one id that ends a word, so many are encoded in one call."""
+        ids, sizes = [], []
+        for i in range(0, len(items), 16_384):
+            some = items[i : i + 16_384]
+            got = np.array(self.tokenizer.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int64)
+            cuts = np.flatnonzero(self.ends_word[got]) + 1
             if len(cuts) == len(some):
-                data, start = ids.tobytes(), 0
-                for end in (cuts * 4).tolist():
-                    yield data[start:end]
-                    start = end
+                ids.append(got)
+                sizes.append(np.diff(cuts, prepend=0))
             else:
-                yield from one_by_one(some)
-
-    known = Remembered(pretokens, 1_000_000)
-
-    def words(items: list[str]) -> Iterator[bytes]:
-        latin = [(w.isascii() or max(w) <= "\xff" and "\x85" not in w and "\xa0" not in w) and "<|" not in w for w in items]
-        parts = iter(known.of([LATIN_1.findall(w.lower()) for w, plain in zip(items, latin, strict=True) if plain]))
-        others = one_by_one([w for w, plain in zip(items, latin, strict=True) if not plain])
-        return (b"".join(next(parts)) if plain else next(others) for plain in latin)
-
-    return Remembered(words, 300_000)
-
-
-def _parted(texts: pa.Array) -> pa.Array:
-    """The texts with A-Z lowered and a comma or full stop at the end of a word apart from it: the tokenizer does both
-    itself, and fewer distinct words are left. Texts that may hold its special strings stay as they are."""
-    if pc.any(pc.match_substring(texts, "<|")).as_py():
-        return texts
-    return pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z0-9])([,.])([ \n])", r"\1 \2\3")
+                got, ends = self.words(some)
+                ids.append(got)
+                sizes.append(np.diff(ends, prepend=0))
+        return np.concatenate([np.zeros(0, np.int64), *ids]), np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))
+
+    def remembered(self, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """pretokens(items), with the ids of at most `most` pre-tokens kept from slice to slice: those met again first."""
+        values = list(map(self.held.get, items))
+        new = [p for p, v in zip(items, values, strict=True) if v is None]
+        ids, ends = self.pretokens(new)
+        data, ends = ids.astype("<u4").tobytes(), (ends * 4).tolist()
+        made = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        if len(self.held) + len(new) > self.most:
+            self.held = {p: v for p, v in zip(items, values, strict=True) if v is not None}
+        self.held.update(islice(zip(new, made, strict=True), max(0, self.most - len(self.held))))
+        rest = iter(made)
+        values = [next(rest) if v is None else v for v in values]
+        return np.frombuffer(b"".join(values), "<u4").astype(np.int64), np.cumsum(np.fromiter(map(len, values), np.int64, len(values)) // 4)
+
+    def words(self, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], np.int64), np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of the texts in a row, and how many there are up to the end of each."""
+        data, starts = buffers(texts)
+        kinds = kinds_of(data, LATIN)
+        kinds[:-1][(data[:-1] == ord("<")) & (data[1:] == ord("|"))] = ODD  # special strings begin so
+        cut = Cut(data, starts[:-1], kinds, spaced=False)
+        cut.data = self._lowered(data, cut)
+        places, found = cut.numbered()
+        whole = np.zeros(len(found), bool)
+        whole[places[cut.whole]] = True
+        blank = pc.match_substring_regex(found, r"^[\t-\r ]*$").to_numpy(zero_copy_only=False)
+        plain = ~whole & ~blank
+        first, size = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+        ids, ends = self.remembered(found.filter(pa.array(plain)).cast(pa.string()).to_pylist())
+        more, more_ends = self.words(found.filter(pa.array(whole)).cast(pa.string()).to_pylist())
+        first[plain], size[plain] = ends - np.diff(ends, prepend=0), np.diff(ends, prepend=0)
+        first[whole], size[whole] = len(ids) + more_ends - np.diff(more_ends, prepend=0), np.diff(more_ends, prepend=0)
+        out, piece_ends = spread(np.concatenate([ids, more]), first, size, places)
+        if not len(texts):
+            return out, piece_ends
+        return out, np.concatenate([[0], piece_ends])[np.append(cut.first[1:], len(places))]
+
+    @staticmethod
+    def _lowered(data: np.ndarray, cut: Cut) -> np.ndarray:
+        """Plain words in lower case, as the tokenizer makes them itself: fewer are distinct then. A word left whole
+        keeps its case, as a mark after a letter may join with the one and not with the other."""
+        upper = (data >= 65) & (data <= 90)
+        latin = np.flatnonzero(data[:-1] == 0xC3) + 1
+        latin = latin[(data[latin] <= 0x9E) & (data[latin] != 0x97)]
+        upper[latin] = True
+        if cut.whole.any():
+            upper &= ~np.repeat(cut.whole, np.diff(cut.starts, append=len(data)))
+        return data + upper * np.uint8(32)
 
 
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, length: int = 4096, windows: int = 32, least_cut: int = 32, merge_partitions: int = 8) -> DataFrame:
@@ -139,19 +178,13 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
     kinds = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_())])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = of_worker(word_encoder, tokenizer)
+        encoder = of_worker(WordEncoder, tokenizer)
         rows = Rows(TaskContext.get().partitionId() << 32)
         packer = Packer(length, windows, least_cut, rows.add)
         as_batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows.take(), kinds.types, strict=True)], schema=kinds)
-        for doc_ids, texts in array_slices(batches, 8_000_000):
-            word_ends, places, words = distinct_words(_parted(texts))
-            values = encode.of([words.to_pylist()])[0]
-            flat, sizes = np.frombuffer(b"".join(values), "<u4"), np.fromiter(map(len, values), np.int64, len(values)) // 4
-            starts = np.cumsum(sizes) - sizes
-            each = sizes[places]
-            ends = np.cumsum(each)
-            ids = flat[np.repeat(starts[places] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)]
-            cuts = np.concatenate([[0], ends])[word_ends].tolist()
+        for doc_ids, texts in array_slices(batches, 6_000_000):
+            ids, cuts = encoder.encode(texts)
+            ids, cuts = ids.astype("<u4"), cuts.tolist()
             for doc_id, lo, hi in zip(doc_ids.to_pylist(), [0, *cuts[:-1]], cuts, strict=True):
                 own = np.append(ids[lo:hi], end)
                 packer.add(doc_id, 0, own, len(own))

@@ -14,7 +14,6 @@ import pyarrow.compute as pc
 #: White space in the sense of Unicode's White_Space, as the tokenizers' own patterns have it.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORD = re.compile(f"[^{WHITE}]+")
-CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
 def tokenizer_path(name: str) -> str:

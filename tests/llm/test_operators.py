@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("cursus.llm")
@@ -67,6 +68,21 @@ def test_bpe(docs, none):
     assert got == want and bpe.encode(none).count() == 0
 
 
+#: Pieces of text that are cut differently by their neighbours: decomposed letters, wide spaces, contractions, specials.
+AWKWARD = ["a", "The", " ", "  ", "\n", "\t", "\r\n", "é", "Ü", "ß", "×", "÷", "'s", "'", "Don't", "<|endoftext|>", "<|EndOfText|>", "12", "3", "!", "..", "\xa0", "\u2003", "日本", "T\u0308", "H\u0331", "\u0301", "J\u030c", "Y\u030a", "Привет", "ª", "²", "😀", "\x1c", "\x00", "AAAA", "Ω", "ſ", "Đ", "\x85", "İ", "ΑΣ", "\u212a", "<", "|"]
+
+
+@pytest.mark.parametrize(("name", "encoder"), [("word_bpe_49k.json", packing.WordEncoder), ("byte_bpe_50k.json", lambda name: bpe.PairIndexBpe(bpe.tokenizer_path(name)))])
+def test_ids_are_those_of_the_library(name, encoder):
+    t, e, r = tokenizer(name), encoder(name), random.Random(8)
+    for _ in range(40):
+        texts = ["".join(r.choices(AWKWARD, k=r.randint(0, 14))) for _ in range(150)]
+        ids, ends = e.encode(pa.array(texts))
+        for x, lo, hi in zip(texts, [0, *ends[:-1]], ends, strict=True):
+            assert ids[lo:hi].tolist() == t.encode(x, add_special_tokens=False).ids, x
+    assert len(e.encode(pa.array([], pa.string()))[0]) == 0 and e.encode(pa.array(["", ""]))[1].tolist() == [0, 0]
+
+
 def test_token_counts(docs, none):
     from cursus.llm.tokens import tokenizer_path
 
