@@ -10,17 +10,20 @@ the one that the corpus states for that person, if any. An initial becomes a who
 person's name are replaced wherever else they stand in the same document.
 
 Defined results: a null text stays null; a text without entities is returned as it is; repeated rows get the same text;
-an empty table gives an empty result; further columns, whatever their names, pass through unread.
+an empty table gives an empty result; a very long text is one row like any other; where two kinds match at one place the
+first of PATTERNS counts; a run of four-digit groups longer than a card is one entity; further columns, whatever their
+names, pass through unread.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_HEX = r"[0-9A-Fa-f]{1,4}"
 #: Titles by the gender that they state.
 MALE, FEMALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н"), ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа")
 MALE, FEMALE = (*MALE, "Mister", "Don", "Sir", "Señorito", "господин"), (*FEMALE, "Doña", "Mlle", "Mademoiselle", "Señorita", "Srta", "Fräulein", "Madam", "Lady", "госпожа")
@@ -34,21 +37,30 @@ _TITLED = rf"(?:{TITLES})\.?(?: (?:{TITLES})(?:\.|(?= )))*"
 #: Entities in the order in which a place is tried.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "ip6": rf"(?<![\p{{L}}\p{{N}}:])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[0-9A-Fa-f:]*[0-9])(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![\p{{L}}\p{{N}}:])",
     "ip": rf"(?<![\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\p{{N}}|\.\p{{N}})",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])",
-    "card": r"(?<![\p{L}\p{N}])\d{4}(?:[ -]?\d{4}){3}(?![\p{L}\p{N}])",
+    "card": r"(?<![\p{L}\p{N}])(?:\d{4}(?:[ -]?\d{4}){3,}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\p{L}\p{N}])",
     "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\p{L}\p{N}])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "person": rf"(?<!\p{{L}}){_TITLED} (?:{_INITIAL}|{_WORD} |{_PARTICLE})*{_WORD}",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Any text with an entity has one of these; the test spares the others the patterns above.
-HINT = rf"@|\d[\d .()-]{{5}}|(?<!\p{{L}})(?:{TITLES})\.? (?:\p{{Lu}}|{_PARTICLE}|(?:{TITLES}))"
+#: Any text with an entity has one of these; the test spares the others the patterns above. Whatever is looked for
+#: begins with one of a few characters, so that most places are passed over at once.
+_FIRST = "".join(sorted({t[0] for t in TITLES.split("|")}))
+_AFTER = "|".join(sorted({t[1:] for t in TITLES.split("|")}, key=len, reverse=True))
+HINT = rf"[@:\d{_FIRST}](?:(?<=@)|(?<=:)[0-9A-Fa-f:]{{1,5}}:|(?<=\d)[\d .()-]{{5}}|(?<![\p{{L}}\d@:]\p{{L}})(?<=\p{{L}})(?:{_AFTER})\.? (?:\p{{Lu}}|{_PARTICLE}|(?:{TITLES})))"
 #: Syllables of made-up surnames, and given names, by script and gender.
 SYLLABLES = {"latin": "ba be bo da de do fa fe ga ge ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se ta te va".split(), "cyrillic": "ба бе бо да де до га ка ко ла ле ло ма ме мо на не но па пе ра ре ро са се со та те то ва ве зо".split()}
 GIVEN = {("latin", True): "Adam Bruno Carl David Emil Felix Hugo Ivan Jonas Karl Leon Marco Noel Oscar Paul Simon".split(), ("latin", False): "Anna Bella Clara Diana Elena Flora Greta Helena Ida Julia Karla Laura Maria Nora Olga Paula".split(), ("cyrillic", True): "Иван Пётр Антон Борис Глеб Денис Егор Илья Лев Марк Олег Павел Роман Семён Тарас Фёдор".split(), ("cyrillic", False): "Анна Вера Галина Дарья Елена Жанна Зоя Ирина Лидия Мария Нина Ольга Раиса Софья Юлия Яна".split()}
 
 
+def key_of(spark: SparkSession) -> str:
+    """The secret of this deployment. The fallback is public and only for tests: with it, anyone can redo the draws."""
+    return spark.conf.get("spark.cursus.pii.key", "public")
+
+
 def _digits(e: Column) -> Column:
     return F.regexp_replace(e, r"\D", "")
 
@@ -76,8 +88,8 @@ def gender_of(e: Column) -> Column:
 
 def kind_of(e: Column) -> Column:
     return (
-        F.when(F.contains(e, F.lit("@")), "email").when(e.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip").when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(e.rlike(r"^\d{4}([ -]?\d{4}){3}$"), "card").when(e.rlike(r"^[+(\d]"), "phone").when(e.rlike(r"^[A-Z]{2}\d{2}"), "iban").otherwise("person")
+        F.when(F.contains(e, F.lit("@")), "email").when(e.rlike(r"^[0-9A-Fa-f]{0,4}:"), "ip6").when(e.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip").when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
+        .when(e.rlike(r"^\d{4}([ -]?\d{4}){3,}$|^3[47]\d{2}[ -]?\d{6}[ -]?\d{5}$"), "card").when(e.rlike(r"^[+(\d]"), "phone").when(e.rlike(r"^[A-Z]{2}\d{2}"), "iban").otherwise("person")
     )
 
 
@@ -86,7 +98,7 @@ def canonical(kind: Column, e: Column) -> Column:
     plus = F.startswith(e, F.lit("+"))
     rest = F.substr(_digits(e), F.when(plus, F.length(_country(e))).otherwise(0) + 1)
     return (
-        F.when(kind == "email", F.lower(e)).when(kind == "ip", e).when(kind == "phone", F.concat(_country(e), F.lit("|"), rest))
+        F.when(kind.isin("email", "ip6"), F.lower(e)).when(kind == "ip", e).when(kind == "phone", F.concat(_country(e), F.lit("|"), rest))
         .when(kind == "iban", F.replace(e, F.lit(" "), F.lit(""))).when(kind == "person", F.array_join(words_of_person(e), " ")).otherwise(_digits(e))
     )
 
@@ -116,6 +128,8 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: int) -> Column:
         return F.array_join(F.transform(_chars(x), one), "")
 
     local, more = F.substring_index(canon, "@", 1), "".join(f"{n}" for n in range(attempt // 4))
+    longer = F.concat(F.lit(""), *[(_byte(seed, F.lit(50 + i % 12)) % 10).cast("string") for i in range(max(0, attempt - 7))])
+    hexed = F.array_join(F.transform(_chars(canon), lambda c, i: F.when(c == ":", c).otherwise(F.lower(F.hex((_byte(seed, i) % 15 + 1).cast("long"))))), "")
     octet = lambda i: (_byte(seed, F.lit(i)) % 254 + 1).cast("string")
     syllables = lambda script, n, at=0: F.concat(F.lit(""), *[_pick(SYLLABLES[script], _byte(seed, F.lit(at + i))) for i in range(n)])
     cyrillic = canon.rlike(r"\p{IsCyrillic}")
@@ -126,8 +140,9 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: int) -> Column:
     given = F.coalesce(*[F.when((script == s) & (male == F.lit(g)), F.lower(F.concat(_pick(names, _byte(seed, F.lit(41))), syllables(s, 2 * attempt, 42)))) for (s, g), names in GIVEN.items()])
     return (
         F.when(kind == "email", F.concat(like(local, F.lit(0)), F.lit(more), F.lit("@example."), _pick(["org", "net", "com"], _byte(seed, F.lit(63)))))
-        .when(kind == "ip", F.concat_ws(".", *map(octet, range(4)))).when(kind == "phone", like(canon, F.locate("|", canon))).when(kind == "iban", like(canon, F.lit(2)))
-        .when(kind == "family", family).when(kind == "given", given).otherwise(like(canon, F.lit(0)))
+        .when(kind == "ip", F.concat_ws(".", *map(octet, range(4)))).when(kind == "ip6", hexed)
+        .when(kind == "phone", F.concat(like(canon, F.locate("|", canon)), longer)).when(kind == "iban", F.concat(like(canon, F.lit(2)), longer))
+        .when(kind == "family", family).when(kind == "given", given).otherwise(F.concat(like(canon, F.lit(0)), longer))
     )
 
 
@@ -138,15 +153,21 @@ def render(kind: Column, e: Column, canon_surrogate: Column) -> Column:
         """The occurrence with its k-th mark replaced by the surrogate's k-th."""
         own = _chars(e)
         nth = lambda i: F.size(F.filter(F.slice(own, 1, i + 1), lambda c: c.rlike(marks)))
-        return F.array_join(F.transform(own, lambda c, i: F.when(c.rlike(marks), F.substr(chars, nth(i), F.lit(1))).otherwise(c)), "")
+        put = F.array_join(F.transform(own, lambda c, i: F.when(c.rlike(marks), F.substr(chars, nth(i), F.lit(1))).otherwise(c)), "")
+        return F.concat(put, F.substr(chars, F.size(F.filter(own, lambda c: c.rlike(marks))) + 1))  # a lengthened one runs on
 
     phone = F.when(F.startswith(e, F.lit("+")), F.replace(canon_surrogate, F.lit("|"), F.lit(""))).otherwise(F.substring_index(canon_surrogate, "|", -1))
     return (
-        F.when(kind == "email", F.when(F.upper(e) == e, F.upper(canon_surrogate)).otherwise(canon_surrogate)).when(kind == "ip", canon_surrogate)
+        F.when(kind.isin("email", "ip6"), F.when((F.upper(e) == e) & (F.lower(e) != e), F.upper(canon_surrogate)).otherwise(canon_surrogate)).when(kind == "ip", canon_surrogate)
         .when(kind == "iban", filled(canon_surrogate, "[A-Z0-9]")).when(kind == "phone", filled(phone, r"\d")).otherwise(filled(canon_surrogate, r"\d"))
     )
 
 
+#: Draws at most. From the eighth on a number gets one more digit each time and names and addresses grow before that, so
+#: only addresses of a fixed form (IPv4, IPv6) can run out; that is an error, as distinct ones would have to merge.
+MOST_DRAWS = 40
+
+
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, surrogate) of distinct entities (kind, canon), no surrogate twice and none an entity."""
     todo, taken, attempt = entities, None, 0
@@ -163,6 +184,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         attempt += 1
         if todo.isEmpty():
             return taken
+        if attempt == MOST_DRAWS:
+            raise ValueError(f"no distinct surrogates are left: {todo.groupBy('kind').count().collect()}")
 
 
 def parts_of(persons: DataFrame) -> DataFrame:
@@ -203,11 +226,13 @@ def mentioned_again(gap: Column, names: Column) -> Column:
     return F.struct(text.alias("text"), F.size(F.filter(words, lambda w: of(w).isNotNull())).alias("n"))
 
 
-def replace_pii(docs: DataFrame, key: str = "corpus", counts: bool = False) -> DataFrame:
-    """docs with the entities in text replaced; counts adds n_entities."""
+def replace_pii(docs: DataFrame, key: str, counts: bool = False) -> DataFrame:
+    """docs with the entities in text replaced under a secret key; counts adds n_entities, in place of any input column of that name."""
+    if counts:
+        docs = docs.drop("n_entities")
     columns = docs.columns
     hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
-    some = docs.where(hinted).select(F.monotonically_increasing_id().alias("__row"), F.struct(*map(F.col, columns)).alias("__doc"), F.regexp_extract_all("text", F.lit(ENTITY), 0).alias("__found"), F.split("text", ENTITY, -1).alias("__gaps"))
+    some = docs.where(hinted).select(F.monotonically_increasing_id().alias("__row"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__doc"), F.regexp_extract_all("text", F.lit(ENTITY), 0).alias("__found"), F.split("text", ENTITY, -1).alias("__gaps"))
     some = written(some, "hinted")
     mentions = some.select("__row", F.posexplode("__found").alias("__at", "entity")).withColumn("kind", kind_of(F.col("entity")))
     mentions = written(mentions.withColumn("canon", canonical(F.col("kind"), F.col("entity"))), "mentions")
@@ -234,7 +259,7 @@ def replace_pii(docs: DataFrame, key: str = "corpus", counts: bool = False) -> D
     again = F.aggregate("__gaps", F.lit(0), lambda n, g: n + g["n"])
     done = both.select("__doc", F.when(F.size("__found") == 0, F.col("__doc")["text"]).otherwise(text).alias("__text"), (F.size("__found") + again).cast("long").alias("__n"))
     extra = [F.col("__n").alias("n_entities")] if counts else []
-    done = done.select(*[F.col("__text").alias(c) if c == "text" else F.col("__doc")[c].alias(c) for c in columns], *extra)
+    done = done.select(*[F.col("__text").alias(c) if c == "text" else F.col(f"__doc.`{c}`").alias(c) for c in columns], *extra)
     plain = docs.where(~hinted)
     return (plain.withColumn("n_entities", F.lit(0).cast("long")) if counts else plain).unionByName(done)
 

@@ -15,7 +15,7 @@ def op2_simhash(spark, sf_dir):
 
 
 def op3_pii_surrogates(spark, sf_dir):
-    return pii.replace_pii(documents(spark, sf_dir).select("doc_id", "text"), counts=True)
+    return pii.replace_pii(documents(spark, sf_dir).select("doc_id", "text"), pii.key_of(spark), counts=True)
 
 
 def op4_token_counts(spark, sf_dir):

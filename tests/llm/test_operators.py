@@ -246,17 +246,17 @@ def test_quality(docs, none):
 
 def test_pii(spark, none):
     rows = [(1, "Mr. John Smith and Mrs Smith (212) 555-1234, a.b@x.com 1.2.3.4", "en", None, None, None), (2, "Smith 212.555.1234 A.B@X.COM 1234567890123456", "en", None, None, None), (3, None, None, None, None, None), (4, "plain 12 words", "en", None, None, None)]
-    got = {r["doc_id"]: r["text"] for r in pii.replace_pii(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r["doc_id"]: r["text"] for r in pii.replace_pii(spark.createDataFrame(rows, SCHEMA), "k").collect()}
     assert got[3] is None and got[4] == "plain 12 words"
     one = re.fullmatch(r"Mr\. (\w+) (\w+) and Mrs (\w+) \((\d{3})\) (\d{3})-(\d{4}), (\S+@example\.\w+) (\d+\.\d+\.\d+\.\d+)", got[1])
     two = re.fullmatch(r"Smith (\d{3})\.(\d{3})\.(\d{4}) (\S+) (\d{16})", got[2])
     assert one[2] == one[3] != "Smith" and one.group(4, 5, 6) == two.group(1, 2, 3) and one[7] == two[4].lower()
-    assert pii.replace_pii(none).count() == 0
+    assert pii.replace_pii(none, "k").count() == 0
 
 
 def replaced(spark, *texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    return [r["text"] for r in pii.replace_pii(df).orderBy("doc_id").collect()]
+    return [r["text"] for r in pii.replace_pii(df, "k").orderBy("doc_id").collect()]
 
 
 def test_pii_persons_are_entities(spark):
@@ -286,6 +286,28 @@ def test_pii_names_of_any_form(spark):
     assert re.fullmatch(r"Doña \w+ de la \w+", got[3]) and re.fullmatch(r"Mr\. \w+ van \w+'s hat\. Mr \w+ is long", got[4]) and got[6] == "no title: John Smith"
 
 
+def test_pii_leaves_no_digits_of_a_number(spark):
+    got = replaced(spark, "2001:0db8:85a3:0000:0000:8a2e:0370:7334 4111 1111 1111 1111 end", "1234 4111 1111 1111 1111.", "3782 822463 10005 fe80::1 at 12:30:45")
+    assert not re.search("7334|4111|1111", got[0]) and not re.search("1234|1111", got[1])
+    assert re.fullmatch(r"\d{4} \d{6} \d{5} [0-9a-f]{4}::[0-9a-f] at 12:30:45", got[2]) and "822463" not in got[2]
+
+
+def test_pii_columns_and_repeats(spark):
+    df = spark.createDataFrame([("x", 7, "Mr Al Gray", 1)] * 2 + [("y", None, "write a@b.org", 2)], "__row string, n_entities long, text string, `a.b` int")
+    for counts in (False, True):
+        got = sorted(pii.replace_pii(df, "k", counts).collect(), key=lambda r: r["a.b"])
+        assert got[0]["text"] == got[1]["text"] != "Mr Al Gray" and [r["__row"] for r in got] == ["x", "x", "y"]
+        assert [r["n_entities"] for r in got] == ([1, 1, 1] if counts else [7, 7, None])
+    assert replaced(spark, "a@b.org")[0] == pii.replace_pii(df, "k").where("`a.b` = 2").first()["text"].split()[1]
+    assert pii.replace_pii(df, "other").where("`a.b` = 1").first()["text"] != got[0]["text"]
+
+
+def test_surrogates_grow_when_a_format_runs_out(spark):
+    entities = spark.createDataFrame([("ssn", f"{i}") for i in range(8)], "kind string, canon string")
+    got = [r["surrogate"] for r in pii.surrogates(entities, "k").collect()]
+    assert len(set(got)) == 8 and not set(got) & set("01234567")
+
+
 def test_surrogates_stay_distinct(spark):
     entities = spark.createDataFrame([("email", f"{c}@x.org") for c in "abcdefghijklmnopqrstuvwxyz"], "kind string, canon string")
     got = pii.surrogates(entities, "k").collect()
