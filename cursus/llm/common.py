@@ -16,9 +16,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def text_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with a null text as the empty one; other columns, whatever their names, are left out."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def text_of(docs: DataFrame, *keys: str) -> DataFrame:
+    """(doc_id, text) with a null text as the empty one, after the key columns; others, whatever their names, are left out."""
+    return docs.select(*keys, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def without_space(text: Column) -> Column:
@@ -29,16 +29,22 @@ def without_space(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
+    """The folder that driver and executors share. On one machine (tests) one of our own where the session names none; on a
+    cluster that is an error, as each executor would write to its own disk."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
         place = spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         place = "file://" + tempfile.mkdtemp(prefix="cursus-")
         spark.sparkContext.setCheckpointDir(place)
     return place
 
 
+_PATHS: list[str] = []
+
+
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """The table written to the shared folder and read back: lineage ends there, and each row is computed once."""
     spark = df.sparkSession
@@ -47,19 +53,49 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
+    _PATHS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_written(spark: SparkSession, *more: str) -> None:
+    """Deletes the tables that this driver has written so far, and those named. Nothing that reads them may be open."""
+    for path in [*_PATHS, *more]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _PATHS.clear()
+
+
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a row key of their own, __row; written, so that every later reading has the same keys."""
-    return written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    """__row, a row key, and __doc, the whole row of docs, so no name of a column of docs can clash; written, so that
+    every later reading has the same keys."""
+    return written(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")), "rows")
+
+
+def without_rows(rows: DataFrame, drop: DataFrame) -> DataFrame:
+    """The numbered rows but for those of drop (__row), with their own columns. A merge join at every size: what is
+    dropped grows with the corpus, and the plan should not change with it."""
+    return rows.join(drop.hint("merge"), "__row", "left_anti").select("__doc.*")
 
 
 def one_per_component(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """The numbered rows without their key: of each root's rows in roots (__row, root) the first by doc_id, nulls last,
+    """The numbered rows as they were: of each root's rows in roots (__row, root) the first by doc_id, nulls last,
     then by key; rows that are in no component all stay."""
-    ids = rows.select("__row", F.col("doc_id").cast("long").alias("id")).join(roots, "__row")
+    ids = rows.select("__row", F.col("__doc.doc_id").cast("long").alias("id")).join(roots, "__row")
     first = ids.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("first"))
     # By row key, so a large component is no burden to a task.
     drop = written(roots.select("__row").join(first.select(F.col("first.__row").alias("__row")), "__row", "left_anti"), "dropped")
-    return rows.join(drop.hint("merge"), "__row", "left_anti").drop("__row")
+    return without_rows(rows, drop)
+
+
+#: Keys that hold more than one in so many rows are hot, so there are never more hot keys than that.
+HOT_SHARE = 1000
+
+
+def hot_join(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """big left join small (a row for each key at most). The rows of hot keys, at most HOT_SHARE keys, don't move: their
+    rows of small are sent to them."""
+    least = big.count() // HOT_SHARE
+    hot = written(big.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select(key), "hot")
+    few = written(small.join(F.broadcast(hot), key, "left_semi"), "few")
+    rest = big.join(F.broadcast(hot), key, "left_anti").join(small, key, "left")
+    return rest.unionByName(big.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(few), key, "left"))

@@ -1,26 +1,29 @@
 """Exact deduplication through an extendible-hash index on shared files. DataFrame functions only.
 
-Index entries (hash key, digest, lengths) are written to the shared folder. A directory over the leading
-bits of the key doubles until no bucket holds more distinct keys than its capacity. It does not place anything: the
-bucket is a column of the grouping and follows from the key, so rows are dealt by key and text; texts
-of one key are compared byte for byte.
+Index entries (hash key, digest, lengths) are written to the shared folder. A directory over the leading bits of the key
+doubles, and splits the overfull buckets, until none holds more distinct keys than its capacity. The rows of repeated
+keys are dealt out by bucket: the task that owns a bucket has the chains of its keys and compares their texts byte for
+byte. A chain longer than `chain_rows` rows is cut in parts that may have owners of their own; what the parts
+found is compared again, one entry for each text and task.
 
 Defined results: a null text equals the empty one; rows that repeat a doc_id are rows of their own, of
-which one stays; a null doc_id loses ties against any other; an empty table gives an empty result;
-further columns of the input play no part.
+which one stays; a null doc_id loses ties against any other, and of rows equal in id and length the first read stays; a
+very long text is one row like any other; an empty table gives an empty result; further columns of the input, whatever
+their names, play no part.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, without_space, written
+from .common import numbered, text_of, without_rows, without_space, written
 
-#: The directory never has more slots than 2 ** MAX_DEPTH, so it can be sent to every task.
-MAX_DEPTH = 16
+#: The directory never has more slots than 2 ** MAX_DEPTH, so it can be sent to every task. Capacities follow the number
+#: of keys, MOST_BUCKETS being aimed at beyond LEAST_CAPACITY keys each, so that depth is not reached.
+MAX_DEPTH, MOST_BUCKETS, LEAST_CAPACITY = 16, 8192, 500
 
 
 def directory(cells: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH) -> tuple[int, list[int]]:
@@ -29,44 +32,48 @@ def directory(cells: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH)
     below = [0] * (width + 1)
     for cell in range(width):
         below[cell + 1] = below[cell] + cells.get(cell, 0)
-    depth, slots, todo, local = 0, [0], [0], {0: 0}
+    depth, slots = 0, [0]
+    todo, buckets = [(0, 0, 0)], 1  # (bucket, local depth, leading bits)
     while todo:
-        bucket = todo.pop()
-        d = local[bucket]
-        mine = [i for i, b in enumerate(slots) if b == bucket]
-        step = width >> depth
-        if d >= max_depth or below[(mine[-1] + 1) * step] - below[mine[0] * step] <= capacity:
+        bucket, d, bits = todo.pop()
+        step = width >> d
+        if d >= max_depth or below[(bits + 1) * step] - below[bits * step] <= capacity:
             continue
         if d == depth:  # the directory doubles
             slots, depth = [b for b in slots for _ in (0, 1)], depth + 1
-            mine = [2 * mine[0], 2 * mine[0] + 1]
-        new = len(local)
-        for i in mine[len(mine) // 2 :]:
-            slots[i] = new
-        local[bucket] = local[new] = d + 1
-        todo += [bucket, new]
+        run = 1 << depth - d - 1  # the slots of each half
+        first = (2 * bits + 1) * run
+        slots[first : first + run] = [buckets] * run
+        todo += [(bucket, d + 1, 2 * bits), (buckets, d + 1, 2 * bits + 1)]
+        buckets += 1
     return depth, slots
 
 
-def exact_groups(docs: DataFrame, capacity: int = 50_000) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for each row: of equal texts, the longest original stays."""
-    spark = docs.sparkSession
-    base = text_of(docs)
-    normal = base.select("doc_id", F.char_length("text").alias("n_cp"), without_space(F.col("text")).alias("normal"))
-    entries = written(normal.select("doc_id", F.monotonically_increasing_id().alias("row"), "n_cp", F.xxhash64("normal").alias("key"), F.sha2("normal", 256).alias("text_sha256")), "entries")
-
-    keys = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+def owned(normal: DataFrame, keys: DataFrame, capacity: int | None = None, chain_rows: int = 256) -> DataFrame:
+    """The rows of normal (key, normal, ...) whose key repeats in keys (key, n), by the owner of their bucket and chain part."""
+    spark = normal.sparkSession
     cell = F.shiftrightunsigned("key", 64 - MAX_DEPTH)
-    per_cell = keys.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))  # 2 ** MAX_DEPTH rows at most
-    depth, slots = directory({r["cell"]: r["n"] for r in per_cell.collect()}, capacity)
+    cells = {r["cell"]: r["n"] for r in keys.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}  # 2 ** MAX_DEPTH rows at most
+    depth, slots = directory(cells, capacity or max(LEAST_CAPACITY, -(-sum(cells.values()) // MOST_BUCKETS)))
     slot_rows = F.from_json(F.lit(json.dumps([{"slot": i, "bucket": b} for i, b in enumerate(slots)])), "array<struct<slot:bigint,bucket:bigint>>")
     lookup = spark.range(1).select(F.inline(slot_rows))
     slot = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
-    chained = keys.where("n > 1").select("key", slot.alias("slot")).join(F.broadcast(lookup), "slot").select("key", "bucket")
-    chained = written(chained, "chained")  # its size is known now: Spark broadcasts it only when it is small
+    chains = keys.where("n > 1").select("key", slot.alias("slot"), F.ceil(F.col("n") / chain_rows).alias("parts"))
+    chains = written(chains.join(F.broadcast(lookup), "slot").select("key", "bucket", "parts"), "chains")
+    members = normal.withColumn("at", F.monotonically_increasing_id()).join(chains, "key")
+    return members.withColumn("part", F.pmod("at", "parts")).drop("at", "parts").repartition("bucket", "part")
+
 
-    members = normal.withColumn("key", F.xxhash64("normal")).join(chained, "key")
-    groups = members.groupBy("bucket", "key", "normal").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("n_cp", (-F.col("doc_id")).alias("less"))).alias("best"))
+def _groups(base: DataFrame, capacity: int | None, chain_rows: int = 256) -> DataFrame:
+    """row, doc_id, keep_id, group_size, kept, text_sha256 for each row of base (row, doc_id, text)."""
+    normal = base.select("row", "doc_id", F.char_length("text").alias("n_cp"), without_space(F.col("text")).alias("normal"))
+    entries = written(normal.select("row", "doc_id", "n_cp", F.xxhash64("normal").alias("key"), F.sha2("normal", 256).alias("text_sha256")), "entries")
+    keys = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    members = owned(normal.drop("row").withColumn("key", F.xxhash64("normal")), keys, capacity, chain_rows)
+    best = F.struct("n_cp", (-F.col("doc_id")).alias("less"))
+    # The owner's partitioning is kept: equal texts of a part are found where they are.
+    found = members.groupBy("bucket", "part", "key", "normal").agg(F.count(F.lit(1)).alias("n"), F.max(best).alias("best"))
+    groups = found.groupBy("bucket", "key", "normal").agg(F.sum("n").alias("group_size"), F.max("best").alias("best"))
     groups = written(groups.select("key", F.sha2("normal", 256).alias("text_sha256"), "group_size", F.col("best.n_cp").alias("keep_cp"), (-F.col("best.less")).alias("keep_id")), "groups")
 
     on = ["key", "text_sha256"]
@@ -74,6 +81,7 @@ def exact_groups(docs: DataFrame, capacity: int = 50_000) -> DataFrame:
     groups = written(groups.join(stay, on), "stay")
     alone = F.col("keep_row").isNull()
     return entries.join(groups, on, "left").select(
+        "row",
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
@@ -82,30 +90,16 @@ def exact_groups(docs: DataFrame, capacity: int = 50_000) -> DataFrame:
     )
 
 
-def exact_dedup(docs: DataFrame, capacity: int = 50_000) -> DataFrame:
-    """The documents that stay, with the columns of docs; a row without doc_id stays if its text stands alone."""
-    groups = exact_groups(docs, capacity)
-    drop = groups.where(~F.col("kept")).select(F.col("doc_id"), "text_sha256")
-    drop = written(drop.distinct().withColumnsRenamed({"doc_id": "__id", "text_sha256": "__sha"}), "dropped")
-    kept = groups.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    both = written(drop.join(kept, on=(drop["__id"].eqNullSafe(kept["__id"])) & (drop["__sha"] == kept["__sha"]), how="left_semi"), "repeated")
-    if drop.isEmpty():
-        return docs
-    # Rows that repeat the id and text of one that stays go by row; all others go by id and digest.
-    sha = F.sha2(without_space(F.coalesce(F.col("text"), F.lit(""))), 256)
-    keyed = docs.withColumn("__sha", sha)
-    # A merge join at every size: what is dropped grows with the corpus, and the plan should not change with it.
-    kept_rows = keyed.join(drop.hint("merge"), on=keyed["doc_id"].cast("long").eqNullSafe(drop["__id"]) & (keyed["__sha"] == drop["__sha"]), how="left_anti").select(*docs.columns)
-    if both.isEmpty():
-        return kept_rows
-    again = keyed.join(both, on=keyed["doc_id"].cast("long").eqNullSafe(both["__id"]) & (keyed["__sha"] == both["__sha"]), how="left_semi")
-    again = again.withColumn("__n", F.char_length(F.coalesce("text", F.lit("")))).withColumn("__r", F.row_number().over(_longest()))
-    return kept_rows.unionByName(again.where("__r = 1").select(*docs.columns))
-
-
-def _longest():
-    return Window.partitionBy("doc_id", "__sha").orderBy(F.desc("__n"))
+def exact_groups(docs: DataFrame, capacity: int | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for each row: of equal texts, the longest original stays."""
+    return _groups(text_of(docs).withColumn("row", F.monotonically_increasing_id()), capacity).drop("row")
+
 
+def exact_dedup(docs: DataFrame, capacity: int | None = None) -> DataFrame:
+    """The rows that stay, as they were; a row without doc_id stays if its text stands alone."""
+    rows = numbered(docs)
+    groups = _groups(text_of(rows.select("__row", "__doc.doc_id", "__doc.text"), "__row").withColumnRenamed("__row", "row"), capacity)
+    return without_rows(rows, written(groups.where(~F.col("kept")).select(F.col("row").alias("__row")), "dropped"))
 
 
 #: DuckDB SQL for the rows of exact_groups.

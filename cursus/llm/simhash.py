@@ -7,8 +7,9 @@ the triangle bounds. A shard's tasks build a vantage-point tree of their own, pr
 64 bits of what is left. Each task returns the links as a spanning forest, never all pairs of a group.
 
 Defined results: a null text is empty; texts without words have fingerprint zero and are linked like any other;
-repeated rows share a component; a null doc_id takes its component's id from the others; an empty table
-gives an empty result; further columns play no part.
+repeated rows share a component; a null doc_id takes its component's id from the others, null if there are none; a very
+long text is fingerprinted whole; a bit set in exactly half the hashes is 0; an empty table gives an empty result; further
+columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, one_per_component, text_of, written
+from .common import hot_join, numbered, one_per_component, text_of, written
 from .graph import components
 from .tokens import in_slices
 
@@ -180,18 +181,19 @@ def links(fps: DataFrame, bits: int = BITS, sample_rows: int = 4096, shard_rows:
                 yield pd.DataFrame({"side": side, "shard": shard, "fp": fp[at], "member": shard == home[at]})
 
     routes = written(fps.select("fp").mapInPandas(routed, "side int, shard long, fp long, member boolean"), "routes")
-    sizes = routes.groupBy("side", "shard").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.when(F.col("member"), F.col("fp"))).alias("members"))
-    sizes = sizes.select("side", "shard", F.ceil(F.col("n") / task_queries).alias("parts"), "members")
-    shards_ = written(sizes, "shards")  # a row for each shard of the two trees
-    parts = shards_.select("side", "shard", "parts")
-    queries = routes.select("side", "shard", "fp").join(F.broadcast(parts), ["side", "shard"])
-    queries = queries.select("side", "shard", F.pmod(F.xxhash64("fp"), "parts").alias("part"), "fp")
-    members = shards_.select(F.col("side").alias("s"), F.col("shard").alias("h"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"), "members")
+    sizes = routes.groupBy("side", "shard").agg(F.count(F.lit(1)).alias("q"), F.count(F.when(F.col("member"), 1)).alias("m"))
+    # A shard's queries and members are both cut in parts, and each part of the one meets each of the other.
+    parts = F.broadcast(written(sizes.select("side", "shard", F.ceil(F.col("q") / task_queries).alias("qs"), F.ceil(F.col("m") / (2 * shard_rows)).alias("ms")).where("ms > 0"), "shards"))  # a row for each shard
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("fp"), F.col(n))
+    routes = routes.join(parts, ["side", "shard"])
+    queries = routes.select("side", "shard", own("qs").alias("q"), all_of("ms").alias("m"), "fp")
+    members = routes.where("member").select(F.col("side").alias("s"), F.col("shard").alias("h"), all_of("qs").alias("qp"), own("ms").alias("mp"), F.col("fp").alias("held"))
 
     def searched(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(held):
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        members = np.sort(np.asarray(held["members"].iloc[0], np.int64).view(np.uint64))
+        members = np.sort(held["held"].to_numpy(np.int64).view(np.uint64))
         queries = np.sort(asked["fp"].to_numpy(np.int64).view(np.uint64))
         nodes = np.unique(np.concatenate([members, queries]))
         forest = Forest(len(nodes))
@@ -200,24 +202,29 @@ def links(fps: DataFrame, bits: int = BITS, sample_rows: int = 4096, shard_rows:
         tied = np.flatnonzero(forest.parent != np.arange(len(nodes)))
         return pd.DataFrame({"a": nodes[tied].view(np.int64), "b": nodes[forest.parent[tied]].view(np.int64)})
 
-    return queries.groupBy("side", "shard", "part").cogroup(members.groupBy("s", "h", "p")).applyInPandas(searched, "a long, b long")
+    return queries.groupBy("side", "shard", "q", "m").cogroup(members.groupBy("s", "h", "qp", "mp")).applyInPandas(searched, "a long, b long")
 
 
 def rooted(prints: DataFrame, bits: int) -> DataFrame:
-    """prints (doc_id, fp) with the root of each one's component."""
-    roots = written(components(links(prints.select("fp").distinct(), bits)), "roots").select(F.col("node").alias("fp"), "root")
-    return prints.join(roots, "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
+    """fp, root for each distinct fingerprint of prints (doc_id, fp), with the least doc_id of its rows."""
+    fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
+    roots = written(components(links(fps, bits)), "roots").select(F.col("node").alias("fp"), "root")
+    return fps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """doc_id, fingerprint, component_id for each row."""
-    prints = rooted(written(fingerprints(docs, words), "prints"), bits)
-    least = prints.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return prints.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints = written(fingerprints(docs, words), "prints")
+    roots = written(rooted(prints, bits), "rooted")
+    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Rows meet their component by fingerprint; only distinct fingerprints are dealt out by root.
+    found = hot_join(prints, written(roots.select("fp", "root").join(least, "root").select("fp", "component_id"), "least"), "fp")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, words: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """One row of each component, that with the smallest doc_id (nulls last, then by row), with the columns of docs."""
+    """One row of each component, that with the smallest doc_id (nulls last, then by row), as it was."""
     rows = numbered(docs)
-    prints = written(fingerprints(rows.select(F.col("__row").alias("doc_id"), "text"), words), "prints")
-    return one_per_component(rows, written(rooted(prints, bits).select(F.col("doc_id").alias("__row"), "root"), "components"))
+    prints = written(fingerprints(rows.select(F.col("__row").alias("doc_id"), "__doc.text"), words), "prints")
+    roots = written(rooted(prints, bits).select("fp", "root"), "rooted")
+    return one_per_component(rows, written(hot_join(prints, roots, "fp").select(F.col("doc_id").alias("__row"), "root"), "components"))

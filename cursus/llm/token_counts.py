@@ -9,7 +9,8 @@ falls back to its UTF-8 bytes, one token for each, at the score of the last rank
 what stands between ASCII white space. Of equal scores the path with fewer tokens counts.
 
 Defined results: a null or empty text has 0 tokens and log probability 0; repeated rows are counted each
-for itself; an empty table gives an empty result; further columns play no part.
+for itself; a very long text is a slice of its own, and so long a pre-token is scored without being kept; an empty table
+gives an empty result; further columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .common import text_of
 from .tokens import Remembered, array_slices, distinct_words, of_worker, tokenizer_path
 
 MARK = "▁"
+#: Characters of a pre-token that stand in the trie. A pre-token of a million characters takes no more room than that.
+SHARED = 64
 
 
 class Unigram:
@@ -52,7 +55,7 @@ class Unigram:
         root = (0.0, 0, {}, ())
         for word in words:
             node = root
-            for c in MARK + word:
+            for depth, c in enumerate(MARK + word):
                 child = node[2].get(c)
                 if child is None:
                     n = len(c.encode())
@@ -64,7 +67,9 @@ class Unigram:
                                 best, count = s + own, t + 1
                             if piece[1]:
                                 on.append((s, t, piece))
-                    child = node[2][c] = (best, count, {}, on)
+                    child = (best, count, {}, on)
+                    if depth < SHARED:  # what lies deeper is scored the same way, but not kept
+                        node[2][c] = child
                 node = child
             out.append((node[1], node[0]))
         return out

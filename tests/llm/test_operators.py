@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("cursus.llm")
 import corpus_pipeline  # noqa: E402
@@ -105,9 +106,14 @@ def test_token_counts(docs, none):
             best.append((s, -n))
         return best[-1]
 
-    for r in token_counts.token_counts(docs).where("doc_id < 20").collect():
-        found = [plain("▁" + w) for w in re.findall(r"[^\x20\x09-\x0D]+", made()[r["doc_id"]][1] or "")]
-        assert r["n_tokens"] == sum(n for _, n in found) and r["log_prob"] == pytest.approx(sum(s for s, _ in found))
+    found = {w: plain("▁" + w) for _, x, *_ in made() for w in re.findall(r"[^\x20\x09-\x0D]+", x or "")}
+    want = Counter()
+    for i, x, *_ in made():
+        each = [found[w] for w in re.findall(r"[^\x20\x09-\x0D]+", x or "")]
+        want[i, len(each), sum(n for _, n in each), round(sum(s for s, _ in each), 5)] += 1
+    assert Counter((r["doc_id"], r["n_words"], r["n_tokens"], round(r["log_prob"], 5)) for r in token_counts.token_counts(docs).collect()) == want
+    long = "".join(random.Random(1).choices("abcdeé1", k=1500))
+    assert u.forward([long, long[:70], long])[::2] == [plain("▁" + long)[::-1]] * 2
     assert token_counts.token_counts(none).count() == 0
 
 
@@ -126,6 +132,43 @@ def test_exact(docs, none):
 def test_directory_doubles():
     depth, slots = exact_dedup.directory({0: 3, 1: 3, 12: 2}, 3, 4)
     assert len(slots) == 2**depth and slots[0] != slots[1] and len(set(slots[len(slots) // 2 :])) == 1
+    cells = {i: 1 for i in range(1 << 16)}
+    depth, slots = exact_dedup.directory(cells, 4)
+    assert depth == 14 and len(set(slots)) == 1 << 14
+
+
+def test_buckets_have_owners(spark):
+    r = random.Random(6)
+    texts = [f"text {i // 3}" for i in range(600)] + ["hot"] * 500
+    normal = spark.createDataFrame([(t,) for t in texts], "normal string").withColumn("key", F.xxhash64("normal"))
+    keys = normal.groupBy("key").agg(F.count("*").alias("n"))
+
+    def dealt(capacity, chain_rows):
+        rows = exact_dedup.owned(normal, keys, capacity, chain_rows).select("bucket", "part", "key", F.spark_partition_id().alias("task")).collect()
+        owners = {}
+        for x in rows:
+            owners.setdefault((x["bucket"], x["part"]), set()).add(x["task"])
+        assert len(rows) == len(texts) and all(len(t) == 1 for t in owners.values())
+        return {x["bucket"] for x in rows}, {x["task"] for x in rows}, max(Counter((x["bucket"], x["part"]) for x in rows).values())
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    one, many = dealt(1000, 10_000), dealt(5, 10_000)
+    assert len(one[0]) == 1 == len(one[1]) and len(many[0]) > 20 and len(many[1]) == 4
+    assert dealt(5, 10_000)[2] >= 500 and dealt(5, 16)[2] < 100  # the hot chain is cut
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(r.sample(texts, len(texts)))], "doc_id long, text string")
+    base = docs.withColumn("row", F.monotonically_increasing_id())
+    want = sorted(map(tuple, exact_dedup.exact_groups(docs, 1).collect()))
+    assert want == sorted(map(tuple, exact_dedup._groups(base, 50, 7).drop("row").collect())) and max(x[2] for x in want) == 500
+
+
+@pytest.mark.parametrize("stage", [exact_dedup.exact_dedup, simhash.near_dedup, quality.quality_filter, lambda docs: corpus_pipeline.near(None, docs, ""), lambda docs: pii.replace_pii(docs, "k")])
+def test_stages_keep_clashing_columns(spark, stage):
+    text = " ".join(f"word{i}" for i in range(40))
+    names = "doc_id __row __doc __sha __id row key root fp bucket normal n at __new a.b".split()
+    df = spark.createDataFrame([(None, *range(1, len(names)), text), (5, *range(1, len(names)), text), (6, *range(1, len(names)), text + " and more")], ", ".join(f"`{n}` long" for n in names) + ", text string")
+    got = stage(df)
+    assert got.columns == df.columns and {tuple(r)[1:-1] for r in got.collect()} == {tuple(range(1, len(names)))}
 
 
 def test_simhash(docs, none):
@@ -244,6 +287,14 @@ def test_quality(docs, none):
     assert quality.quality_filter(docs).columns == docs.columns and quality.quality_filter(none).count() == 0
 
 
+def test_cascade_order_is_steady(docs):
+    orders = {tuple(quality.cascade_order(quality.measured(docs))) for _ in range(10)}
+    assert len(orders) == 1, orders
+    alike = {"symbols": (0.02, 0.1), "few_letters": (0.04, 0.1), "stutter": (0.03, 0.0), "repeated_windows": (0.3, 0.0)}
+    assert quality.cascade_order(alike) == quality.cascade_order(alike | {"symbols": (0.04, 0.1)}) == ["symbols", "few_letters", "stutter", "repeated_windows"]
+    assert quality.cascade_order(alike | {"symbols": (9.0, 0.1)})[0] == "few_letters"  # far dearer than expected
+
+
 def test_pii(spark, none):
     rows = [(1, "Mr. John Smith and Mrs Smith (212) 555-1234, a.b@x.com 1.2.3.4", "en", None, None, None), (2, "Smith 212.555.1234 A.B@X.COM 1234567890123456", "en", None, None, None), (3, None, None, None, None, None), (4, "plain 12 words", "en", None, None, None)]
     got = {r["doc_id"]: r["text"] for r in pii.replace_pii(spark.createDataFrame(rows, SCHEMA), "k").collect()}
