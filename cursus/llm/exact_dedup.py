@@ -49,7 +49,7 @@ def directory(cells: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH)
     return depth, slots
 
 
-def owned(normal: DataFrame, keys: DataFrame, capacity: int | None = None, chain_rows: int = 256) -> DataFrame:
+def owned(normal: DataFrame, keys: DataFrame, capacity: int | None = None, chain_rows: int = 64) -> DataFrame:
     """The rows of normal (key, normal, ...) whose key repeats in keys (key, n), by the owner of their bucket and chain part."""
     spark = normal.sparkSession
     cell = F.shiftrightunsigned("key", 64 - MAX_DEPTH)
@@ -64,7 +64,7 @@ def owned(normal: DataFrame, keys: DataFrame, capacity: int | None = None, chain
     return members.withColumn("part", F.pmod("at", "parts")).drop("at", "parts").repartition("bucket", "part")
 
 
-def _groups(base: DataFrame, capacity: int | None, chain_rows: int = 256) -> DataFrame:
+def _groups(base: DataFrame, capacity: int | None, chain_rows: int = 64) -> DataFrame:
     """row, doc_id, keep_id, group_size, kept, text_sha256 for each row of base (row, doc_id, text)."""
     normal = base.select("row", "doc_id", F.char_length("text").alias("n_cp"), without_space(F.col("text")).alias("normal"))
     entries = written(normal.select("row", "doc_id", "n_cp", F.xxhash64("normal").alias("key"), F.sha2("normal", 256).alias("text_sha256")), "entries")
