@@ -76,7 +76,7 @@ def filter_videos(videos: DataFrame, config: FilterConfig, channels: DataFrame |
     else:
         df = df.withColumn("__subject", F.lit(None).cast("string"))
     df = df.withColumn("__text", searched_text(videos)).withColumn("__seconds", F.coalesce(F.col("duration_sec"), F.lit(0)))
-    text, seconds, subject = F.col("__text"), F.col("__seconds"), F.coalesce("__subject", F.lit("Unknown"))
+    text, seconds, subject = F.col("__text"), F.col("__seconds"), F.coalesce(*([F.col("subject")] if "subject" in videos.columns else []), F.col("__subject"), F.lit("Unknown"))
     exam, other, strong = (C.any_of(text, m) for m in (config.exam, config.other, config.strong))
     long_enough, hit, has_subject = seconds >= config.min_seconds, C.any_of(text, terms), F.lit(config.allow_subject) & F.col("__subject").isNotNull()
     wanted = [c for c, on in ((hit, config.require_terms), (long_enough, config.require_duration)) if on]
@@ -107,14 +107,14 @@ def filter_statistics(filtered: DataFrame) -> DataFrame:
     return filtered.groupBy("filter_category").agg(F.count("*").alias("n"), F.count_if("is_bac_3as").alias("accepted"), F.avg(c).alias("mean"), F.stddev(c).alias("std"), F.min(c).alias("low"), F.max(c).alias("high"))
 
 
-def discover_terms(texts: DataFrame, min_df: int = 5, max_df: float = 0.8, top_n: int = 100, min_positive: int = 50, min_negative: int = 20) -> DataFrame:
-    """Words whose mean TF-IDF is higher in texts with positive = true: (term, diff).
+def discover_terms(texts: DataFrame, min_df: int = 5, max_df: float = 0.8, top_n: int = 100, min_positive: int = 50, min_negative: int = 20, grams: tuple = (1, 2)) -> DataFrame:
+    """Character n-grams inside words whose mean TF-IDF is higher in texts with positive = true: (term, diff).
 
     texts (id, text, positive). Smoothed idf, raw counts, unit vectors. Below the least numbers of texts no term is found.
     """
     sizes = texts.agg(F.count("*").alias("n"), F.count_if("positive").alias("np"), F.count_if(~F.col("positive")).alias("nn"))
-    words = F.explode(F.array_remove(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), "")).alias("term")
-    tf = texts.select("id", "positive", words).groupBy("id", "positive", "term").agg(F.count("*").alias("tf"))
+    terms = F.explode(C.char_grams(F.coalesce("text", F.lit("")), *grams)).alias("term")
+    tf = texts.select("id", "positive", terms).groupBy("id", "positive", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(sizes)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")) & (F.col("np") >= min_positive) & (F.col("nn") >= min_negative))
     weight = tf.join(df, "term").withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = weight.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -124,6 +124,30 @@ def discover_terms(texts: DataFrame, min_df: int = 5, max_df: float = 0.8, top_n
     return diff.where("diff > 0").orderBy(F.desc("diff"), "term").limit(top_n)
 
 
+def run_filter(videos: DataFrame, config: FilterConfig, channels: DataFrame | None = None, priors: DataFrame | None = None, terms: tuple | None = None, top_n: int = 100) -> DataFrame:
+    """filter_videos with the priors and the terms that the videos themselves show, unless they are given.
+
+    Terms come from titles that hold exam marks alone against those that hold other marks alone; at most top_n of them, a
+    row each, are brought to the driver.
+    """
+    priors = channel_priors(videos, config) if priors is None else priors
+    if terms is None:
+        text = searched_text(videos)
+        exam, other = C.any_of(text, config.exam), C.any_of(text, config.other)
+        titles = videos.where(exam != other).select(F.col("video_id").alias("id"), F.col("title").alias("text"), exam.alias("positive"))
+        terms = tuple(r["term"] for r in discover_terms(titles, top_n=top_n).collect())
+    return filter_videos(videos, config, channels, priors, terms)
+
+
+def label_sample(filtered: DataFrame, config: FilterConfig, seed: str = "42") -> DataFrame:
+    """As many videos of each category as config.samples says, or all where there are fewer, with empty label columns."""
+    size = F.create_map(*[F.lit(x) for kv in config.samples.items() for x in kv])
+    draw = F.md5(F.concat(F.lit(seed), F.col("video_id").cast("string")).cast("binary"))
+    ranked = filtered.withColumn("__r", F.row_number().over(Window.partitionBy("filter_category").orderBy(draw, "video_id")))
+    kept = ranked.where(F.col("__r") <= F.coalesce(F.try_element_at(size, F.col("filter_category")), F.lit(0)))
+    return kept.drop("__r").withColumns({"human_label": F.lit(""), "notes": F.lit("")})
+
+
 def valid_transcript(text: Column) -> Column:
     """Not blank and fewer than two markers of page code."""
     blank = F.coalesce(F.regexp_count(text, F.lit(r"\S")), F.lit(0)) == 0

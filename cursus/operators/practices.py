@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..sources.sinks import markdown_report
+from .relational import group_quantiles
 from .statistics import compare_groups
 
 #: Features of delivery, and those of them that count only above 0.
@@ -34,11 +35,38 @@ def title_forms(title: Column, keywords) -> dict[str, Column]:
 
 def subject_durations(df: DataFrame, subject: str, minutes: str, level: str = "level", least: int = 10) -> DataFrame:
     """Quartiles of the high videos' minutes by subject, where there are `least` of them."""
-    q = F.percentile(F.col(minutes).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.where(F.col(level) == "High").groupBy(subject).agg(q.alias("q"), F.count("*").alias("n")).where(F.col("n") >= least)
+    high = df.where(F.col(level) == "High").select(subject, F.col(minutes).cast("double").alias("__m"))
+    out = group_quantiles(high, subject, "__m", [0.25, 0.5, 0.75]).where(F.col("n") >= least)
     return out.select(subject, *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))], "n")
 
 
+#: Right ends of the seven duration bins, in minutes; 0 is in none.
+DURATION_BINS = (5, 10, 15, 20, 30, 60)
+
+
+def duration_bin(minutes: Column) -> Column:
+    out = F.when(~(minutes > 0) | minutes.isNull(), F.lit(None).cast("string"))
+    for low, high in zip((0, *DURATION_BINS), DURATION_BINS, strict=False):
+        out = out.when(minutes <= high, f"{low}-{high}")
+    return out.otherwise(f"{DURATION_BINS[-1]}+")
+
+
+def timing(df: DataFrame, at: str, score: str) -> DataFrame:
+    """(part, value, n, mean_score) by day of the week and by hour, in one pass."""
+    parts = F.array(F.struct(F.lit("day").alias("part"), F.date_format(at, "EEEE").alias("value")), F.struct(F.lit("hour").alias("part"), F.hour(at).cast("string").alias("value")))
+    rows = df.where(F.col(at).isNotNull()).select(score, F.explode(parts).alias("p"))
+    return rows.groupBy(F.col("p.part").alias("part"), F.col("p.value").alias("value")).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"))
+
+
+def usage_by(df: DataFrame, group: str, tests: dict[str, Column], level: str = "level") -> DataFrame:
+    """usage within each group, in one pass."""
+    share = lambda t, g: F.coalesce(F.avg(F.when(F.col(level) == g, F.coalesce(t, F.lit(False)).cast("double"))), F.lit(0.0))
+    one = df.groupBy(group).agg(*[F.struct(share(t, "High").alias("h"), share(t, "Low").alias("l")).alias(f"s{i}") for i, t in enumerate(tests.values())])
+    rows = one.select(group, F.inline(F.array(*[F.struct(F.lit(n).alias("form"), F.col(f"s{i}.h").alias("h"), F.col(f"s{i}.l").alias("l")) for i, n in enumerate(tests)])))
+    lift = F.when(F.col("l") > 0, (F.col("h") - F.col("l")) / F.col("l") * 100).when(F.col("h") > 0, 100.0).otherwise(0.0)
+    return rows.select(group, "form", (F.col("h") * 100).alias("high_pct"), (F.col("l") * 100).alias("low_pct"), lift.alias("lift_pct"))
+
+
 def delivery(df: DataFrame, features=DELIVERY, level: str = "level", least: int = 6) -> DataFrame:
     """A row of comparison for each feature that df has; rates count only above 0."""
     parts = []

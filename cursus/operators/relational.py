@@ -72,3 +72,46 @@ def exact_quantiles(df: DataFrame, value: str, shares: list[float], bins: int =
     ends = [x for i, s in enumerate(shares) for x in (at(F.floor(place[s])).alias(f"lo{i}"), at(F.ceil(place[s])).alias(f"hi{i}"), F.max(place[s] - F.floor(place[s])).alias(f"f{i}"))]
     parts = [F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"f{i}") for i in range(len(shares))]
     return ranked.agg(*ends).select(F.array(*parts).alias("q"))
+
+
+def group_quantiles(df: DataFrame, group: str, value: str, shares: list[float], bins: int = 64) -> DataFrame:
+    """(group, q, n) for each group: its interpolated quantiles. As in `ordered`, values are ordered inside bins, so no
+    task holds all values of a group; nulls don't count."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("ties"))
+    cuts = counts.groupBy(group).agg(F.percentile_approx(value, [i / bins for i in range(1, bins)], 1000).alias("__cuts"))
+    binned = counts.join(cuts, group).withColumn("__bin", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    sums = binned.groupBy(group, "__bin").agg(F.sum("ties").alias("__s"))
+    whole = Window.partitionBy(group)
+    before = F.sum("__s").over(whole.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1))
+    totals = sums.select(group, "__bin", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__s").over(whole).alias("n"))
+    inside = F.coalesce(F.sum("ties").over(Window.partitionBy(group, "__bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = binned.withColumn("__inside", inside).join(totals, [group, "__bin"]).withColumn("below", F.col("__before") + F.col("__inside"))
+    v = F.col(value).cast("double")
+    at = lambda rank: F.max(F.when((F.col("below") <= rank) & (rank < F.col("below") + F.col("ties")), v))
+    place = {s: F.lit(s) * (F.col("n") - 1) for s in shares}
+    ends = [x for i, s in enumerate(shares) for x in (at(F.floor(place[s])).alias(f"lo{i}"), at(F.ceil(place[s])).alias(f"hi{i}"), F.max(place[s] - F.floor(place[s])).alias(f"f{i}"))]
+    parts = [F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"f{i}") for i in range(len(shares))]
+    return ranked.groupBy(group).agg(F.max("n").alias("n"), *ends).select(group, F.array(*parts).alias("q"), "n")
+
+
+def every_month(df: DataFrame, at: str) -> DataFrame:
+    """(month, n) from the first month to the last, those without rows too."""
+    counts = df.where(F.col(at).isNotNull()).groupBy(F.date_trunc("month", at).alias("month")).agg(F.count("*").alias("n"))
+    ends = counts.agg(F.min("month").alias("a"), F.max("month").alias("b")).where("a IS NOT NULL")
+    months = ends.select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 MONTH"))).alias("month"))
+    return months.join(counts, "month", "left").select("month", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def limited(df: DataFrame, n: int | None, *order) -> DataFrame:
+    """The first n rows in the order; all where n is 0 or None."""
+    return df.orderBy(*order).limit(n) if n else df
+
+
+def seeded_sample(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
+    """Exactly min(n, rows) rows, the same in every run."""
+    return df.orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string")).cast("binary")), key).limit(n)
+
+
+def is_subset(a: DataFrame, b: DataFrame) -> bool:
+    """Whether every row of a is in b."""
+    return a.join(b.distinct(), a.columns, "left_anti").isEmpty()

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import glob
-import json
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -13,20 +10,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .preparation import knowledge_chunks
+
 CHUNK = "chunk_id string, category string, subject string, content string"
 
 
 def knowledge_base(spark: SparkSession, folder: str, suffix: str = "_best_practices.json", skip: tuple = ("combined_best_practices.json",)) -> DataFrame:
-    """A chunk for each section of each subject's JSON file (a handful of small files), read on the driver."""
-    rows = []
-    for path in sorted(glob.glob(os.path.join(folder, f"*{suffix}"))):
-        if os.path.basename(path) in skip:
-            continue
-        subject = os.path.basename(path)[: -len(suffix)]
-        with open(path, encoding="utf-8") as f:
-            sections = json.load(f)
-        rows += [(f"{subject}:{k}", k, subject, json.dumps(v, ensure_ascii=False)) for k, v in sections.items()]
-    return spark.createDataFrame(rows, CHUNK)
+    """The chunks of each subject's JSON file in a folder that Spark reads: (chunk_id, category, subject, content)."""
+    files = spark.read.option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True)
+    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    named = files.select(name.alias("name"), "value").where(~F.col("name").isin(*skip))
+    return knowledge_chunks(named.select(F.substring_index("name", suffix, 1).alias("subject"), "value"))
 
 
 def hashing_embedder(size: int = 384):
@@ -77,10 +71,32 @@ def prioritised(hits: DataFrame, key: str, subject: str, wanted: str, k: int, le
 
 
 def best_per_question(questions: DataFrame, base: DataFrame, key: str, k: int) -> DataFrame:
-    """The k nearest rows for each question (question_id, asked); both sides are small, base is at most a knowledge base."""
-    scored = base.crossJoin(F.broadcast(questions)).withColumn("score", F.round(cosine("embedding", "asked"), 6))
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """The k nearest rows of base (key, embedding) for each question (question_id, asked).
+
+    The questions are held against the rows of base in blocks, which keep the k best of each question, so only these
+    are shuffled. Of equal scores (to six digits) the smaller key goes first. The questions of one call fit in a task.
+    """
+    held = questions.select("question_id", "asked").collect()  # the stated questions, not the base
+    names = [r["question_id"] for r in held]
+    asked = np.array([r["asked"] for r in held], np.float64).reshape(len(held), -1)
+    asked /= np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
+
+    def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            part = part[part["embedding"].notna()]
+            if not len(part) or not len(names):
+                continue
+            rows = np.stack(part["embedding"].to_numpy()).astype(np.float64)
+            rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+            keys, scores = part["k"].to_numpy(), np.round(asked @ rows.T, 6)
+            for q, s in zip(names, scores, strict=True):
+                top = np.lexsort((keys, -s))[:k]
+                yield pd.DataFrame({"question_id": q, "k": keys[top], "score": s[top]})
+
+    kinds = dict(base.dtypes) | dict(questions.dtypes)
+    found = base.select(F.col(key).alias("k"), "embedding").mapInPandas(best, f"question_id {kinds['question_id']}, k {kinds[key]}, score double")
+    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "k")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("question_id", F.col("k").alias(key), "score", "rank")
 
 
 def metric_status(name: str, value: Column) -> Column:

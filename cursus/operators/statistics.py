@@ -9,7 +9,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .relational import mid_ranks
+from .relational import group_quantiles, mid_ranks
 
 
 def erfc(x: Column) -> Column:
@@ -26,9 +26,12 @@ def compare_groups(df: DataFrame, group: str, high: str, low: str, value: str, l
     two = df.where(F.col(group).isin(high, low)).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
     of = lambda f, g: f(F.when(F.col("g") == g, F.col("v")))
     ranked = mid_ranks(two, "v")
-    stats = [of(f, g).alias(f"{n}{i}") for i, g in ((1, high), (0, low)) for n, f in (("m", F.avg), ("s", F.stddev), ("n", F.count), ("med", F.median))]
+    stats = [of(f, g).alias(f"{n}{i}") for i, g in ((1, high), (0, low)) for n, f in (("m", F.avg), ("s", F.stddev), ("n", F.count))]
     ties = F.col("ties").cast("double")
     one = ranked.agg(*stats, F.sum(F.when(F.col("g") == high, F.col("mid_rank"))).alias("r1"), F.sum(ties * ties - 1).alias("t"))
+    # Medians from ordered bins, as a median in an aggregate would hold all values of a group in one buffer.
+    medians = group_quantiles(two, "g", "v", [0.5]).agg(*[F.max(F.when(F.col("g") == g, F.get("q", F.lit(0)))).alias(f"med{i}") for i, g in ((1, high), (0, low))])
+    one = one.crossJoin(F.broadcast(medians))
     c = F.col
     n = c("n1") + c("n0")
     pairs = c("n1").cast("double") * c("n0")
@@ -61,6 +64,14 @@ def gram(df: DataFrame, columns: list[str]) -> DataFrame:
     return sums.selectExpr(f"stack({len(pairs)}, {stacked}) AS (a, b, dot)")
 
 
+def correlations_of(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, r) of each pair a before b, in one pass; rows with a null in either column don't count for the pair."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    one = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    stacked = ", ".join(f"'{a}', '{b}', r{i}" for i, (a, b) in enumerate(pairs))
+    return one.selectExpr(f"stack({len(pairs)}, {stacked}) AS (a, b, r)")
+
+
 def select_by_vif(df: DataFrame, columns: list[str], most: float = 10.0, correlation: float = 0.95) -> list[str]:
     """Columns left after dropping constants, those correlated above `correlation` with any earlier one, and then the
     highest variance inflation factor while one exceeds `most`. One scan; the driver holds a square of the columns."""
@@ -126,9 +137,12 @@ def pipeline(features: list[str], target: str, model: str = "forest", **params)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), MODELS[model](labelCol=target, featuresCol="features", predictionCol="predicted", **params)])
 
 
-def train(df: DataFrame, key: str, features: list[str], target: str, model: str = "forest", seed: str = "42", **params):
-    """Fit on the training part, measure on the rest, fit again on all: (model, metrics as a DataFrame, predictions)."""
-    test = in_test(key, seed)
+def train(df: DataFrame, key: str, features: list[str], target: str, model: str = "forest", seed: str = "42", test_ids: list | None = None, **params):
+    """The test rows are those of test_ids (a bounded list), else a fifth by digest. Fit on the training part, measure on the rest, fit again on all: (model, metrics as a DataFrame, predictions)."""
+    test = in_test(key, seed) if test_ids is None else F.col(key).isin(*test_ids)
+    sizes = df.agg(F.count_if(test).alias("test"), F.count_if(~test).alias("train")).first()
+    if not sizes["test"] or not sizes["train"]:
+        raise ValueError(f"the split leaves {sizes['train']} rows to learn from and {sizes['test']} to measure on")
     stages = pipeline(features, target, model, **params)
     predictions = stages.fit(df.where(~test)).transform(df.where(test)).drop("features")
     return stages.fit(df), regression_metrics(predictions, target, "predicted"), predictions

@@ -73,16 +73,6 @@ def filter_statistics(spark, sf_dir):
     return rounded(O.filter_statistics(filtered(spark, sf_dir)), "mean", "std")
 
 
-@query(r"""WITH d AS (SELECT doc_id AS id, text, lang = 'en' AS positive FROM documents), z AS (SELECT count(*) AS n, count(*) FILTER (WHERE positive) AS np, count(*) FILTER (WHERE NOT positive) AS nn FROM d
-), w AS (SELECT id, positive, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM d), tf AS (SELECT id, positive, term, count(*) AS tf FROM w GROUP BY ALL
-), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), k AS (SELECT id, positive, tf.term, np, nn, tf * (ln((1 + n) / (1 + df)) + 1) AS x FROM tf JOIN df ON df.term = tf.term, z WHERE df >= 5 AND df <= 0.8 * n AND np >= 50 AND nn >= 20
-), u AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS u FROM k), r AS (SELECT term, coalesce(sum(u) FILTER (WHERE positive), 0) / min(np) - coalesce(sum(u) FILTER (WHERE NOT positive), 0) / min(nn) AS diff FROM u GROUP BY term)
-SELECT term, round(diff, 6) AS diff FROM r WHERE diff > 0 ORDER BY r.diff DESC, term LIMIT 20""")
-def discover_terms(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", (F.col("lang") == "en").alias("positive"))
-    return rounded(O.discover_terms(docs, top_n=20), "diff")
-
-
 _T = "lower(text)"
 _EVERY = tuple(dict.fromkeys(m.lower() for c in L.CURRICULA.values() for m in c))
 TRANSCRIPTS_SQL = rf"""WITH a AS (SELECT doc_id, text, lower(text) AS t, CAST(floor(n_chars / 15) AS BIGINT) AS s, list_filter(regexp_split_to_array(text, '{SPACE}'), lambda x: x <> '') AS w FROM documents

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,14 +101,51 @@ def cached_embeddings(texts: DataFrame, column: str, path: str, embed: Callable[
     return spark.read.parquet(path).join(asked.select("digest"), "digest", "left_semi")
 
 
-def append_checkpoint(rows: DataFrame, path: str) -> None:
+def append_checkpoint(rows: DataFrame, path: str, batch: int) -> None:
     """Rows of one batch added to a table; read it back with read_checkpoint."""
-    rows.write.mode("append").parquet(path)
+    rows.withColumn("__batch", F.lit(batch).cast("long")).write.mode("append").parquet(path)
 
 
 def read_checkpoint(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """One row for each key, whatever batches repeat it."""
-    return spark.read.parquet(path).dropDuplicates([key])
+    """One row for each key: that of the latest batch, and of equals in it the greatest."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (key, "__batch")]
+    last = rows.groupBy(key).agg(F.max(F.struct("__batch", *rest)).alias("last"))
+    return last.select(*[F.col(key) if c == key else F.col(f"last.{c}") for c in rows.columns if c != "__batch"])
+
+
+def write_predictions(df: DataFrame, path: str, kind: str = "csv") -> None:
+    """Predictions as CSV with a header, or as JSON lines."""
+    if kind not in ("csv", "json"):
+        raise ValueError(f"unknown kind {kind!r}")
+    writer = df.write.mode("overwrite")
+    writer.option("header", True).csv(path) if kind == "csv" else writer.json(path)
+
+
+def save_index(chunks: DataFrame, path: str) -> None:
+    """A vector index: chunk_id, category, subject, content, embedding, metadata as JSON."""
+    rest = [c for c in chunks.columns if c not in ("chunk_id", "category", "subject", "content", "embedding")]
+    meta = F.to_json(F.struct(*rest)) if rest else F.lit("{}")
+    chunks.select("chunk_id", "category", "subject", "content", "embedding", meta.alias("metadata")).write.mode("overwrite").parquet(path)
+
+
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared one; where the session names none (one machine), a temporary one."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        place = "file://" + tempfile.mkdtemp(prefix="cursus-")
+    return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex[:8]}"
+
+
+def run_id() -> str:
+    """Eight random hex digits, drawn once on the driver."""
+    return uuid.uuid4().hex[:8]
 
 
 def markdown_report(title: str, facts: dict[str, str], sections: dict[str, list[str]]) -> str:

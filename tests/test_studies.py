@@ -111,7 +111,7 @@ def test_sinks(spark, tmp_path, line):
         assert sinks.cached_embeddings(spark.createDataFrame([(t,) for t in texts], "t string"), "t", at("cache"), embed).count() == len(set(texts))
     assert asked == [3, 1]
     for rows in ([(1,), (2,)], [(2,), (3,)]):
-        sinks.append_checkpoint(spark.createDataFrame(rows, "id int"), at("batches"))
+        sinks.append_checkpoint(spark.createDataFrame(rows, "id int"), at("batches"), 0)
     assert sinks.read_checkpoint(spark, at("batches"), "id").count() == 3
 
 
