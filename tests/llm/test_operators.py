@@ -227,19 +227,81 @@ def test_links_across_shards(spark):
                 assert got[a] == got[b]
 
 
-def test_class_lm(docs, none):
-    got = class_lm.score(docs, types=64, n_classes=4, sweeps=2).toPandas()
+def plain_class_scores(texts, units, classes, end, n_classes, weight, c):
+    """Scores by the written formula, token by token, given each word's class."""
+    n, v = sum(c.values()), sum(x > 0 for x in c.values())
+    of = lambda w: classes[units[w]]
+    size, known, pairs = np.zeros(n_classes), np.zeros(n_classes), np.zeros((n_classes, n_classes))
+    for w, k in c.items():
+        size[of(w)] += k
+        known[of(w)] += k > 0
+    for x, training in texts:
+        for a, b in zip([b"", *x], x, strict=False) if training else ():
+            pairs[of(a), of(b)] += 1
+    prior = (size + 1) / (size.sum() + n_classes)
+    out = []
+    for x, _ in texts:
+        p = [weight * (pairs[of(a), of(b)] + 10 * prior[of(b)]) / (pairs[of(a)].sum() + 10) * (c[b] + 1) / (size[of(b)] + known[of(b)] + 1) + (1 - weight) * (c[b] + 1) / (n + v + 1) for a, b in zip([b"", *x], x, strict=False)]
+        out.append(float(np.log10(p).sum()))
+    return out
+
+
+def test_class_lm(spark, docs, none, monkeypatch):
+    kept = {}
+    cluster, count = class_lm.clustered, class_lm.counted
+
+    def noted(name, f):
+        monkeypatch.setattr(class_lm, f.__name__, lambda *a: (out := f(*a), kept.setdefault(name, out))[0])
+
+    noted("c", cluster)
+    noted("w", count)
+    got = class_lm.score(docs, least=30, most_words=12, n_classes=4, sweeps=2, shapes=8).toPandas()
+    units = {bytes(r["word"]): r["unit"] for r in kept["w"][0].collect()}
     c = Counter()
     tokens = {i: [*(x or "").encode().lower().split(), b""] for i, x, *_ in made()}
-    for i, x, *_ in made():
+    for i, _, *_ in made():
         if class_lm.is_training(i):
             c.update(tokens[i])
-    for r in got.itertuples():
-        mine = tokens[None if r.doc_id != r.doc_id else int(r.doc_id)]
+    c |= Counter()
+    for w in {w for x in tokens.values() for w in x}:
+        c[w] += 0
+    assert kept["w"][1] == 12 and {w for w, u in units.items() if u < 12} == {w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:12]}
+    # The end of a text stands before the next one's first word in training, whatever text that is.
+    plain = plain_class_scores([(tokens[i], class_lm.is_training(i)) for i, *_ in made()], units, kept["c"][0], units[b""], 4, class_lm.WEIGHT, c)
+    want = Counter((i, round(s, 4)) for (i, *_), s in zip(made(), plain, strict=True))
+    ids = [None if d != d or d is None else int(d) for d in got.doc_id.astype(object).where(got.doc_id.notna(), None)]
+    assert Counter(zip(ids, got.score.round(4), strict=True)) == want
+    for d, r in zip(ids, got.itertuples(), strict=True):
+        mine = tokens[d]
         assert r.n_tokens == len(mine) and r.n_known == sum(c[w] > 0 for w in mine) and r.train_tokens == sum(c.values())
-        assert r.base_score == pytest.approx(sum(np.log10((c[w] + 1) / (sum(c.values()) + len(c) + 1)) for w in mine))
-        assert r.score < 0
-    assert class_lm.score(none, types=64, n_classes=4).count() == 0
+        assert r.base_score == pytest.approx(sum(np.log10((c[w] + 1) / (sum(c.values()) + sum(x > 0 for x in c.values()) + 1)) for w in mine))
+    assert class_lm.score(none, n_classes=4).count() == 0
+
+
+def test_exchange_raises_the_likelihood():
+    r = np.random.default_rng(4)
+    group = r.integers(0, 3, 40)  # units follow those of the next group
+    text = [0]
+    for _ in range(6000):
+        text.append(int(r.choice(np.flatnonzero(group == (group[text[-1]] + 1) % 3))))
+    text = np.array(text)
+    totals, classes = np.bincount(text[1:], minlength=40).astype(float), np.arange(40).astype(np.uint8) % 3
+
+    def counts(classes):
+        out = np.zeros((2, 40, 3), np.float32)
+        np.add.at(out[0], (text[:-1], classes[text[1:]]), 1)
+        np.add.at(out[1], (text[1:], classes[text[:-1]]), 1)
+        return out
+
+    first = np.zeros((40, 40))
+    np.add.at(first, (text[:-1], text[1:]), 1)
+    best = class_lm.likelihood(class_lm.pairs_of(counts(group.astype(np.uint8))[0], group, 3))
+    for exact in (40, 30):
+        now, seen = classes, []
+        for _ in range(8):
+            seen.append(class_lm.likelihood(class_lm.pairs_of(counts(now)[0], now, 3)))
+            now = class_lm.exchange(now, counts(now), totals, 3, first[:exact, :exact], 2).astype(np.uint8)
+        assert max(seen) > seen[0] + 0.9 * (best - seen[0]), (seen, best)
 
 
 def test_numbers():
