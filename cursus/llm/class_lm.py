@@ -82,7 +82,7 @@ def blocks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
-        for k, (doc_ids, texts) in enumerate(array_slices(batches, 12_000_000)):
+        for k, (doc_ids, texts) in enumerate(array_slices(batches, 20_000_000)):
             ends, places, found = distinct_words(pc.ascii_lower(texts))
             words = found.cast(pa.binary()).to_pylist()
             if END not in words:  # it is there when a text begins or ends with white space

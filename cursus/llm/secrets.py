@@ -2,7 +2,8 @@
 
 All rules are compiled into one minimal automaton that runs once over the bytes of a text and signals the earliest
 place where a rule matches. The rule's reversed automaton then finds where the match begins and its
-forward automaton where it ends; matches of a rule are leftmost, longest and don't overlap.
+forward automaton where it ends; matches of a rule are leftmost, longest and don't overlap. Where two kinds begin at one
+place the rule listed first goes first. A very long text is scanned whole; it takes memory in proportion to its length.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned each for itself; an empty table gives an
 empty result; further columns play no part. Offsets count code points, ends are exclusive.

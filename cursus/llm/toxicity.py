@@ -6,8 +6,10 @@ lexicon, the trees and the calibration are learned on a bounded sample of labell
 whole text is scored.
 
 Defined results: a null or empty text has zero features and a score like any other; a row without doc_id is no
-training row by label; repeated rows are scored each for itself; an empty table gives an empty result; without
-labels, or with one label alone, the score is the share of label 1 (0 without any); further columns play no part.
+training row by label; repeated rows are scored each for itself, and of an id's several texts or labels the least is
+learned from; a very long text is scored whole; of equal splits the first feature's counts; an empty table gives an empty
+result; without labels, or with one label alone, the score is the share of label 1 (0 without any); further columns,
+whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import text_of, written
 from .tokens import in_slices, words_of
 
-#: The sample: labelled training rows at most, and the longest text in characters that one may have.
-SAMPLE_ROWS, SAMPLE_CHARS = 6000, 20_000
+#: The sample: labelled training rows at most, and bytes of text that they may have together.
+SAMPLE_ROWS, SAMPLE_BYTES = 6000, 32_000_000
 #: Second-person pronouns of the corpus' languages, and the letters that digits and signs stand for.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch euer sie ihnen tu te toi ton ta tes vous votre vos usted ustedes tú ti tus vosotros os".split())
 LEET = str.maketrans("01345789@$!+|", "oieastbgasitl")
@@ -208,13 +210,22 @@ class Model:
         return self.calibrated.score(self.trees.margin(features)) if self.learned else np.full(len(features), self.share)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """A model of at most sample_rows labelled training rows, those that come first by a hash of their id."""
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model of at most sample_rows labelled training rows and sample_bytes bytes, those that come first by a hash of
+    their id, texts of any length. A row that would pass the bytes is left out, later ones that fit are not."""
     training = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & training)
-    chosen = written(chosen.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows), "labelled")
-    rows = text_of(docs).where(F.char_length("text") <= sample_chars).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    rows = sorted({r["doc_id"]: r for r in rows.orderBy("doc_id", "text").limit(sample_rows).collect()}.values(), key=lambda r: r["doc_id"])
+    chosen = written(chosen.groupBy("doc_id").agg(F.min("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows), "labelled")
+    rows = text_of(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
+    rows = written(rows, "sample")  # a row for each of the sample's ids
+    sizes = sorted(rows.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")).collect(), key=lambda r: (r["h"], r["doc_id"]))
+    taken, used = set(), 0
+    for r in sizes:
+        if used + r["n"] <= sample_bytes:
+            taken.add(r["doc_id"])
+            used += r["n"]
+    fits = rows if len(taken) == len(sizes) else rows.where(F.col("doc_id").isin(*taken))
+    rows = sorted(fits.collect(), key=lambda r: r["doc_id"])
     return Model([r["doc_id"] for r in rows], [r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
