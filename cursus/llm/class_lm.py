@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import latest_path, remove, text_of, written
 from .tokens import array_slices, distinct_words
 
 #: Words clustered for themselves: how often they must occur, and how many there are at most (two bytes a class and 2 * 4
@@ -75,14 +75,14 @@ def of_numbers(data: bytes) -> np.ndarray:
     return units[~more]
 
 
-def blocks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Texts as numbers into their block's words, and the words of each block with their training counts."""
+def blocks(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """Texts as numbers into their block's words, the words of each block with their training counts, and where both lie."""
     kinds = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("training", pa.bool_()), ("ids", pa.binary()), ("word", pa.binary()), ("local", pa.int32()), ("n", pa.int64()), ("kind", pa.string())])
     schema = "block long, doc_id long, training boolean, ids binary, word binary, local int, n long, kind string"
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
-        for k, (doc_ids, texts) in enumerate(array_slices(batches, 20_000_000)):
+        for k, (doc_ids, texts) in enumerate(array_slices(batches, 12_000_000)):
             ends, places, found = distinct_words(pc.ascii_lower(texts))
             words = found.cast(pa.binary()).to_pylist()
             if END not in words:  # it is there when a text begins or ends with white space
@@ -105,7 +105,7 @@ def blocks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield batch(len(some), word=some, local=np.arange(a, a + len(some), dtype=np.int32), n=counts[a : a + 50_000], kind=["word"] * len(some))
 
     both = written(text_of(docs).mapInArrow(numbered, schema), "blocks", partition_by="kind")
-    return both.where("kind = 'text'").select("block", "doc_id", "training", "ids"), both.where("kind = 'word'").select("block", "word", "local", "n")
+    return both.where("kind = 'text'").select("block", "doc_id", "training", "ids"), both.where("kind = 'word'").select("block", "word", "local", "n"), latest_path()
 
 
 def counted(words: DataFrame, least: int, most_words: int, shapes: int) -> tuple[DataFrame, int]:
@@ -285,7 +285,7 @@ def clustered(texts: DataFrame, totals: np.ndarray, n_classes: int, end: int, sw
 
 def score(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, n_classes: int | None = None, sweeps: int = SWEEPS, weight: float = WEIGHT, shapes: int = SHAPES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each whole text (log10)."""
-    texts, words = blocks(docs)
+    texts, words, place = blocks(docs)
     counts, n_words = counted(words, least, most_words, shapes)
     counts = written(counts, "word-units")
     by_unit = counts.groupBy("unit").agg(F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("v")).collect()  # one row for each unit
@@ -296,6 +296,7 @@ def score(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, n_c
     ends = counts.where(F.octet_length("word") == 0).select("unit").first()
     end, n_classes = (ends["unit"] if ends else 0), n_classes or n_classes_for(n_words)
     held = unit_texts(texts, words.join(counts, "word").select("block", "local", "c", "unit"), n, v)
+    remove(docs.sparkSession, place)  # what comes later reads the units alone
 
     classes, pairs = clustered(held, totals, n_classes, end, sweeps) if n else (np.zeros(len(totals), np.uint8), np.zeros((n_classes, n_classes)))
     size = np.bincount(classes, weights=totals, minlength=n_classes)

@@ -57,12 +57,23 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing will read again."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _PATHS:
+        _PATHS.remove(path)
+
+
 def remove_written(spark: SparkSession, *more: str) -> None:
     """Deletes the tables that this driver has written so far, and those named. Nothing that reads them may be open."""
     for path in [*_PATHS, *more]:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    _PATHS.clear()
+        remove(spark, path)
+
+
+def latest_path() -> str:
+    """Where the last table went."""
+    return _PATHS[-1]
 
 
 def numbered(docs: DataFrame) -> DataFrame:

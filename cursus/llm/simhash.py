@@ -188,12 +188,14 @@ def links(fps: DataFrame, bits: int = BITS, sample_rows: int = 4096, shard_rows:
     own = lambda n: F.pmod(F.xxhash64("fp"), F.col(n))
     routes = routes.join(parts, ["side", "shard"])
     queries = routes.select("side", "shard", own("qs").alias("q"), all_of("ms").alias("m"), "fp")
-    members = routes.where("member").select(F.col("side").alias("s"), F.col("shard").alias("h"), all_of("qs").alias("qp"), own("ms").alias("mp"), F.col("fp").alias("held"))
+    # A part of the members is one array of about 2 * shard_rows at most, so what each part of the queries gets is a row.
+    held = written(routes.where("member").groupBy("side", "shard", "qs", own("ms").alias("mp")).agg(F.collect_list("fp").alias("held")), "members")
+    members = held.select(F.col("side").alias("s"), F.col("shard").alias("h"), all_of("qs").alias("qp"), "mp", "held")
 
     def searched(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(held):
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        members = np.sort(held["held"].to_numpy(np.int64).view(np.uint64))
+        members = np.sort(np.asarray(held["held"].iloc[0], np.int64).view(np.uint64))
         queries = np.sort(asked["fp"].to_numpy(np.int64).view(np.uint64))
         nodes = np.unique(np.concatenate([members, queries]))
         forest = Forest(len(nodes))
