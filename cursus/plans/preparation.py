@@ -362,7 +362,7 @@ def knowledge_chunks(spark, sf_dir):
     return Q.knowledge_chunks(files)
 
 
-@query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS minutes, round(p_retailprice, 2) AS wpm, CASE WHEN p_size % 2 = 0 THEN 12.5 END AS percent, CASE p_type WHEN 'PROMO' THEN 'title' WHEN 'SMALL' THEN 'timing' ELSE 'general' END AS bucket FROM part")
+@query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS minutes, round(p_retailprice, 2) AS wpm, CAST(CASE WHEN p_size % 2 = 0 THEN 12.5 END AS DOUBLE) AS percent, CASE p_type WHEN 'PROMO' THEN 'title' WHEN 'SMALL' THEN 'timing' ELSE 'general' END AS bucket FROM part")
 def benchmark_figures(spark, sf_dir):
     text = F.concat(F.col("p_size").cast("string"), F.lit(" minutes at "), F.format_string("%.2f", "p_retailprice"), F.lit(" WPM"), F.when(F.col("p_size") % 2 == 0, ", 12.5 % more").otherwise(""))
     kind = F.when(F.col("p_type") == "PROMO", "Title_impact").when(F.col("p_type") == "SMALL", "best_day").otherwise("misc")
@@ -417,7 +417,7 @@ def delivery_comparison(spark, sf_dir):
 # --- sources and sinks: written, and read back ---
 
 
-@query("SELECT p_partkey AS key, p_name || chr(10) || '\"' || p_type || '\"' AS text, p_size AS size, p_size + 1.5 AS total, 'a|' || p_brand AS tags FROM part")
+@query("SELECT p_partkey AS key, p_name || chr(10) || '\"' || p_type || '\"' AS text, p_size AS size, CAST(p_size + 1.5 AS DOUBLE) AS total, 'a|' || p_brand AS tags FROM part")
 def csv_round_trip(spark, sf_dir):
     place = sinks.scratch(spark, "csv")
     text = F.concat("p_name", F.lit('\n"'), "p_type", F.lit('"'))

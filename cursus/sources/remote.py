@@ -68,6 +68,15 @@ def paged(spark: SparkSession, client: str, lists: list[str], most: int | None =
     return (reader if most is None else reader.option("most", str(most))).load()
 
 
+def paged_or_searched(spark: SparkSession, client: str, search: str, lists: list[str], most: int | None = None) -> DataFrame:
+    """(list_id, page, record, mode): lists whose client gives no record are searched for instead, which costs 100 units a
+    page. The first answers are kept while the second ones come, so nothing is asked twice unless an executor is lost."""
+    found = paged(spark, client, lists, most).withColumn("mode", F.lit("list")).persist()
+    answered = {r["list_id"] for r in found.select("list_id").distinct().collect()}  # of the caller's own lists
+    rest = [x for x in lists if x not in answered]
+    return found.unionByName(paged(spark, search, rest, most).withColumn("mode", F.lit("search"))) if rest else found
+
+
 def flat_videos(records: DataFrame, record: str = "record") -> DataFrame:
     """Nested items as flat rows; absent text is empty and absent or unreadable numbers are 0."""
     item = "id string, snippet struct<title:string,description:string,publishedAt:string,channelId:string,channelTitle:string,tags:array<string>>, contentDetails struct<duration:string>, statistics struct<viewCount:string,likeCount:string,commentCount:string>"
@@ -107,7 +116,7 @@ def enriched(ids: DataFrame, key: str, client: str, schema: str, size: int = 50,
         def answered(some: list) -> pd.DataFrame:
             try:
                 rows = [{**r, "failed_ids": None, "error": None} for r in fetch(some)]
-            except Exception as e:  # noqa: BLE001 - a failed batch is reported and the others go on
+            except (OSError, RuntimeError, ValueError) as e:  # what clients raise; a mistake in a program is no answer
                 rows = [{"failed_ids": ",".join(map(str, some)), "error": f"{type(e).__name__}: {e}"}]
             return pd.DataFrame(rows, columns=[*names, "failed_ids", "error"])
 
@@ -128,11 +137,24 @@ def units(requests: DataFrame, kind: str = "kind") -> DataFrame:
     return requests.groupBy(kind).agg(F.count("*").alias("requests")).withColumn("units", F.col("requests") * F.coalesce(F.try_element_at(table, F.col(kind)), F.lit(0)))
 
 
-def within_budget(requests: DataFrame, budget: int, order: str, kind: str = "kind", group: str | None = None) -> DataFrame:
-    """The requests, in order within each group (a key or a day), up to the one that would go beyond the budget."""
+def within_budget(requests: DataFrame, budget: int, order: str, kind: str = "kind", group: str | None = None, bins: int = 64) -> DataFrame:
+    """The requests, in order within each group (a key or a day), up to the one that would go beyond the budget.
+
+    Without a group, sums run inside bins of the order, and only the bins' totals meet in one task.
+    """
     table = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
-    w = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return requests.withColumn("spent", F.sum(F.coalesce(F.try_element_at(table, F.col(kind)), F.lit(0))).over(w)).where(F.col("spent") <= budget)
+    costs = requests.withColumn("__u", F.coalesce(F.try_element_at(table, F.col(kind)), F.lit(0)))
+    if group:
+        parts, before = Window.partitionBy(group), F.lit(0)
+    else:
+        cuts = costs.agg(F.percentile_approx(F.col(order).cast("double"), [i / bins for i in range(1, bins)], 1000).alias("__cuts"))
+        costs = costs.crossJoin(F.broadcast(cuts)).withColumn("__bin", F.size(F.filter("__cuts", lambda c: c < F.col(order).cast("double")))).drop("__cuts")
+        sums = costs.groupBy("__bin").agg(F.sum("__u").alias("__s"))
+        earlier = F.sum("__s").over(Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1))
+        costs = costs.join(F.broadcast(sums.select("__bin", F.coalesce(earlier, F.lit(0)).alias("__before"))), "__bin")
+        parts, before = Window.partitionBy("__bin"), F.col("__before")
+    w = parts.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return costs.withColumn("spent", before + F.sum("__u").over(w)).where(F.col("spent") <= budget).select(*requests.columns, "spent")
 
 
 def failure_kind(error: Column) -> Column:

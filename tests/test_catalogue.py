@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cursus.functions import columns as C
 from cursus.operators import relational as R
-from cursus.plans import catalogue, lessons, preparation, studies  # noqa: F401
+from cursus.plans import artifacts, catalogue, lessons, preparation, studies  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -11,7 +11,7 @@ from cursus.operators import relational as R
 from cursus.operators import retrieval as V
 from cursus.operators import statistics as S
 from cursus.operators import thumbnails as I
-from cursus.sources import sinks
+from cursus.sources import remote, sinks
 from cursus.sources.tables import SNAPSHOT, table_or_empty, with_columns
 
 
@@ -123,3 +123,32 @@ def test_gram_and_small_functions(spark):
     df = spark.createDataFrame([("Ab  c",)], "t string")
     assert df.select(C.char_grams(F.col("t")).alias("g")).first()["g"] == [" ", "a", "b", " ", " a", "ab", "b ", " ", "c", " ", " c", "c "]
     assert df.select(C.severity(F.lit(60.0)).alias("a"), C.available(F.lit(" ")).alias("b"), C.mean_pooled(F.array().cast("array<array<double>>")).alias("c")).first()[:2] == ("high", 0)
+
+
+def test_search_where_a_list_gives_nothing(spark, tmp_path):
+    place = tmp_path / "cursus_search_client.py"
+    place.write_text("def page(list_id, token):\n    return ([] if list_id == 'gone' else ['x']), None\ndef search(list_id, token):\n    return ['s1', 's2'], None\n")
+    spark.sparkContext.addPyFile(str(place))
+    got = remote.paged_or_searched(spark, "cursus_search_client:page", "cursus_search_client:search", ["a", "gone"]).collect()
+    assert sorted((r["list_id"], r["mode"], r["record"]) for r in got) == [("a", "list", "x"), ("gone", "search", "s1"), ("gone", "search", "s2")]
+
+
+def test_budget_without_a_group(spark):
+    r = np.random.default_rng(2)
+    kinds = [str(k) for k in r.choice(["list", "search", "odd"], 300)]
+    df = spark.createDataFrame(list(enumerate(kinds)), "n int, kind string").repartition(5)
+    spent, want = 0, []
+    for i, k in enumerate(kinds):
+        spent += remote.UNITS.get(k, 0)
+        want += [i] * (spent <= 2500)
+    assert sorted(x["n"] for x in remote.within_budget(df, 2500, "n", bins=8).collect()) == want
+
+
+def test_newest_state_by_stream(spark, tmp_path):
+    from cursus.streaming.snapshots import upsert_latest
+
+    held = []
+    batch = upsert_latest(lambda: held[-1] if held else None, lambda df: held.append(spark.createDataFrame(df.collect(), df.schema)))
+    for rows in ([("a", "2024-01-02", 1), ("b", "2024-01-01", 2)], [("a", "2024-01-01", 3), ("b", "2024-01-05", 4)]):
+        batch(spark.createDataFrame(rows, "video_id string, snapshot_date string, n long"), 0)
+    assert {r["video_id"]: r["n"] for r in held[-1].collect()} == {"a": 1, "b": 4}
