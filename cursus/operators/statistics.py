@@ -6,10 +6,9 @@ import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import group_quantiles, mid_ranks
 
 
 def erfc(x: Column) -> Column:
@@ -18,20 +17,40 @@ def erfc(x: Column) -> Column:
     return t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
 
 
+def two_group_ranks(two: DataFrame, high: str, low: str, bins: int = 64) -> DataFrame:
+    """For each distinct v of two (g, v): t1 and t0, its rows by group; b1 and b0, those before it; n1 and n0, all of a
+    group's rows; mid, a value near the median. Values are ordered inside bins, so no task holds all of them, and only
+    the bins' totals meet in one task."""
+    counts = two.groupBy("v").agg(F.count_if(F.col("g") == high).alias("t1"), F.count_if(F.col("g") == low).alias("t0"))
+    cuts = counts.agg(F.percentile_approx("v", [i / bins for i in range(1, bins)], 1000).alias("cuts"))
+    binned = counts.crossJoin(F.broadcast(cuts)).select("v", "t1", "t0", F.get("cuts", F.lit(bins // 2 - 1)).alias("mid"), F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("bin"))
+    sums = binned.groupBy("bin").agg(F.sum("t1").alias("s1"), F.sum("t0").alias("s0"))
+    whole = Window.partitionBy()
+    earlier = lambda c: F.coalesce(F.sum(c).over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = sums.select("bin", earlier("s1").alias("e1"), earlier("s0").alias("e0"), F.sum("s1").over(whole).alias("n1"), F.sum("s0").over(whole).alias("n0"))
+    inside = lambda c: F.coalesce(F.sum(c).over(Window.partitionBy("bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = binned.withColumns({"i1": inside("t1"), "i0": inside("t0")}).join(F.broadcast(totals), "bin")
+    return placed.select("v", "t1", "t0", (F.col("e1") + F.col("i1")).alias("b1"), (F.col("e0") + F.col("i0")).alias("b0"), "n1", "n0", "mid")
+
+
 def compare_groups(df: DataFrame, group: str, high: str, low: str, value: str, least: int = 5) -> DataFrame:
     """One row: means, medians, difference in %, Mann-Whitney p (two-sided, asymptotic, continuity), Cohen's d.
 
     p and d are null where a group has fewer than `least` values; d is 0 where both have no spread.
     """
     two = df.where(F.col(group).isin(high, low)).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
-    of = lambda f, g: f(F.when(F.col("g") == g, F.col("v")))
-    ranked = mid_ranks(two, "v")
-    stats = [of(f, g).alias(f"{n}{i}") for i, g in ((1, high), (0, low)) for n, f in (("m", F.avg), ("s", F.stddev), ("n", F.count))]
-    ties = F.col("ties").cast("double")
-    one = ranked.agg(*stats, F.sum(F.when(F.col("g") == high, F.col("mid_rank"))).alias("r1"), F.sum(ties * ties - 1).alias("t"))
-    # Medians from ordered bins, as a median in an aggregate would hold all values of a group in one buffer.
-    medians = group_quantiles(two, "g", "v", [0.5]).agg(*[F.max(F.when(F.col("g") == g, F.get("q", F.lit(0)))).alias(f"med{i}") for i, g in ((1, high), (0, low))])
-    one = one.crossJoin(F.broadcast(medians))
+    ranked = two_group_ranks(two, high, low)
+    t = lambda i: F.col(f"t{i}")
+    off = F.col("v") - F.col("mid")  # from about the median, so that squares don't cancel
+    at = lambda i, rank: F.max(F.when((F.col(f"b{i}") <= rank) & (rank < F.col(f"b{i}") + t(i)), F.col("v")))
+    half = lambda i: (F.col(f"n{i}") - 1) / 2
+    stats = [x for i in (1, 0) for x in (F.coalesce(F.max(f"n{i}"), F.lit(0)).alias(f"n{i}"), F.sum(t(i) * off).alias(f"o{i}"), F.sum(t(i) * off * off).alias(f"q{i}"), ((at(i, F.floor(half(i))) + at(i, F.ceil(half(i)))) / 2).alias(f"med{i}"))]
+    ties = (t(1) + t(0)).cast("double")
+    mid_rank = F.col("b1") + F.col("b0") + (ties + 1) / 2
+    one = ranked.agg(F.max("mid").alias("mid"), *stats, F.sum(t(1) * mid_rank).alias("r1"), F.sum(ties * (ties * ties - 1)).alias("t"))
+    for i in (1, 0):
+        spread = F.try_divide(F.col(f"q{i}") - F.try_divide(F.col(f"o{i}") * F.col(f"o{i}"), F.col(f"n{i}")), F.col(f"n{i}") - F.lit(1.0))
+        one = one.withColumns({f"m{i}": F.col("mid") + F.try_divide(F.col(f"o{i}"), F.col(f"n{i}")), f"s{i}": F.sqrt(F.greatest(spread, F.lit(0.0)))})
     c = F.col
     n = c("n1") + c("n0")
     pairs = c("n1").cast("double") * c("n0")
