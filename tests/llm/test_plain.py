@@ -156,3 +156,35 @@ def test_pipeline_against_plain(spark, tmp_path):
     for x in corpus_pipeline.run(spark, str(tmp_path)).collect():
         got[x["doc_id"]] += x["length"]
     assert got == want
+
+
+def test_no_candidate_is_left_out(spark):
+    from cursus.llm import jaccard
+
+    r = random.Random(31)
+    sets = {}
+    for g in range(30):  # groups around a text, near it and mostly not near each other
+        base = r.sample(range(g * 1000, g * 1000 + 400), 90)
+        for k in range(12):
+            sets[g * 100 + k] = sorted(set(base[: r.randint(70, 90)]) | set(r.sample(range(g * 1000, g * 1000 + 400), r.randint(0, 14))))
+    members = spark.createDataFrame([(0, i // 100 % 3, i) for i in sets], "band int, h long, __row long")
+    roots = spark.createDataFrame([(i, i - i % 2) for i in sets if i % 100 < 2], "node long, root long")
+    table = spark.createDataFrame(list(sets.items()), "__row long, set array<long>")
+    links = [tuple(x) for x in jaccard.open_links(members, roots, table, 0.8, asked_rows=7, held_rows=10).collect()]
+    near = lambda a, b: len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))
+    assert links and all(near(a, b) for a, b in links)
+
+    def joined(pairs):
+        root = {i: i - i % 2 if i % 100 < 2 else i for i in sets}
+        for _ in sets:
+            before = dict(root)
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+            for i in sets:
+                root[i] = root[root[i]]
+            if root == before:
+                return root
+
+    want = [(a, b) for a in sets for b in sets if a < b and a // 100 % 3 == b // 100 % 3 and near(a, b)]
+    same = [(i, i - 1) for i in sets if i % 100 == 1]
+    assert joined([*links, *same]) == joined([*want, *same])
