@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..sources.sinks import markdown_report
 from .relational import group_quantiles
-from .statistics import compare_groups
+from .statistics import compare_columns, compare_groups
 
 #: Features of delivery, and those of them that count only above 0.
 DELIVERY = ("speech_rate_wpm", "question_density", "example_density", "explanation_density", "lexical_diversity", "flesch_reading_ease", "avg_words_per_sentence")
@@ -68,13 +66,11 @@ def usage_by(df: DataFrame, group: str, tests: dict[str, Column], level: str = "
 
 
 def delivery(df: DataFrame, features=DELIVERY, level: str = "level", least: int = 6) -> DataFrame:
-    """A row of comparison for each feature that df has; rates count only above 0."""
-    parts = []
-    for f in features:
-        if f in df.columns:
-            some = df.where(F.col(f) > 0) if f in POSITIVE else df
-            parts.append(compare_groups(some, level, "High", "Low", f, least).withColumn("feature", F.lit(f)).withColumn("effect", C.effect_label(F.col("cohens_d"))))
-    return reduce(DataFrame.unionByName, parts) if parts else df.sparkSession.createDataFrame([], "feature string")
+    """A row of comparison for each feature that df has, all from one reading; rates count only above 0."""
+    values = {f: F.when(F.col(f) > 0, F.col(f)) if f in POSITIVE else F.col(f) for f in features if f in df.columns}
+    if not values:
+        return df.sparkSession.createDataFrame([], "feature string")
+    return compare_columns(df, level, "High", "Low", values, least).withColumn("effect", C.effect_label(F.col("cohens_d")))
 
 
 def focus_impact(df: DataFrame, focused: str, score: str) -> DataFrame:

@@ -17,20 +17,22 @@ def erfc(x: Column) -> Column:
     return t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
 
 
-def two_group_ranks(two: DataFrame, high: str, low: str, bins: int = 64) -> DataFrame:
-    """For each distinct v of two (g, v): t1 and t0, its rows by group; b1 and b0, those before it; n1 and n0, all of a
-    group's rows; mid, a value near the median. Values are ordered inside bins, so no task holds all of them, and only
-    the bins' totals meet in one task."""
-    counts = two.groupBy("v").agg(F.count_if(F.col("g") == high).alias("t1"), F.count_if(F.col("g") == low).alias("t0"))
-    cuts = counts.agg(F.percentile_approx("v", [i / bins for i in range(1, bins)], 1000).alias("cuts"))
-    binned = counts.crossJoin(F.broadcast(cuts)).select("v", "t1", "t0", F.get("cuts", F.lit(bins // 2 - 1)).alias("mid"), F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("bin"))
-    sums = binned.groupBy("bin").agg(F.sum("t1").alias("s1"), F.sum("t0").alias("s0"))
-    whole = Window.partitionBy()
-    earlier = lambda c: F.coalesce(F.sum(c).over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = sums.select("bin", earlier("s1").alias("e1"), earlier("s0").alias("e0"), F.sum("s1").over(whole).alias("n1"), F.sum("s0").over(whole).alias("n0"))
-    inside = lambda c: F.coalesce(F.sum(c).over(Window.partitionBy("bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = binned.withColumns({"i1": inside("t1"), "i0": inside("t0")}).join(F.broadcast(totals), "bin")
-    return placed.select("v", "t1", "t0", (F.col("e1") + F.col("i1")).alias("b1"), (F.col("e0") + F.col("i0")).alias("b0"), "n1", "n0", "mid")
+def two_group_ranks(two: DataFrame, high: str, low: str, bins: int = 64, keys: tuple[str, ...] = ()) -> DataFrame:
+    """For each distinct v of two (keys, g, v), within the keys: t1 and t0, its rows by group; b1 and b0, those before it;
+    n1 and n0, all of a group's rows; mid, a value near the median. Values are ordered inside bins, so no task holds all of
+    them, and only the bins' totals meet in one task. Cuts and totals are sent to every task: 64 numbers for each
+    combination of the keys, so those must be few (names of columns, say)."""
+    counts = two.groupBy(*keys, "v").agg(F.count_if(F.col("g") == high).alias("t1"), F.count_if(F.col("g") == low).alias("t0"))
+    cuts = F.broadcast(counts.groupBy(*keys).agg(F.percentile_approx("v", [i / bins for i in range(1, bins)], 1000).alias("cuts")))
+    cut = counts.join(cuts, list(keys)) if keys else counts.crossJoin(cuts)
+    binned = cut.select(*keys, "v", "t1", "t0", F.get("cuts", F.lit(bins // 2 - 1)).alias("mid"), F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("bin"))
+    sums = binned.groupBy(*keys, "bin").agg(F.sum("t1").alias("s1"), F.sum("t0").alias("s0"))
+    whole = Window.partitionBy(*keys)
+    earlier = lambda c: F.coalesce(F.sum(c).over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = sums.select(*keys, "bin", earlier("s1").alias("e1"), earlier("s0").alias("e0"), F.sum("s1").over(whole).alias("n1"), F.sum("s0").over(whole).alias("n0"))
+    inside = lambda c: F.coalesce(F.sum(c).over(Window.partitionBy(*keys, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = binned.withColumns({"i1": inside("t1"), "i0": inside("t0")}).join(F.broadcast(totals), [*keys, "bin"])
+    return placed.select(*keys, "v", "t1", "t0", (F.col("e1") + F.col("i1")).alias("b1"), (F.col("e0") + F.col("i0")).alias("b0"), "n1", "n0", "mid")
 
 
 def compare_groups(df: DataFrame, group: str, high: str, low: str, value: str, least: int = 5) -> DataFrame:
@@ -39,7 +41,21 @@ def compare_groups(df: DataFrame, group: str, high: str, low: str, value: str, l
     p and d are null where a group has fewer than `least` values; d is 0 where both have no spread.
     """
     two = df.where(F.col(group).isin(high, low)).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
-    ranked = two_group_ranks(two, high, low)
+    return compared(two_group_ranks(two, high, low), least)
+
+
+def compare_columns(df: DataFrame, group: str, high: str, low: str, values: dict[str, Column], least: int = 5) -> DataFrame:
+    """compare_groups for each named value, as a row each, in one reading and one shuffle of df; feature is the name. A
+    value that is null everywhere has a row of no counts."""
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), v.cast("double").alias("v")) for n, v in values.items()]))
+    two = df.where(F.col(group).isin(high, low)).select(F.col(group).alias("g"), named.alias("x")).select("g", "x.*").where("v IS NOT NULL")
+    found = compared(two_group_ranks(two, high, low, keys=("feature",)), least, keys=("feature",))
+    names = df.sparkSession.range(1, numPartitions=1).select(F.explode(F.array(*[F.lit(n) for n in values])).alias("feature"))
+    return names.join(found, "feature", "left").fillna(0, ["n_high", "n_low"]).fillna(0.0, ["diff_pct"]).select(*found.columns[1:], "feature")
+
+
+def compared(ranked: DataFrame, least: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The row of compare_groups for each combination of the keys, from two_group_ranks."""
     t = lambda i: F.col(f"t{i}")
     off = F.col("v") - F.col("mid")  # from about the median, so that squares don't cancel
     at = lambda i, rank: F.max(F.when((F.col(f"b{i}") <= rank) & (rank < F.col(f"b{i}") + t(i)), F.col("v")))
@@ -47,7 +63,7 @@ def compare_groups(df: DataFrame, group: str, high: str, low: str, value: str, l
     stats = [x for i in (1, 0) for x in (F.coalesce(F.max(f"n{i}"), F.lit(0)).alias(f"n{i}"), F.sum(t(i) * off).alias(f"o{i}"), F.sum(t(i) * off * off).alias(f"q{i}"), ((at(i, F.floor(half(i))) + at(i, F.ceil(half(i)))) / 2).alias(f"med{i}"))]
     ties = (t(1) + t(0)).cast("double")
     mid_rank = F.col("b1") + F.col("b0") + (ties + 1) / 2
-    one = ranked.agg(F.max("mid").alias("mid"), *stats, F.sum(t(1) * mid_rank).alias("r1"), F.sum(ties * (ties * ties - 1)).alias("t"))
+    one = ranked.groupBy(*keys).agg(F.max("mid").alias("mid"), *stats, F.sum(t(1) * mid_rank).alias("r1"), F.sum(ties * (ties * ties - 1)).alias("t"))
     for i in (1, 0):
         spread = F.try_divide(F.col(f"q{i}") - F.try_divide(F.col(f"o{i}") * F.col(f"o{i}"), F.col(f"n{i}")), F.col(f"n{i}") - F.lit(1.0))
         one = one.withColumns({f"m{i}": F.col("mid") + F.try_divide(F.col(f"o{i}"), F.col(f"n{i}")), f"s{i}": F.sqrt(F.greatest(spread, F.lit(0.0)))})
@@ -62,7 +78,7 @@ def compare_groups(df: DataFrame, group: str, high: str, low: str, value: str, l
     half = F.abs(z) / F.sqrt(F.lit(2.0))
     p = F.when(enough, F.when(z.isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.when(z >= 0, erfc(half)).otherwise(2 - erfc(half)))))
     d = F.when(enough, F.when(pooled == 0, 0.0).otherwise(F.try_divide(c("m1") - c("m0"), pooled)))
-    return one.select(c("n1").alias("n_high"), c("n0").alias("n_low"), c("m1").alias("high_mean"), c("m0").alias("low_mean"), c("med1").alias("high_median"), c("med0").alias("low_median"),
+    return one.select(*keys, c("n1").alias("n_high"), c("n0").alias("n_low"), c("m1").alias("high_mean"), c("m0").alias("low_mean"), c("med1").alias("high_median"), c("med0").alias("low_median"),
                       F.coalesce(F.try_divide(c("m1") - c("m0"), c("m0")) * 100, F.lit(0.0)).alias("diff_pct"), p.alias("p_value"), d.alias("cohens_d"))
 
 

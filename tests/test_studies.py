@@ -81,6 +81,11 @@ def test_practices(spark):
     assert P.focus_impact(df.limit(3), "focused", "score").first()["focused_mean"] is None
     rates = df.withColumn("speech_rate_wpm", F.col("score")).withColumn("question_density", F.lit(0.0))
     assert {r["feature"]: r["n_low"] for r in P.delivery(rates).collect()} == {"speech_rate_wpm": 6, "question_density": 6}
+    several = P.delivery(rates.withColumn("lexical_diversity", F.lit(None).cast("double")))
+    alone = S.compare_groups(rates, "level", "High", "Low", "speech_rate_wpm", 6).first()
+    by = {r["feature"]: r.asDict() for r in several.collect()}
+    assert {k: by["speech_rate_wpm"][k] for k in alone.asDict()} == alone.asDict()
+    assert (by["lexical_diversity"]["n_high"], by["lexical_diversity"]["high_mean"], by["lexical_diversity"]["p_value"]) == (0, None, None)
     text = P.report("Study", {"Videos": 12}, P.recommendations([r.asDict() for r in got.values()], [], [], None))
     assert "- **Videos**: 12" in text and "'bac' stands in 100 %" in text and "Durations" not in text
     look = spark.createDataFrame([(0, 0.0, 10.0, 79.0), (9, 20.0, 99.0, None)], "word_count int, font_size double, edge_contrast double, brightness double")
