@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import scratch
 from .preparation import knowledge_chunks
 
 CHUNK = "chunk_id string, category string, subject string, content string"
@@ -70,31 +71,58 @@ def prioritised(hits: DataFrame, key: str, subject: str, wanted: str, k: int, le
     return once.withColumn("tier", tier).crossJoin(F.broadcast(counts)).where(allowed).select(key, subject, "score", "tier").orderBy(F.desc("score"), key).limit(k)
 
 
-def best_per_question(questions: DataFrame, base: DataFrame, key: str, k: int) -> DataFrame:
+def unit_blocks(df: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
+    """(ids, units): up to `size` rows of a partition with their unit vectors side by side, written to the shared folder
+    so that each block is made once. Rows without a vector are in none."""
+    kind = dict(df.dtypes)[key]
+
+    def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vectors = [], []
+
+        def block() -> pd.DataFrame:
+            rows = np.array(vectors, np.float64)
+            rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+            return pd.DataFrame({"ids": [list(ids)], "units": [rows.tobytes()]})
+
+        for part in parts:
+            for i, v in zip(part["id"].tolist(), part["vector"], strict=True):
+                ids.append(i)
+                vectors.append(v)
+                if len(ids) == size:
+                    yield block()
+                    ids, vectors = [], []
+        if ids:
+            yield block()
+
+    place = scratch(df.sparkSession, name)
+    rows = df.select(F.col(key).alias("id"), F.col(vector).alias("vector")).where("vector IS NOT NULL")
+    rows.mapInPandas(packed, f"ids array<{kind}>, units binary").write.parquet(place)
+    return df.sparkSession.read.parquet(place)
+
+
+def best_per_question(questions: DataFrame, base: DataFrame, key: str, k: int, asked_rows: int = 1024, held_rows: int = 4096) -> DataFrame:
     """The k nearest rows of base (key, embedding) for each question (question_id, asked).
 
-    The questions are held against the rows of base in blocks, which keep the k best of each question, so only these
-    are shuffled. Of equal scores (to six digits) the smaller key goes first. The questions of one call fit in a task.
+    Blocks of questions are held against blocks of base, each pair of blocks one matrix product that keeps the k best of
+    each question, so only these are shuffled and neither side comes to the driver. Work is the product of both sides;
+    memory is that of a few pairs of blocks. Of equal scores (to six digits) the smaller key goes first; a row or a
+    question without a vector has no part in it.
     """
-    held = questions.select("question_id", "asked").collect()  # the stated questions, not the base
-    names = [r["question_id"] for r in held]
-    asked = np.array([r["asked"] for r in held], np.float64).reshape(len(held), -1)
-    asked /= np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
+    asked = unit_blocks(questions, "question_id", "asked", asked_rows, "asked").select(F.col("ids").alias("q_ids"), F.col("units").alias("q_units"))
+    pairs = unit_blocks(base, key, "embedding", held_rows, "held").crossJoin(asked)  # of blocks, never of rows
 
     def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            part = part[part["embedding"].notna()]
-            if not len(part) or not len(names):
-                continue
-            rows = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-            rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-            keys, scores = part["k"].to_numpy(), np.round(asked @ rows.T, 6)
-            for q, s in zip(names, scores, strict=True):
-                top = np.lexsort((keys, -s))[:k]
-                yield pd.DataFrame({"question_id": q, "k": keys[top], "score": s[top]})
+            for ids, units, q_ids, q_units in part.itertuples(index=False, name=None):
+                held, ask = (np.frombuffer(u).reshape(len(i), -1) for i, u in ((ids, units), (q_ids, q_units)))
+                scores, keys = np.round(ask @ held.T, 6), np.asarray(ids)
+                least = np.partition(scores, -k, axis=1)[:, -k] if k < len(keys) else np.full(len(scores), -np.inf)
+                tops = [(at := np.flatnonzero(s >= low))[np.lexsort((keys[at], -s[at]))[:k]] for s, low in zip(scores, least, strict=True)]
+                flat, each = np.concatenate(tops), np.repeat(np.arange(len(tops)), [len(t) for t in tops])
+                yield pd.DataFrame({"question_id": np.asarray(q_ids)[each], "k": keys[flat], "score": scores[each, flat]})
 
     kinds = dict(base.dtypes) | dict(questions.dtypes)
-    found = base.select(F.col(key).alias("k"), "embedding").mapInPandas(best, f"question_id {kinds['question_id']}, k {kinds[key]}, score double")
+    found = pairs.mapInPandas(best, f"question_id {kinds['question_id']}, k {kinds[key]}, score double")
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "k")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("question_id", F.col("k").alias(key), "score", "rank")
 

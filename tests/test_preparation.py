@@ -73,6 +73,12 @@ def test_every_question_gets_its_nearest(spark):
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     for q in range(3):
         assert [x["k"] for x in sorted((x for x in got if x["question_id"] == q), key=lambda x: x["rank"])] == list(np.argsort(-(unit @ unit[q]))[:4])
+    everything = df.select(F.col("k").alias("question_id"), F.col("embedding").alias("asked"))
+    twice = df.unionByName(df.withColumn("k", F.col("k") + 100))  # ties: the smaller key goes first
+    small = V.best_per_question(everything, twice, "k", 3, asked_rows=3, held_rows=2).collect()
+    assert len(small) == 120 and {x["k"] for x in small if x["question_id"] == 7 and x["rank"] <= 2} == {7, 107}
+    assert next(x["k"] for x in small if x["question_id"] == 7 and x["rank"] == 1) == 7
+    assert V.best_per_question(everything.limit(0), df, "k", 3).count() == 0 and len(V.best_per_question(asked, df, "k", 99).collect()) == 120
 
 
 def test_chunks_of_nested_sections(spark):
