@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from .statistics import in_test, pipeline, regression_metrics
 
@@ -80,20 +84,29 @@ def trials(space: dict, n: int, seed: int = 42) -> list[dict]:
     return [{k: one(v) for k, v in space.items()} for _ in range(n)]
 
 
-def search(df: DataFrame, key: str, features: list[str], target: str, model: str, tried: list[dict], seed: str = "search", gap: float = 0.1, penalty: float = 0.5) -> list[dict]:
+def side_by_side(spark: SparkSession, work: Callable, items: Iterable, at_once: int) -> list:
+    """work of each item, in their order; the jobs of `at_once` of them run at a time."""
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(work), i) for i in items]  # each with job properties of its own
+        return [s.result() for s in started]
+
+
+def search(df: DataFrame, key: str, features: list[str], target: str, model: str, tried: list[dict], seed: str = "search", gap: float = 0.1, penalty: float = 0.5, at_once: int = 4) -> list[dict]:
     """The tried parameters with their r2 on a validation part, best first; r2 on the training part that is more than
-    `gap` above it costs `penalty` times the rest. Both parts are scored in one pass a trial."""
+    `gap` above it costs `penalty` times the rest. Both parts are scored in one pass a trial, and `at_once` trials share
+    the cluster, so that one's last tasks don't keep the others waiting."""
     marked = df.withColumn("__held", in_test(key, seed))
-    out = []
-    for params in tried:
+
+    def trial(params: dict) -> dict:
         fitted = pipeline(features, target, model, **params).fit(marked.where(~F.col("__held")))
         e, y = F.col(target) - F.col("predicted"), F.col(target)
         r2 = {r["__held"]: r["r2"] for r in fitted.transform(marked).groupBy("__held").agg((1 - F.try_divide(F.sum(e * e), F.var_pop(y) * F.count(y))).alias("r2")).collect()}
         held, own = r2.get(True), r2.get(False)
         if held is None or own is None:
             raise ValueError("too few rows, or a constant target, in one of the parts")
-        out.append({"params": params, "r2": held, "r2_training": own, "score": held - max(0.0, (own - held - gap) * penalty)})
-    return sorted(out, key=lambda t: -t["score"])
+        return {"params": params, "r2": held, "r2_training": own, "score": held - max(0.0, (own - held - gap) * penalty)}
+
+    return sorted(side_by_side(df.sparkSession, trial, tried, at_once), key=lambda t: -t["score"])
 
 
 def predicted_by(fitted: dict, df: DataFrame) -> DataFrame:
@@ -135,18 +148,19 @@ def best_weights(df: DataFrame, columns: list[str], target: str, steps: int = 20
     return dict(zip(columns, map(float, w), strict=True))
 
 
-def stack(df: DataFrame, key: str, features: list[str], target: str, bases: dict[str, tuple[str, dict]], folds: int = 5, seed: str = "stack"):
+def stack(df: DataFrame, key: str, features: list[str], target: str, bases: dict[str, tuple[str, dict]], folds: int = 5, seed: str = "stack", at_once: int = 4):
     """(fitted bases, fitted second model, out-of-fold predictions). bases: name -> (model, parameters).
 
-    Each row's predictions for the second model come from bases that did not see its fold.
+    Each row's predictions for the second model come from bases that did not see its fold; `at_once` folds are fitted at a time.
     """
     fold = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % folds
-    marked, out = df.withColumn("__fold", fold), None
-    for k in range(folds):
+    marked = df.withColumn("__fold", fold)
+
+    def part(k: int) -> DataFrame:
         fitted = {n: pipeline(features, target, m, **p).fit(marked.where(F.col("__fold") != k)) for n, (m, p) in bases.items()}
-        part = predicted_by(fitted, marked.where(F.col("__fold") == k))
-        out = part if out is None else out.unionByName(part)
-    out = out.drop("__fold")
+        return predicted_by(fitted, marked.where(F.col("__fold") == k))
+
+    out = reduce(DataFrame.unionByName, side_by_side(df.sparkSession, part, range(folds), at_once)).drop("__fold")
     second = pipeline(list(bases), target, "ridge", regParam=0.0).fit(out)
     return {n: pipeline(features, target, m, **p).fit(df) for n, (m, p) in bases.items()}, second, out
 

@@ -137,7 +137,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A folder of its own below the shared one; where the session names none (one machine), a temporary one."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):  # local-cluster has executors with folders of their own
             raise ValueError("spark.checkpoint.dir names no shared folder")
         place = "file://" + tempfile.mkdtemp(prefix="cursus-")
     return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex[:8]}"
