@@ -41,14 +41,25 @@ def drop_repeats(df: DataFrame, group: str, order: str, value: str) -> DataFrame
     return df.withColumn("__b", before).where(~F.col(value).eqNullSafe(F.col("__b")) | F.col("__b").isNull()).drop("__b")
 
 
-def ordered(df: DataFrame, value: str, bins: int = 64) -> DataFrame:
+def bins_for(df: DataFrame, bins: int | None = None) -> int:
+    """How many bins to order values in, unless it is said: a task's worth each, so as many as the session's shuffle
+    partitions, between 64 and 1024, as each value is held against all cuts."""
+    return bins or min(1024, max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def cuts_of(value: str | Column, bins: int) -> Column:
+    """Approximate quantiles that part the values in bins."""
+    return F.percentile_approx(value, [i / bins for i in range(1, bins)], max(1000, 4 * bins))
+
+
+def ordered(df: DataFrame, value: str, bins: int | None = None) -> DataFrame:
     """(value, ties, below, n): each distinct value that isn't null, its rows, the rows before it, all rows.
 
     Distinct values are ordered inside bins between approximate quantiles, so no task sees more than about one bin;
     only the bins' totals meet in one task. The bins split the work and don't change the result.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("ties"))
-    cuts = counts.agg(F.percentile_approx(value, [i / bins for i in range(1, bins)], 1000).alias("__cuts"))
+    cuts = counts.agg(cuts_of(value, bins_for(df, bins)).alias("__cuts"))
     binned = counts.crossJoin(F.broadcast(cuts)).withColumn("__bin", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
     sums = binned.groupBy("__bin").agg(F.sum("ties").alias("__s"))
     before = F.sum("__s").over(Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1))
@@ -57,12 +68,12 @@ def ordered(df: DataFrame, value: str, bins: int = 64) -> DataFrame:
     return binned.withColumn("__inside", inside).join(F.broadcast(totals), "__bin").select(value, "ties", (F.col("__before") + F.col("__inside")).alias("below"), "n")
 
 
-def mid_ranks(df: DataFrame, value: str, bins: int = 64) -> DataFrame:
+def mid_ranks(df: DataFrame, value: str, bins: int | None = None) -> DataFrame:
     """df with mid_rank, the average rank of ties, and ties; rows with a null value are left out."""
     return df.join(ordered(df, value, bins).select(value, (F.col("below") + (F.col("ties") + 1) / 2).alias("mid_rank"), "ties"), value)
 
 
-def exact_quantiles(df: DataFrame, value: str, shares: list[float], bins: int = 64) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, shares: list[float], bins: int | None = None) -> DataFrame:
     """One row with q, the linearly interpolated quantiles; no task holds all distinct values. Nulls don't count; q
     holds nulls where there are no values."""
     ranked = ordered(df, value, bins)
@@ -78,7 +89,7 @@ def group_quantiles(df: DataFrame, group: str, value: str, shares: list[float],
     """(group, q, n) for each group: its interpolated quantiles. As in `ordered`, values are ordered inside bins, so no
     task holds all values of a group; nulls don't count."""
     counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("ties"))
-    cuts = counts.groupBy(group).agg(F.percentile_approx(value, [i / bins for i in range(1, bins)], 1000).alias("__cuts"))
+    cuts = counts.groupBy(group).agg(cuts_of(value, bins).alias("__cuts"))
     binned = counts.join(cuts, group).withColumn("__bin", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
     sums = binned.groupBy(group, "__bin").agg(F.sum("ties").alias("__s"))
     whole = Window.partitionBy(group)

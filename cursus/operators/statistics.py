@@ -9,6 +9,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import bins_for, cuts_of
 
 
 def erfc(x: Column) -> Column:
@@ -17,13 +18,14 @@ def erfc(x: Column) -> Column:
     return t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
 
 
-def two_group_ranks(two: DataFrame, high: str, low: str, bins: int = 64, keys: tuple[str, ...] = ()) -> DataFrame:
+def two_group_ranks(two: DataFrame, high: str, low: str, bins: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """For each distinct v of two (keys, g, v), within the keys: t1 and t0, its rows by group; b1 and b0, those before it;
     n1 and n0, all of a group's rows; mid, a value near the median. Values are ordered inside bins, so no task holds all of
-    them, and only the bins' totals meet in one task. Cuts and totals are sent to every task: 64 numbers for each
+    them, and only the bins' totals meet in one task. Cuts and totals are sent to every task, a number for each bin and
     combination of the keys, so those must be few (names of columns, say)."""
+    bins = bins_for(two, bins)
     counts = two.groupBy(*keys, "v").agg(F.count_if(F.col("g") == high).alias("t1"), F.count_if(F.col("g") == low).alias("t0"))
-    cuts = F.broadcast(counts.groupBy(*keys).agg(F.percentile_approx("v", [i / bins for i in range(1, bins)], 1000).alias("cuts")))
+    cuts = F.broadcast(counts.groupBy(*keys).agg(cuts_of("v", bins).alias("cuts")))
     cut = counts.join(cuts, list(keys)) if keys else counts.crossJoin(cuts)
     binned = cut.select(*keys, "v", "t1", "t0", F.get("cuts", F.lit(bins // 2 - 1)).alias("mid"), F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("bin"))
     sums = binned.groupBy(*keys, "bin").agg(F.sum("t1").alias("s1"), F.sum("t0").alias("s0"))

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.relational import bins_for, cuts_of
+
 #: Units that a request of each kind costs.
 UNITS = {"lookup": 1, "list": 1, "search": 100, "details": 1}
 
@@ -137,7 +139,7 @@ def units(requests: DataFrame, kind: str = "kind") -> DataFrame:
     return requests.groupBy(kind).agg(F.count("*").alias("requests")).withColumn("units", F.col("requests") * F.coalesce(F.try_element_at(table, F.col(kind)), F.lit(0)))
 
 
-def within_budget(requests: DataFrame, budget: int, order: str, kind: str = "kind", group: str | None = None, bins: int = 64) -> DataFrame:
+def within_budget(requests: DataFrame, budget: int, order: str, kind: str = "kind", group: str | None = None, bins: int | None = None) -> DataFrame:
     """The requests, in order within each group (a key or a day), up to the one that would go beyond the budget.
 
     Without a group, sums run inside bins of the order, and only the bins' totals meet in one task.
@@ -147,7 +149,7 @@ def within_budget(requests: DataFrame, budget: int, order: str, kind: str = "kin
     if group:
         parts, before = Window.partitionBy(group), F.lit(0)
     else:
-        cuts = costs.agg(F.percentile_approx(F.col(order).cast("double"), [i / bins for i in range(1, bins)], 1000).alias("__cuts"))
+        cuts = costs.agg(cuts_of(F.col(order).cast("double"), bins_for(requests, bins)).alias("__cuts"))
         costs = costs.crossJoin(F.broadcast(cuts)).withColumn("__bin", F.size(F.filter("__cuts", lambda c: c < F.col(order).cast("double")))).drop("__cuts")
         sums = costs.groupBy("__bin").agg(F.sum("__u").alias("__s"))
         earlier = F.sum("__s").over(Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1))
