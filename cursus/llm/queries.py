@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, class_lm, exact_dedup, packing, pii, quality, secrets, simhash, token_counts, toxicity
+from . import bpe, class_lm, exact_dedup, packing, periodic, pii, quality, secrets, simhash, token_counts, toxicity
 from .common import documents
 
 
@@ -46,5 +46,9 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality_report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_pii_surrogates, op4_token_counts, op5_class_lm, op6_toxicity, op7_exact_dedup, op8_bpe, op9_secret_scan, op10_quality_rules)}
+def op13_periodic_runs(spark, sf_dir):
+    return periodic.digest(periodic.periodic_runs(documents(spark, sf_dir), tails=True))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_pii_surrogates, op4_token_counts, op5_class_lm, op6_toxicity, op7_exact_dedup, op8_bpe, op9_secret_scan, op10_quality_rules, op13_periodic_runs)}
 ORACLE_SQL = {"op7_exact_dedup": exact_dedup.SQL, "op10_quality_rules": quality.SQL}
