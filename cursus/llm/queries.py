@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, class_lm, exact_dedup, impact_index, packing, periodic, pii, quality, secrets, simhash, token_counts, toxicity
+from . import bpe, class_lm, exact_dedup, impact_index, packing, periodic, pii, quality, quality_classifier, secrets, simhash, token_counts, toxicity
 from .common import documents
 
 
@@ -50,9 +50,13 @@ def op11_impact_search(spark, sf_dir):
     return impact_index.search(impact_index.build(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_quality_classifier(spark, sf_dir):
+    return quality_classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op13_periodic_runs(spark, sf_dir):
     return periodic.digest(periodic.periodic_runs(documents(spark, sf_dir), tails=True))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_pii_surrogates, op4_token_counts, op5_class_lm, op6_toxicity, op7_exact_dedup, op8_bpe, op9_secret_scan, op10_quality_rules, op11_impact_search, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_pii_surrogates, op4_token_counts, op5_class_lm, op6_toxicity, op7_exact_dedup, op8_bpe, op9_secret_scan, op10_quality_rules, op11_impact_search, op12_quality_classifier, op13_periodic_runs)}
 ORACLE_SQL = {"op7_exact_dedup": exact_dedup.SQL, "op10_quality_rules": quality.SQL, "op11_impact_search": impact_index.SQL}
