@@ -71,60 +71,63 @@ def prioritised(hits: DataFrame, key: str, subject: str, wanted: str, k: int, le
     return once.withColumn("tier", tier).crossJoin(F.broadcast(counts)).where(allowed).select(key, subject, "score", "tier").orderBy(F.desc("score"), key).limit(k)
 
 
-def unit_blocks(df: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
-    """(ids, units): up to `size` rows of a partition with their unit vectors side by side, written to the shared folder
-    so that each block is made once. Rows without a vector are in none."""
+def unit_blocks(df: DataFrame, key: str, vector: str, size: int, name: str, k: int | str = 0) -> DataFrame:
+    """(ids, units, ks): up to `size` rows of a partition with their unit vectors side by side and k, a number or a column of
+    numbers, written to the shared folder so that each block is made once. Rows without a vector are in none."""
     kind = dict(df.dtypes)[key]
 
     def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, vectors = [], []
+        ids, vectors, ks = [], [], []
 
         def block() -> pd.DataFrame:
             rows = np.array(vectors, np.float64)
             rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-            return pd.DataFrame({"ids": [list(ids)], "units": [rows.tobytes()]})
+            return pd.DataFrame({"ids": [list(ids)], "units": [rows.tobytes()], "ks": [list(ks)]})
 
         for part in parts:
-            for i, v in zip(part["id"].tolist(), part["vector"], strict=True):
+            for i, v, n in zip(part["id"].tolist(), part["vector"], part["k"].tolist(), strict=True):
                 ids.append(i)
                 vectors.append(v)
+                ks.append(n)
                 if len(ids) == size:
                     yield block()
-                    ids, vectors = [], []
+                    ids, vectors, ks = [], [], []
         if ids:
             yield block()
 
     place = scratch(df.sparkSession, name)
-    rows = df.select(F.col(key).alias("id"), F.col(vector).alias("vector")).where("vector IS NOT NULL")
-    rows.mapInPandas(packed, f"ids array<{kind}>, units binary").write.parquet(place)
+    rows = df.select(F.col(key).alias("id"), F.col(vector).alias("vector"), (F.col(k) if isinstance(k, str) else F.lit(k)).cast("int").alias("k")).where("vector IS NOT NULL")
+    rows.mapInPandas(packed, f"ids array<{kind}>, units binary, ks array<int>").write.parquet(place)
     return df.sparkSession.read.parquet(place)
 
 
-def best_per_question(questions: DataFrame, base: DataFrame, key: str, k: int, asked_rows: int = 1024, held_rows: int = 4096) -> DataFrame:
-    """The k nearest rows of base (key, embedding) for each question (question_id, asked).
+def best_per_question(questions: DataFrame, base: DataFrame, key: str, k: int | str, asked_rows: int = 1024, held_rows: int = 4096) -> DataFrame:
+    """The k nearest rows of base (key, embedding) for each question (question_id, asked); k may be a column of questions.
 
     Blocks of questions are held against blocks of base, each pair of blocks one matrix product that keeps the k best of
     each question, so only these are shuffled and neither side comes to the driver. Work is the product of both sides;
     memory is that of a few pairs of blocks. Of equal scores (to six digits) the smaller key goes first; a row or a
     question without a vector has no part in it.
     """
-    asked = unit_blocks(questions, "question_id", "asked", asked_rows, "asked").select(F.col("ids").alias("q_ids"), F.col("units").alias("q_units"))
-    pairs = unit_blocks(base, key, "embedding", held_rows, "held").crossJoin(asked)  # of blocks, never of rows
+    asked = unit_blocks(questions, "question_id", "asked", asked_rows, "asked", k).select(F.col("ids").alias("q_ids"), F.col("units").alias("q_units"), F.col("ks").alias("q_ks"))
+    pairs = unit_blocks(base, key, "embedding", held_rows, "held").drop("ks").crossJoin(asked)  # of blocks, never of rows
 
     def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for ids, units, q_ids, q_units in part.itertuples(index=False, name=None):
+            for ids, units, q_ids, q_units, q_ks in part.itertuples(index=False, name=None):
                 held, ask = (np.frombuffer(u).reshape(len(i), -1) for i, u in ((ids, units), (q_ids, q_units)))
-                scores, keys = np.round(ask @ held.T, 6), np.asarray(ids)
-                least = np.partition(scores, -k, axis=1)[:, -k] if k < len(keys) else np.full(len(scores), -np.inf)
-                tops = [(at := np.flatnonzero(s >= low))[np.lexsort((keys[at], -s[at]))[:k]] for s, low in zip(scores, least, strict=True)]
+                scores, keys, ks = np.round(ask @ held.T, 6), np.asarray(ids), np.asarray(q_ks)
+                least = np.full(len(scores), -np.inf)
+                for n in np.unique(ks[(ks > 0) & (ks < len(keys))]):
+                    least[ks == n] = np.partition(scores[ks == n], -n, axis=1)[:, -n]
+                tops = [(at := np.flatnonzero(s >= low))[np.lexsort((keys[at], -s[at]))[:n]] for s, low, n in zip(scores, least, ks, strict=True)]
                 flat, each = np.concatenate(tops), np.repeat(np.arange(len(tops)), [len(t) for t in tops])
-                yield pd.DataFrame({"question_id": np.asarray(q_ids)[each], "k": keys[flat], "score": scores[each, flat]})
+                yield pd.DataFrame({"question_id": np.asarray(q_ids)[each], "asks": ks[each], "k": keys[flat], "score": scores[each, flat]})
 
     kinds = dict(base.dtypes) | dict(questions.dtypes)
-    found = pairs.mapInPandas(best, f"question_id {kinds['question_id']}, k {kinds[key]}, score double")
+    found = pairs.mapInPandas(best, f"question_id {kinds['question_id']}, asks int, k {kinds[key]}, score double")
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "k")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("question_id", F.col("k").alias(key), "score", "rank")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("asks")).select("question_id", F.col("k").alias(key), "score", "rank")
 
 
 def metric_status(name: str, value: Column) -> Column:
