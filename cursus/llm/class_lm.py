@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import latest_path, remove, text_of, written
+from .common import hot_join, remove, text_of, written, written_at
 from .tokens import array_slices, distinct_words
 
 #: Words clustered for themselves: how often they must occur, and how many there are at most (two bytes a class and 2 * 4
@@ -104,8 +104,8 @@ def blocks(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
                 some = words[a : a + 50_000]
                 yield batch(len(some), word=some, local=np.arange(a, a + len(some), dtype=np.int32), n=counts[a : a + 50_000], kind=["word"] * len(some))
 
-    both = written(text_of(docs).mapInArrow(numbered, schema), "blocks", partition_by="kind")
-    return both.where("kind = 'text'").select("block", "doc_id", "training", "ids"), both.where("kind = 'word'").select("block", "word", "local", "n"), latest_path()
+    both, place = written_at(text_of(docs).mapInArrow(numbered, schema), "blocks", partition_by="kind")
+    return both.where("kind = 'text'").select("block", "doc_id", "training", "ids"), both.where("kind = 'word'").select("block", "word", "local", "n"), place
 
 
 def counted(words: DataFrame, least: int, most_words: int, shapes: int) -> tuple[DataFrame, int]:
@@ -295,7 +295,8 @@ def score(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, n_c
     n, v = int(totals.sum()), int(known.sum())
     ends = counts.where(F.octet_length("word") == 0).select("unit").first()
     end, n_classes = (ends["unit"] if ends else 0), n_classes or n_classes_for(n_words)
-    held = unit_texts(texts, words.join(counts, "word").select("block", "local", "c", "unit"), n, v)
+    # A common word has a row for each block.
+    held = unit_texts(texts, hot_join(words, counts, "word", "inner").select("block", "local", "c", "unit"), n, v)
     remove(docs.sparkSession, place)  # what comes later reads the units alone
 
     classes, pairs = clustered(held, totals, n_classes, end, sweeps) if n else (np.zeros(len(totals), np.uint8), np.zeros((n_classes, n_classes)))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,38 +45,44 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
-_PATHS: list[str] = []
+#: The tables that the code now running owns; where no owner is named, tables stay.
+_OWNED: ContextVar[list[str] | None] = ContextVar("owned", default=None)
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """The table written to the shared folder and read back: lineage ends there, and each row is computed once."""
+@contextmanager
+def owned_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside, by this thread, go when the block ends, also by an error. Nobody else's are touched."""
+    paths: list[str] = []
+    before = _OWNED.set(paths)
+    try:
+        yield
+    finally:
+        _OWNED.reset(before)
+        for path in paths:
+            remove(spark, path)
+
+
+def written_at(df: DataFrame, name: str, partition_by: str | None = None) -> tuple[DataFrame, str]:
+    """The table written to the shared folder and read back, and its place: lineage ends there, and each row is computed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cursus/{name}-{uuid.uuid4().hex}"
+    if (paths := _OWNED.get()) is not None:
+        paths.append(path)  # first, so that a failed write goes too
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    _PATHS.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return written_at(df, name)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table that nothing will read again."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    if path in _PATHS:
-        _PATHS.remove(path)
-
-
-def remove_written(spark: SparkSession, *more: str) -> None:
-    """Deletes the tables that this driver has written so far, and those named. Nothing that reads them may be open."""
-    for path in [*_PATHS, *more]:
-        remove(spark, path)
-
-
-def latest_path() -> str:
-    """Where the last table went."""
-    return _PATHS[-1]
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -102,11 +111,16 @@ def one_per_component(rows: DataFrame, roots: DataFrame) -> DataFrame:
 HOT_SHARE = 1000
 
 
-def hot_join(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
-    """big left join small (a row for each key at most). The rows of hot keys, at most HOT_SHARE keys, don't move: their
-    rows of small are sent to them."""
-    least = big.count() // HOT_SHARE
-    hot = written(big.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select(key), "hot")
-    few = written(small.join(F.broadcast(hot), key, "left_semi"), "few")
-    rest = big.join(F.broadcast(hot), key, "left_anti").join(small, key, "left")
-    return rest.unionByName(big.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(few), key, "left"))
+def hot_join(big: DataFrame, small: DataFrame, key: str | list[str], how: str = "left", counts: DataFrame | None = None) -> DataFrame:
+    """big join small (a row for each key at most), left or inner. The rows of hot keys, at most HOT_SHARE keys, don't move:
+    their rows of small are sent to them. counts: (key, n), big's rows by key or by those keys that may be hot, if known."""
+    keys = [key] if isinstance(key, str) else key
+    least = (big.count() if counts is None else counts.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE
+    if counts is None:
+        counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    hot = written(counts.where((F.col("n") > least) & (F.col("n") > 1)).select(*keys), "hot")
+    if hot.isEmpty():
+        return big.join(small, keys, how)
+    few = written(small.join(F.broadcast(hot), keys, "left_semi"), "few")
+    rest = big.join(F.broadcast(hot), keys, "left_anti").join(small, keys, how)
+    return rest.unionByName(big.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(few), keys, how))

@@ -19,7 +19,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, text_of, without_rows, without_space, written
+from .common import hot_join, numbered, text_of, without_rows, without_space, written
 
 #: The directory never has more slots than 2 ** MAX_DEPTH, so it can be sent to every task. Capacities follow the number
 #: of keys, MOST_BUCKETS being aimed at beyond LEAST_CAPACITY keys each, so that depth is not reached.
@@ -58,9 +58,9 @@ def owned(normal: DataFrame, keys: DataFrame, capacity: int | None = None, chain
     slot_rows = F.from_json(F.lit(json.dumps([{"slot": i, "bucket": b} for i, b in enumerate(slots)])), "array<struct<slot:bigint,bucket:bigint>>")
     lookup = spark.range(1).select(F.inline(slot_rows))
     slot = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
-    chains = keys.where("n > 1").select("key", slot.alias("slot"), F.ceil(F.col("n") / chain_rows).alias("parts"))
-    chains = written(chains.join(F.broadcast(lookup), "slot").select("key", "bucket", "parts"), "chains")
-    members = normal.withColumn("at", F.monotonically_increasing_id()).join(chains, "key")
+    chains = keys.where("n > 1").select("key", "n", slot.alias("slot"), F.ceil(F.col("n") / chain_rows).alias("parts"))
+    chains = written(chains.join(F.broadcast(lookup), "slot").select("key", "n", "bucket", "parts"), "chains")
+    members = hot_join(normal.withColumn("at", F.monotonically_increasing_id()), chains.drop("n"), "key", "inner", chains)  # a hot text's rows go to their parts at once
     return members.withColumn("part", F.pmod("at", "parts")).drop("at", "parts").repartition("bucket", "part")
 
 
@@ -77,10 +77,11 @@ def _groups(base: DataFrame, capacity: int | None, chain_rows: int = 64) -> Data
     groups = written(groups.select("key", F.sha2("normal", 256).alias("text_sha256"), "group_size", F.col("best.n_cp").alias("keep_cp"), (-F.col("best.less")).alias("keep_id")), "groups")
 
     on = ["key", "text_sha256"]
-    stay = entries.join(groups, on).where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_cp") == F.col("keep_cp"))).groupBy(*on).agg(F.min("row").alias("keep_row"))
+    repeated = groups.select(*on, F.col("group_size").alias("n"))
+    stay = hot_join(entries, groups, on, "inner", repeated).where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_cp") == F.col("keep_cp"))).groupBy(*on).agg(F.min("row").alias("keep_row"))
     groups = written(groups.join(stay, on), "stay")
     alone = F.col("keep_row").isNull()
-    return entries.join(groups, on, "left").select(
+    return hot_join(entries, groups, on, "left", repeated).select(
         "row",
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),

@@ -1,6 +1,7 @@
 """Personal data replaced by surrogates. DataFrame functions only.
 
-Detected entities get keyed replacements of their own type: digits for digits in the format of the occurrence, letters
+Detected entities get keyed replacements of their own type: digits for digits in the format of the occurrence, with right
+check digits for cards and account numbers and with a phone's country code or trunk zero kept, addresses of the same class of network, letters
 of the same case, surnames made in the script of the original, given names of the gender that the title states.
 One table holds each distinct entity of the corpus once, so all its mentions share a surrogate whatever
 their format; a surrogate that another entity has, or that is itself an entity of the corpus, is drawn again.
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hot_join, written
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _HEX = r"[0-9A-Fa-f]{1,4}"
@@ -34,6 +35,8 @@ _WORD = r"\p{Lu}(?:\p{L}|['’-](?!s(?!\p{L}))(?=\p{L}))+"
 _INITIAL = r"\p{Lu}(?:\. ?| )"
 _PARTICLE = r"(?:van|von|vom|zu|zur|de|der|den|del|della|di|da|das|do|dos|du|la|las|los|le|y|e|bin|ibn|al|el|ter|ten) "
 _TITLED = rf"(?:{TITLES})\.?(?: (?:{TITLES})(?:\.|(?= )))*"
+#: Words that announce a phone number.
+_CALL = "tel|tél|telephone|téléphone|teléfono|telefon|phone|fon|mobile|mobil|móvil|portable|cell|fax"
 #: Entities in the order in which a place is tried.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
@@ -41,7 +44,9 @@ PATTERNS = {
     "ip": rf"(?<![\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\p{{N}}|\.\p{{N}})",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])",
     "card": r"(?<![\p{L}\p{N}])(?:\d{4}(?:[ -]?\d{4}){3,}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\p{L}\p{N}])",
-    "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\p{L}\p{N}])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)",
+    "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\p{L}\p{N}])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)"
+    # With a trunk zero; or after a word that announces one, in any grouping.
+    rf"|(?<![\p{{L}}\p{{N}}.,+/-])(?=(?:\d[ /-]?){{8,14}}(?!\d))0\d{{1,4}}[ /-]\d{{3,8}}(?:[ -]\d{{2,5}}){{0,3}}(?![\p{{L}}\p{{N}}])|(?<=(?<!\p{{L}})(?i:{_CALL})[.:]{{0,2}} )(?=(?:\(?\d[ /()-]{{0,2}}){{6}})\(?\d{{2,5}}\)?(?:[ /-]\d{{2,5}}){{1,4}}(?![\p{{L}}\p{{N}}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "person": rf"(?<!\p{{L}}){_TITLED} (?:{_INITIAL}|{_WORD} |{_PARTICLE})*{_WORD}",
 }
@@ -50,7 +55,7 @@ ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: begins with one of a few characters, so that most places are passed over at once.
 _FIRST = "".join(sorted({t[0] for t in TITLES.split("|")}))
 _AFTER = "|".join(sorted({t[1:] for t in TITLES.split("|")}, key=len, reverse=True))
-HINT = rf"[@:\d{_FIRST}](?:(?<=@)|(?<=:)[0-9A-Fa-f:]{{1,5}}:|(?<=\d)[\d .()-]{{5}}|(?<![\p{{L}}\d@:]\p{{L}})(?<=\p{{L}})(?:{_AFTER})\.? (?:\p{{Lu}}|{_PARTICLE}|(?:{TITLES})))"
+HINT = rf"[@:\d{_FIRST}](?:(?<=@)|(?<=:)[0-9A-Fa-f:]{{1,5}}:|(?<=\d)[\d .()/-]{{5}}|(?<![\p{{L}}\d@:]\p{{L}})(?<=\p{{L}})(?:{_AFTER})\.? (?:\p{{Lu}}|{_PARTICLE}|(?:{TITLES})))"
 #: Syllables of made-up surnames, and given names, by script and gender.
 SYLLABLES = {"latin": "ba be bo da de do fa fe ga ge ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se ta te va".split(), "cyrillic": "ба бе бо да де до га ка ко ла ле ло ма ме мо на не но па пе ра ре ро са се со та те то ва ве зо".split()}
 GIVEN = {("latin", True): "Adam Bruno Carl David Emil Felix Hugo Ivan Jonas Karl Leon Marco Noel Oscar Paul Simon".split(), ("latin", False): "Anna Bella Clara Diana Elena Flora Greta Helena Ida Julia Karla Laura Maria Nora Olga Paula".split(), ("cyrillic", True): "Иван Пётр Антон Борис Глеб Денис Егор Илья Лев Марк Олег Павел Роман Семён Тарас Фёдор".split(), ("cyrillic", False): "Анна Вера Галина Дарья Елена Жанна Зоя Ирина Лидия Мария Нина Ольга Раиса Софья Юлия Яна".split()}
@@ -127,10 +132,32 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: int) -> Column:
         one = lambda c, i: F.when(i < spare, c).when(c.rlike(r"\d"), (_byte(seed, i) % 10).cast("string")).when(c.rlike(r"\p{Lu}"), F.upper(letter(i))).when(c.rlike(r"\p{L}"), letter(i)).otherwise(c)
         return F.array_join(F.transform(_chars(x), one), "")
 
+    digit = lambda c: c.cast("int")
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+    def luhn(number: Column) -> Column:
+        """The number with its last digit made the check digit."""
+        own = F.substr(number, F.lit(1), F.length(number) - 1)
+        doubled = F.transform(_chars(F.reverse(own)), lambda c, i: F.when(i % 2 == 0, 2 * digit(c) - F.when(digit(c) > 4, 9).otherwise(0)).otherwise(digit(c)))
+        return F.concat(own, F.pmod(-total(doubled), F.lit(10)).cast("string"))
+
+    def checked_iban(number: Column) -> Column:
+        """The number with its third and fourth characters made the check digits."""
+        country, own = F.left(number, F.lit(2)), F.substr(number, F.lit(5))
+        step = lambda rest, c: F.when(c.rlike(r"\d"), (rest * 10 + digit(c)) % 97).otherwise((rest * 100 + F.ascii(c) - 55) % 97)
+        rest = F.aggregate(_chars(F.concat(own, country, F.lit("00"))), F.lit(0), lambda a, c: step(a, c).cast("int"))
+        return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), own)
+
     local, more = F.substring_index(canon, "@", 1), "".join(f"{n}" for n in range(attempt // 4))
     longer = F.concat(F.lit(""), *[(_byte(seed, F.lit(50 + i % 12)) % 10).cast("string") for i in range(max(0, attempt - 7))])
     hexed = F.array_join(F.transform(_chars(canon), lambda c, i: F.when(c == ":", c).otherwise(F.lower(F.hex((_byte(seed, i) % 15 + 1).cast("long"))))), "")
     octet = lambda i: (_byte(seed, F.lit(i)) % 254 + 1).cast("string")
+    # Addresses of private networks, of the machine itself, of one link and of groups stay such.
+    o1, o2 = (digit(F.substring_index(F.substring_index(canon, ".", k), ".", -1)) for k in (1, 2))
+    small = (o1 == 192) & (o2 == 168) & (attempt < 12)  # few addresses; when draws fail those of 10 stand in
+    within = lambda low, n: (_byte(seed, F.lit(0)) % n + low).cast("string")
+    first = F.when((o1 == 192) & (o2 == 168), F.when(small, "192").otherwise("10")).when(o1.isin(0, 10, 127) | ((o1 == 172) & o2.between(16, 31)) | ((o1 == 169) & (o2 == 254)), o1.cast("string")).when(o1 >= 240, within(240, 15)).when(o1 >= 224, within(224, 16)).otherwise(within(11, 89))
+    second = F.when(small, "168").when((o1 == 172) & o2.between(16, 31), (_byte(seed, F.lit(1)) % 16 + 16).cast("string")).when((o1 == 169) & (o2 == 254), "254").otherwise(octet(1))
     syllables = lambda script, n, at=0: F.concat(F.lit(""), *[_pick(SYLLABLES[script], _byte(seed, F.lit(at + i))) for i in range(n)])
     cyrillic = canon.rlike(r"\p{IsCyrillic}")
     family = F.when(cyrillic, syllables("cyrillic", 4 + attempt)).otherwise(syllables("latin", 4 + attempt))
@@ -140,8 +167,9 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: int) -> Column:
     given = F.coalesce(*[F.when((script == s) & (male == F.lit(g)), F.lower(F.concat(_pick(names, _byte(seed, F.lit(41))), syllables(s, 2 * attempt, 42)))) for (s, g), names in GIVEN.items()])
     return (
         F.when(kind == "email", F.concat(like(local, F.lit(0)), F.lit(more), F.lit("@example."), _pick(["org", "net", "com"], _byte(seed, F.lit(63)))))
-        .when(kind == "ip", F.concat_ws(".", *map(octet, range(4)))).when(kind == "ip6", hexed)
-        .when(kind == "phone", F.concat(like(canon, F.locate("|", canon)), longer)).when(kind == "iban", F.concat(like(canon, F.lit(2)), longer))
+        .when(kind == "ip", F.concat_ws(".", first, second, octet(2), octet(3))).when(kind == "ip6", hexed)
+        .when(kind == "phone", F.concat(like(canon, F.locate("|", canon) + F.length(F.regexp_extract(canon, r"\|(0*)", 1))), longer))
+        .when(kind == "iban", checked_iban(F.concat(like(canon, F.lit(4)), longer))).when(kind == "card", luhn(F.concat(like(canon, F.lit(0)), longer)))
         .when(kind == "family", family).when(kind == "given", given).otherwise(F.concat(like(canon, F.lit(0)), longer))
     )
 
@@ -192,7 +220,7 @@ def parts_of(persons: DataFrame) -> DataFrame:
     """__row, __at, __place, word, kind (given or family), canon for each word of each person's name."""
     persons = persons.withColumn("gender", gender_of(F.col("entity")))
     stated = written(persons.groupBy("canon").agg(F.min("gender").alias("stated")).where("stated IS NOT NULL"), "stated")
-    persons = persons.join(stated, "canon", "left").withColumn("gender", F.coalesce("gender", "stated", F.lit("x")))
+    persons = hot_join(persons, stated, "canon").withColumn("gender", F.coalesce("gender", "stated", F.lit("x")))
     words = persons.select("__row", "__at", "gender", F.split("canon", " ").alias("words")).select("__row", "__at", "gender", F.size("words").alias("n"), F.posexplode("words").alias("__place", "word"))
     family = F.col("__place") == F.col("n") - 1
     return words.select("__row", "__at", "__place", "word", F.when(family, "family").otherwise("given").alias("kind"), F.when(family, F.col("word")).otherwise(F.concat_ws("|", "gender", "word")).alias("canon"))
@@ -240,10 +268,11 @@ def replace_pii(docs: DataFrame, key: str, counts: bool = False) -> DataFrame:
     simple = mentions.where("kind <> 'person'")
     entities = simple.select("kind", "canon").unionByName(parts.select("kind", "canon")).distinct()
     table = surrogates(written(entities, "entities"), key)
-    made = simple.join(table, ["kind", "canon"]).select("__row", "__at", render(F.col("kind"), F.col("entity"), F.col("surrogate")).alias("__new"))
+    # An address that every page states is one key with many rows.
+    made = hot_join(simple, table, ["kind", "canon"], "inner").select("__row", "__at", render(F.col("kind"), F.col("entity"), F.col("surrogate")).alias("__new"))
     made = made.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("__at", "__new"))).alias("__simple"))
     # By mention and place in it, and the same words for the rest of the document: the family name goes before a given one.
-    drawn = parts.join(table, ["kind", "canon"]).select("__row", "__at", "__place", "kind", "word", "surrogate")
+    drawn = hot_join(parts, table, ["kind", "canon"], "inner").select("__row", "__at", "__place", "kind", "word", "surrogate")
     drawn = drawn.groupBy("__row").agg(
         F.collect_list(F.struct("__at", "__place", "surrogate")).alias("__parts"),
         F.array_sort(F.collect_set(F.when(F.length("word") > 1, F.struct("kind", "word", "surrogate")))).alias("__names"),

@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade. DataFrame functions only.
 
 Each rule's cost, net of what starting a job takes, and its rejection rate are measured on a hashed sample; the rules
-then run in the order of rejection per cost, and a document that one rule rejects is not looked at by later ones. The
-order changes the time and `rejected_by`, never the verdict.
+then run in the order of rejection per cost, and a document that one rule rejects is not looked at by later ones. Costs
+that the measurement cannot tell apart, by its own spread from turn to turn, count as one. The order changes the time and
+`rejected_by`, never the verdict.
 
 Defined results: a null text has no words and is rejected; an empty table gives an empty result; repeated
 rows are judged each by itself; a very long text is judged whole; rules of equal rejection per cost are tried by name;
@@ -11,7 +12,9 @@ further columns, whatever their names, pass through unread.
 
 from __future__ import annotations
 
+import math
 import time
+from statistics import median
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS
 
 WINDOW = 5
+#: Turns of a measurement that count: a loaded machine only ever slows one down.
+QUICKEST = 3
 
 
 def words(text: Column) -> Column:
@@ -105,20 +110,20 @@ def rejected_by(text: Column, order: list[str]) -> Column:
 
 
 def sampled(docs: DataFrame, sample_rows: int, sample_bytes: int = 65_536) -> DataFrame:
-    """About sample_rows rows (t, w), at most, drawn by a hash of doc_id from the whole table; texts of up to sample_bytes."""
+    """The rows (t, w) of at most sample_rows texts of up to sample_bytes, those that come first by a hash of doc_id."""
     total = docs.count()
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // (2 * sample_rows)))) == 0
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // (8 * sample_rows)))) == 0
     short = docs.select("doc_id", "text").where(drawn & (F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes))
-    rows = sorted(short.select("text").limit(sample_rows).collect(), key=lambda r: r["text"] or "")
+    rows = short.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(sample_rows).select("text").collect()
     made = docs.sparkSession.createDataFrame(rows, short.select("text").schema).coalesce(1)
     return made.select(_text().alias("t"), words(_text()).alias("w"))
 
 
-def measured(docs: DataFrame, sample_rows: int = 256, turns: int = 2, repeat: int = 16) -> dict[str, tuple[float, float]]:
-    """Seconds and share of rejected documents by rule. It settles the order only.
+def measured(docs: DataFrame, sample_rows: int = 256, turns: int = 5, repeat: int = 8) -> dict[str, tuple[list[float], float]]:
+    """Seconds, turn by turn, and share of rejected documents by rule. They settle the order only.
 
-    Each rule runs `repeat` times over the sample in one job; the quickest of some turns counts, less the
-    quickest of a job without a rule, which is what starting a job costs.
+    In each turn every rule runs `repeat` times over the sample in a job of its own; the quickest job without a rule is
+    what starting a job costs. A first turn, in which code is compiled, doesn't count.
     """
     sample = sampled(docs, sample_rows).persist()
     try:
@@ -131,9 +136,10 @@ def measured(docs: DataFrame, sample_rows: int = 256, turns: int = 2, repeat: in
             return time.perf_counter() - began, n
 
         tests = {"": F.size("w") < 0} | {name: fails(F.col("t"), F.col("w")) for name, fails in RULES.items()}
-        took = {name: [run(test) for _ in range(turns)] for name, test in tests.items()} if rows else {}
-        idle = min(t for t, _ in took[""]) if rows else 0.0
-        return {name: (max(min(t for t, _ in took[name]) - idle, 0.0) / repeat, took[name][0][1] / (rows * repeat)) if rows else (0.0, 0.0) for name in RULES}
+        took = [{name: run(test) for name, test in tests.items()} for _ in range(turns + 1)][1:] if rows else []
+        idle = sorted(turn[""][0] for turn in took)[:QUICKEST] or [0.0]
+        noise = max(idle[-1] - idle[0], 1e-6)  # a rule that costs less counts as this dear
+        return {name: ([max(turn[name][0] - idle[0], noise) / repeat for turn in took], took[0][name][1] / (rows * repeat) if took else 0.0) for name in RULES}
     finally:
         sample.unpersist()
 
@@ -142,23 +148,28 @@ def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
-#: What the rules are expected to cost, as weights. Measured costs stand in for them where they differ by more than
-#: UNLIKE times; within that a clock's noise would reorder the cascade from run to run.
-EXPECTED = {"too_few_words": 1, "symbols": 15, "word_length": 15, "repeated_lines": 32, "stutter": 36, "few_letters": 40, "repeated_windows": 320}
-UNLIKE = 8
+def cost_classes(figures: dict[str, tuple[list[float], float]]) -> dict[str, float]:
+    """A cost for each rule, of its quickest turn, and one for all rules that the measurement can't tell apart.
 
-
-def weights(figures: dict[str, tuple[float, float]]) -> dict[str, float]:
-    """The measured costs on the scale of EXPECTED, snapped to it where they are alike."""
-    total = sum(seconds for seconds, _ in figures.values())
-    scale = sum(EXPECTED.get(r, 0) for r in figures) / total if total else 0.0
-    out = {r: max(1.0, seconds * scale) for r, (seconds, _) in figures.items()}
-    return {r: float(EXPECTED[r]) if r in EXPECTED and EXPECTED[r] / UNLIKE <= w <= EXPECTED[r] * UNLIKE else w for r, w in out.items()}
-
-
-def cascade_order(figures: dict[str, tuple[float, float]]) -> list[str]:
+    The rules' usual spread among their quickest turns is how far one figure may be off; costs are told apart where they
+    differ by more than two such figures can.
+    """
+    quick = {r: sorted(turns)[:QUICKEST] for r, (turns, _) in figures.items()}
+    apart = median(q[-1] / q[0] for q in quick.values()) ** 2
+    classes: list[list[str]] = []
+    for r in sorted(quick, key=lambda r: (quick[r][0], r)):
+        if classes and quick[r][0] <= apart * quick[classes[-1][-1]][0]:
+            classes[-1].append(r)
+        else:
+            classes.append([r])
+    return {r: math.exp(sum(math.log(quick[x][0]) for x in its) / len(its)) for its in classes for r in its}
+
+
+def cascade_order(figures: dict[str, tuple[list[float], float]]) -> list[str]:
     """The most rejection per cost first; rules that reject none by cost, and by name where that is equal."""
-    cost = weights(figures)
+    if not all(turns for turns, _ in figures.values()):  # an empty table has nothing to measure on
+        return sorted(figures)
+    cost = cost_classes(figures)
     return sorted(figures, key=lambda r: (-figures[r][1] / cost[r], cost[r], r))
 
 

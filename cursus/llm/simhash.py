@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, bits: int = BITS) ->
     roots = written(rooted(prints, bits), "rooted")
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     # Rows meet their component by fingerprint; only distinct fingerprints are dealt out by root.
-    found = hot_join(prints, written(roots.select("fp", "root").join(least, "root").select("fp", "component_id"), "least"), "fp")
+    found = hot_join(prints, written(hot_join(roots.select("fp", "root"), least, "root").select("fp", "component_id"), "least"), "fp")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -349,12 +349,22 @@ def test_quality(docs, none):
     assert quality.quality_filter(docs).columns == docs.columns and quality.quality_filter(none).count() == 0
 
 
-def test_cascade_order_is_steady(docs):
-    orders = {tuple(quality.cascade_order(quality.measured(docs))) for _ in range(10)}
-    assert len(orders) == 1, orders
-    alike = {"symbols": (0.02, 0.1), "few_letters": (0.04, 0.1), "stutter": (0.03, 0.0), "repeated_windows": (0.3, 0.0)}
-    assert quality.cascade_order(alike) == quality.cascade_order(alike | {"symbols": (0.04, 0.1)}) == ["symbols", "few_letters", "stutter", "repeated_windows"]
-    assert quality.cascade_order(alike | {"symbols": (9.0, 0.1)})[0] == "few_letters"  # far dearer than expected
+def test_cascade_order_goes_by_measured_costs(docs, none, monkeypatch):
+    figures = {"symbols": ([0.010, 0.011, 0.013], 0.1), "few_letters": ([0.024, 0.025, 0.026], 0.1), "stutter": ([0.018, 0.019, 0.02], 0.02), "repeated_windows": ([0.150, 0.155, 0.16], 0.06), "word_length": ([0.008, 0.009, 0.009], 0.0)}
+    order = ["symbols", "few_letters", "stutter", "repeated_windows", "word_length"]
+    r, orders = random.Random(6), set()
+    for _ in range(50):  # figures as far off as the turns are
+        orders.add(tuple(quality.cascade_order({k: ([t * r.uniform(0.95, 1.05) for t in turns], share) for k, (turns, share) in figures.items()})))
+    assert orders == {tuple(order)}
+    assert quality.cascade_order(figures | {"symbols": ([0.2, 0.21, 0.22], 0.1)})[0] == "few_letters"
+    assert quality.cascade_order({k: (v, 0.0) for k, (v, _) in figures.items()}) == ["word_length", "symbols", "stutter", "few_letters", "repeated_windows"]
+    alike = {k: ([t / 10, t / 9, t / 8], 0.0) for k, t in (("b", 1.0), ("a", 1.3), ("c", 9.0))}  # turns that spread hide what is between a and b
+    assert quality.cascade_order(alike) == ["a", "b", "c"]
+    # The same test a hundred times over goes behind its plain twin.
+    slow = lambda text, w: sum((F.xxhash64(text, F.lit(i)) % 2 for i in range(300)), F.lit(0)) < -400
+    monkeypatch.setattr(quality, "RULES", {"a_slow": lambda text, w: slow(text, w) | (F.size(w) < 30), "b_quick": lambda text, w: F.size(w) < 30})
+    assert quality.cascade_order(quality.measured(docs)) == ["b_quick", "a_slow"]
+    assert quality.cascade_order(quality.measured(none)) == ["a_slow", "b_quick"]
 
 
 def test_pii(spark, none):
