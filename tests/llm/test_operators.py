@@ -360,8 +360,8 @@ def test_cascade_order_goes_by_measured_costs(docs, none, monkeypatch):
     assert quality.cascade_order({k: (v, 0.0) for k, (v, _) in figures.items()}) == ["word_length", "symbols", "stutter", "few_letters", "repeated_windows"]
     alike = {k: ([t / 10, t / 9, t / 8], 0.0) for k, t in (("b", 1.0), ("a", 1.3), ("c", 9.0))}  # turns that spread hide what is between a and b
     assert quality.cascade_order(alike) == ["a", "b", "c"]
-    # The same test a hundred times over goes behind its plain twin.
-    slow = lambda text, w: sum((F.xxhash64(text, F.lit(i)) % 2 for i in range(300)), F.lit(0)) < -400
+    # A slow test that rejects no more than a quick one goes behind it.
+    slow = lambda text, w: F.aggregate(F.sequence(F.lit(1), F.lit(500)), F.lit(0).cast("long"), lambda a, i: F.pmod(a + F.xxhash64(text, i), F.lit(7))) < 0
     monkeypatch.setattr(quality, "RULES", {"a_slow": lambda text, w: slow(text, w) | (F.size(w) < 30), "b_quick": lambda text, w: F.size(w) < 30})
     assert quality.cascade_order(quality.measured(docs)) == ["b_quick", "a_slow"]
     assert quality.cascade_order(quality.measured(none)) == ["a_slow", "b_quick"]
