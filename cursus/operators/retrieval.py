@@ -112,6 +112,13 @@ def best_per_question(questions: DataFrame, base: DataFrame, key: str, k: int |
     asked = unit_blocks(questions, "question_id", "asked", asked_rows, "asked", k).select(F.col("ids").alias("q_ids"), F.col("units").alias("q_units"), F.col("ks").alias("q_ks"))
     pairs = unit_blocks(base, key, "embedding", held_rows, "held").drop("ks").crossJoin(asked)  # of blocks, never of rows
 
+    kinds = dict(base.dtypes) | dict(questions.dtypes)
+    return best_of_pairs(pairs, kinds["question_id"], kinds[key]).withColumnRenamed("k", key)
+
+
+def best_of_pairs(pairs: DataFrame, question_kind: str, key_kind: str) -> DataFrame:
+    """(question_id, k, score, rank): each question's nearest rows, from pairs of blocks (ids, units, q_ids, q_units, q_ks)."""
+
     def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for ids, units, q_ids, q_units, q_ks in part.itertuples(index=False, name=None):
@@ -124,10 +131,9 @@ def best_per_question(questions: DataFrame, base: DataFrame, key: str, k: int |
                 flat, each = np.concatenate(tops), np.repeat(np.arange(len(tops)), [len(t) for t in tops])
                 yield pd.DataFrame({"question_id": np.asarray(q_ids)[each], "asks": ks[each], "k": keys[flat], "score": scores[each, flat]})
 
-    kinds = dict(base.dtypes) | dict(questions.dtypes)
-    found = pairs.mapInPandas(best, f"question_id {kinds['question_id']}, asks int, k {kinds[key]}, score double")
+    found = pairs.select("ids", "units", "q_ids", "q_units", "q_ks").mapInPandas(best, f"question_id {question_kind}, asks int, k {key_kind}, score double")
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "k")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("asks")).select("question_id", F.col("k").alias(key), "score", "rank")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("asks")).select("question_id", "k", "score", "rank")
 
 
 def metric_status(name: str, value: Column) -> Column:

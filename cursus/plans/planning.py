@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import planning as P
+from ..operators import vector_index as I
+from ..sources import sinks
 from ..sources.tables import table
 from .catalogue import query
 
@@ -30,3 +32,15 @@ def planned_retrieval(spark, sf_dir):
     parts = F.array(*[F.struct(F.lit(nr).alias("nr"), F.lit(k).alias("k")) for nr, (_, _, k) in enumerate(P.QUESTIONS)])
     asked = plans.select("plan_id", "subject", F.inline(parts)).join(e.select(F.col("vec_id").alias("of"), F.col("embedding").alias("asked")), F.col("of") == F.col("plan_id") + F.col("nr"))
     return P.planned_practices(asked, base, "vec_id")
+
+
+@query("""WITH b AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+SELECT q.vec_id AS question_id, b.vec_id, round(list_cosine_similarity(b.e, q.e), 6) AS score FROM b, b AS q WHERE q.vec_id % 50 = 0
+QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, b.vec_id) <= 10""")
+def vector_index_search(spark, sf_dir):
+    """The ten nearest of all rows for every 50th, through inverted lists that bounds leave open."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    place = sinks.scratch(spark, "index")
+    I.build(e, "vec_id", place)
+    found = I.search(spark, place, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("asked")), 10, exact=True)
+    return found.select("question_id", F.col("k").alias("vec_id"), "score")
