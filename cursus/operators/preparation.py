@@ -45,8 +45,13 @@ def learn_channels(videos: DataFrame, reference: str) -> DataFrame:
 
 
 def channel_defaults(channels: DataFrame) -> DataFrame:
-    """One row: the median of each channel feature, for videos of unknown channels."""
-    return channels.agg(*[F.median(c).alias(c) for c in CHANNEL_FEATURES])
+    """One row: the median of each channel feature, for videos of unknown channels. Features are ranked in bins, so no
+    task holds the values of all channels."""
+    from .relational import group_quantiles
+
+    each = channels.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in CHANNEL_FEATURES])).alias("x")).select("x.*")
+    medians = group_quantiles(each, "name", "v", [0.5])  # a row for each feature
+    return medians.agg(*[F.max(F.when(F.col("name") == c, F.get("q", F.lit(0)))).alias(c) for c in CHANNEL_FEATURES])
 
 
 def video_features(videos: DataFrame, channels: DataFrame, reference: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import bins_for, cuts_of
+from .relational import bin_of, bins_for, cuts_of
 
 
 def erfc(x: Column) -> Column:
@@ -18,22 +18,31 @@ def erfc(x: Column) -> Column:
     return t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
 
 
-def two_group_ranks(two: DataFrame, high: str, low: str, bins: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+#: Parts in which the rows of one combination of keys meet its cuts, where combinations are many.
+SPREAD = 32
+
+
+def two_group_ranks(two: DataFrame, high: str, low: str, bins: int | None = None, keys: tuple[str, ...] = (), many: bool = False) -> DataFrame:
     """For each distinct v of two (keys, g, v), within the keys: t1 and t0, its rows by group; b1 and b0, those before it;
     n1 and n0, all of a group's rows; mid, a value near the median. Values are ordered inside bins, so no task holds all of
     them, and only the bins' totals meet in one task. Cuts and totals are sent to every task, a number for each bin and
-    combination of the keys, so those must be few (names of columns, say)."""
+    combination of the keys, so those must be few (names of columns, say); unless `many`, when they are joined, a combination's
+    rows being spread over SPREAD parts."""
     bins = bins_for(two, bins)
     counts = two.groupBy(*keys, "v").agg(F.count_if(F.col("g") == high).alias("t1"), F.count_if(F.col("g") == low).alias("t0"))
-    cuts = F.broadcast(counts.groupBy(*keys).agg(cuts_of("v", bins).alias("cuts")))
-    cut = counts.join(cuts, list(keys)) if keys else counts.crossJoin(cuts)
-    binned = cut.select(*keys, "v", "t1", "t0", F.get("cuts", F.lit(bins // 2 - 1)).alias("mid"), F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("bin"))
+    cuts = counts.groupBy(*keys).agg(cuts_of("v", bins).alias("cuts"))
+    if many:
+        parts = cuts.select("*", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
+        cut = counts.withColumn("part", F.pmod(F.hash("v"), F.lit(SPREAD))).join(parts, [*keys, "part"])
+    else:
+        cut = counts.join(F.broadcast(cuts), list(keys)) if keys else counts.crossJoin(F.broadcast(cuts))
+    binned = cut.select(*keys, "v", "t1", "t0", F.get("cuts", F.lit(bins // 2 - 1)).alias("mid"), bin_of(F.col("cuts"), F.col("v"), bins).alias("bin"))
     sums = binned.groupBy(*keys, "bin").agg(F.sum("t1").alias("s1"), F.sum("t0").alias("s0"))
     whole = Window.partitionBy(*keys)
     earlier = lambda c: F.coalesce(F.sum(c).over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = sums.select(*keys, "bin", earlier("s1").alias("e1"), earlier("s0").alias("e0"), F.sum("s1").over(whole).alias("n1"), F.sum("s0").over(whole).alias("n0"))
     inside = lambda c: F.coalesce(F.sum(c).over(Window.partitionBy(*keys, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = binned.withColumns({"i1": inside("t1"), "i0": inside("t0")}).join(F.broadcast(totals), [*keys, "bin"])
+    placed = binned.withColumns({"i1": inside("t1"), "i0": inside("t0")}).join(totals if many else F.broadcast(totals), [*keys, "bin"])
     return placed.select(*keys, "v", "t1", "t0", (F.col("e1") + F.col("i1")).alias("b1"), (F.col("e0") + F.col("i0")).alias("b0"), "n1", "n0", "mid")
 
 
