@@ -88,6 +88,7 @@ def filter_videos(videos: DataFrame, config: FilterConfig, channels: DataFrame |
         why = F.lit(reason) if isinstance(reason, str) else reason
         return F.struct(F.lit(yes).alias("is_bac_3as"), F.lit(category).alias("filter_category"), F.lit(confidence).alias("filter_confidence"), why.alias("filter_reason"))
 
+    # The reasons are part of the output's format.
     short = F.format_string(f"Video too short (%.0fs < {config.min_seconds}s minimum)", seconds.cast("double"))
     rules = F.when(F.lit(config.require_duration) & ~long_enough, verdict(False, "non_bac", 0.8, short))
     rules = rules.when(other & ~exam & strong, verdict(True, "bac_3as", 0.7, "Strong Bac intent overrides non-Bac markers"))

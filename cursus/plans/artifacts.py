@@ -30,14 +30,16 @@ def json_records_round_trip(spark, sf_dir):
     return spark.read.schema("id long, nation int, balance double").json(place)
 
 
-@query("SELECT 'runs' AS key, 3 AS n, CAST(0.5 AS DOUBLE) AS share, 'é' AS name")
+@query("SELECT o_orderstatus AS split, count(*) AS n, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS share, 'é' || o_orderstatus AS name FROM orders GROUP BY 1")
 def metadata_round_trip(spark, sf_dir):
+    """The sizes of the orders' splits as metadata of numpy numbers, written as JSON and read again."""
     import numpy as np
 
-    place = sinks.scratch(spark, "meta")
-    sinks.write_metadata(spark, {"key": "runs", "n": np.int64(3), "share": np.float32(0.5), "name": "é"}, place)
+    place, rows = sinks.scratch(spark, "meta"), table(spark, sf_dir, "orders").groupBy("o_orderstatus").count().collect()  # a row for each status
+    total = sum(r["count"] for r in rows)
+    sinks.write_metadata(spark, {r["o_orderstatus"]: {"n": np.int64(r["count"]), "share": np.float64(r["count"] / total), "name": f"é{r['o_orderstatus']}"} for r in rows}, place)
     got = sinks.read_metadata(spark, place)
-    return spark.createDataFrame([(got["key"], int(got["n"]), float(got["share"]), got["name"])], "key string, n int, share double, name string")
+    return spark.createDataFrame([(k, int(v["n"]), float(v["share"]), v["name"]) for k, v in got.items()], "split string, n long, share double, name string")
 
 
 @query("SELECT 'first' AS source, count(*) AS n FROM nation UNION ALL SELECT 'second', count(*) FROM region")
@@ -92,21 +94,25 @@ def lasso_of_a_constant(spark, sf_dir):
     return model.transform(df).agg(F.count("*").alias("n"), F.round(F.avg("predicted"), 4).alias("predicted"))
 
 
-@query("SELECT category, CAST(importance AS DOUBLE) AS importance FROM (VALUES ('text', 0.6), ('time', 0.25), ('other', 0.15)) AS t(category, importance)")
+@query("SELECT CASE WHEN p_brand LIKE '%#1%' OR p_brand LIKE '%#2%' THEN 'first' WHEN p_brand LIKE '%#3%' THEN 'middle' ELSE 'other' END AS category, round(sum(p_retailprice) / (SELECT sum(p_retailprice) FROM part), 6) AS importance FROM part GROUP BY 1")
 def importance_by_category(spark, sf_dir):
-    got = M.importance_by_category({"tfidf_a": 0.5, "tfidf_b": 0.1, "publish_hour": 0.25, "views": 0.15}, {"text": ("tfidf",), "time": ("hour", "day")})
+    """Each brand's share of all prices stands for a feature's importance."""
+    rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sum("p_retailprice").alias("w")).collect()  # a row for each brand
+    total = sum(r["w"] for r in rows)
+    got = M.importance_by_category({f"tfidf_{r['p_brand']}": r["w"] / total for r in rows}, {"first": ("#1", "#2"), "middle": ("#3",)})
     return spark.createDataFrame([(k, round(v, 6)) for k, v in got.items()], "category string, importance double")
 
 
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def streamed_windows(spark, sf_dir):
-    """The windowed counts as a stream over the files, run until all of them are read."""
-    place, name = sinks.scratch(spark, "stream"), f"windows_{sinks.run_id()}"
+    """The windowed counts as a stream over the files, run until all of them are read; the latest result is a table of files."""
+    place = sinks.scratch(spark, "stream")
     schema = table(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    stream = windowed_counts(rows).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", place).trigger(availableNow=True).start()
+    latest = lambda counts, batch: counts.write.mode("overwrite").parquet(f"{place}/out")
+    stream = windowed_counts(rows).writeStream.outputMode("complete").foreachBatch(latest).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     stream.awaitTermination()
-    return spark.table(name).select(F.col("window.start").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+    return spark.read.parquet(f"{place}/out").select(F.col("window.start").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT min(event_id) AS event_id, user_id, event_type FROM events GROUP BY user_id, event_type")
@@ -130,9 +136,17 @@ def requests_within_budget(spark, sf_dir):
     return remote.within_budget(asked, 5000, "o_orderkey").select("o_orderkey", F.col("spent").cast("long").alias("spent"))
 
 
-@query("SELECT 'red' AS form, 25 AS high_pct, 'good' AS advice")
+_SIGNS = {"marks": "[#$%&*]", "shouting": "!!", "bars": "[|]", "digits": "[0-9]"}
+
+
+@query("WITH d AS (SELECT text, quality = 0 AS high FROM documents JOIN labels USING (doc_id)), s AS (" + " UNION ALL ".join(f"SELECT '{n}' AS form, avg(CASE WHEN regexp_matches(text, '{p}') THEN 100.0 ELSE 0.0 END) FILTER (high) AS h, avg(CASE WHEN regexp_matches(text, '{p}') THEN 100.0 ELSE 0.0 END) FILTER (NOT high) AS l FROM d" for n, p in _SIGNS.items()) + """
+), f AS (SELECT *, CASE WHEN l > 0 THEN (h - l) / l * 100 WHEN h > 0 THEN 100 ELSE 0 END AS lift FROM s)
+SELECT CAST(row_number() OVER (ORDER BY lift DESC, form) AS INTEGER) AS place, printf('- ''%s'' stands in %.0f %% of strong titles, %.0f %% of weak ones', form, h, l) AS line FROM f WHERE lift > 20 AND h >= 5""")
 def report_of_practices(spark, sf_dir):
-    """A report rendered from small results; its lines are read back."""
-    text = P.report("R", {"videos": 3}, P.recommendations([{"form": "red", "high_pct": 25.0, "low_pct": 5.0, "lift_pct": 400.0}], [], [], None))
-    assert "'red' stands in 25 % of strong titles" in text and "- **videos**: 3" in text
-    return spark.range(1).select(F.lit("red").alias("form"), F.lit(25).alias("high_pct"), P.band(F.lit(100), 80, 180).alias("advice"))
+    """The report of what sets poor documents apart, rendered from the small result and read back line by line."""
+    df = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id").withColumn("level", F.when(F.col("quality") == 0, "High").otherwise("Low"))
+    forms = [r.asDict() for r in P.usage(df, {n: F.col("text").rlike(p) for n, p in _SIGNS.items()}).collect()]  # a row for each form
+    place = sinks.scratch(spark, "report")
+    spark.createDataFrame([(P.report("Documents", {"forms": len(forms)}, P.recommendations(forms, [], [], None)),)], "value string").coalesce(1).write.text(place)
+    lines = [x for x in spark.read.text(place, wholetext=True).first()[0].split("\n") if x.startswith("- '")]
+    return spark.createDataFrame(list(enumerate(lines, 1)), "place int, line string")

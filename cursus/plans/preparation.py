@@ -84,12 +84,13 @@ def video_features(spark, sf_dir):
     return out.select("video_id", "subject", *as_double, "days_since_publish", "title_length", "description_length", "is_exam_focused", "has_transcript", "transcript_word_count")
 
 
-@query(CHANNELS_SQL + """, s AS (SELECT video_id, coalesce(given, chs.subject) AS subject, likes / greatest(views, 1) AS like_ratio, ln(1 + likes / sqrt(greatest(views, 1))) AS score FROM v JOIN chs ON chs.channel_id = v.channel_id
+@query(CHANNELS_SQL + """, s AS (SELECT video_id, coalesce(given, chs.subject) AS subject, likes / greatest(views, 1) AS like_ratio, video_id % 7 / greatest(views, 1) AS comment_ratio, ln(1 + (3 * (video_id % 7) + likes) / sqrt(greatest(views, 1))) AS score FROM v JOIN chs ON chs.channel_id = v.channel_id
 ), c AS (SELECT quantile_cont(score, 0.33) AS lo, quantile_cont(score, 0.67) AS hi FROM s)
-SELECT video_id, subject, round(like_ratio, 6) AS like_ratio, CAST(0 AS DOUBLE) AS comment_ratio, round(score, 6) AS engagement_score, CASE WHEN score >= hi THEN 'High' WHEN score >= lo THEN 'Medium' ELSE 'Low' END AS engagement_category FROM s, c""")
+SELECT video_id, subject, round(like_ratio, 6) AS like_ratio, round(comment_ratio, 6) AS comment_ratio, round(score, 6) AS engagement_score, CASE WHEN score >= hi THEN 'High' WHEN score >= lo THEN 'Medium' ELSE 'Low' END AS engagement_category FROM s, c""")
 def engineered_export(spark, sf_dir):
-    out = Q.engineered_export(subject_videos(spark, sf_dir), REFERENCE)
-    return rounded(out.select("video_id", "subject", "like_ratio", F.col("comment_ratio").cast("double").alias("comment_ratio"), "engagement_score", "engagement_category"), "like_ratio", "engagement_score")
+    commented = subject_videos(spark, sf_dir).withColumn("comment_count", F.col("video_id") % 7)
+    out = Q.engineered_export(commented, REFERENCE)
+    return rounded(out.select("video_id", "subject", "like_ratio", "comment_ratio", "engagement_score", "engagement_category"), "like_ratio", "comment_ratio", "engagement_score")
 
 
 # --- the channel filter ---
@@ -325,10 +326,10 @@ def subject_title_words(spark, sf_dir):
 # --- small functions ---
 
 
-@query("SELECT doc_id, substr(text, 1, 200) AS head, round(exp(n_chars / 1000.0) - 1, 4) AS e, round(n_chars / 365.25, 6) AS y, lang AS bucket FROM documents WHERE n_chars < 3000")
+@query("SELECT doc_id, substr(text, 1, 200) AS head, round(exp(n_chars / 100000.0) - 1, 6) AS e, round(n_chars / 365.25, 6) AS y, lang AS bucket FROM documents")
 def small_functions(spark, sf_dir):
     n = F.col("n_chars")
-    return table(spark, sf_dir, "documents").where(n < 3000).select("doc_id", C.truncated(F.col("text"), 200).alias("head"), F.round(F.expm1(n / 1000.0), 4).alias("e"), F.round(C.years(n), 6).alias("y"), F.col("lang").alias("bucket"))
+    return table(spark, sf_dir, "documents").select("doc_id", C.truncated(F.col("text"), 200).alias("head"), F.round(F.expm1(n / 100000.0), 6).alias("e"), F.round(C.years(n), 6).alias("y"), F.col("lang").alias("bucket"))
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x), lambda p: -p * log2(p + 1e-6))), 5) AS entropy, round(list_avg([CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE)]), 6) AS pooled, CASE WHEN embedding[1] >= 0 THEN 'plus' ELSE 'minus' END AS side, CAST(embedding[3] AS DOUBLE) AS third FROM embeddings WHERE embedding[1] <> 0")
