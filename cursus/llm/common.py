@@ -107,20 +107,22 @@ def one_per_component(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return without_rows(rows, drop)
 
 
-#: Keys that hold more than one in so many rows are hot, so there are never more hot keys than that.
-HOT_SHARE = 1000
+#: Keys that hold more than one in so many rows are hot, so there are never more hot keys than that; but a key with so few
+#: rows is no burden to a task.
+HOT_SHARE, HOT_ROWS = 1000, 4096
 
 
 def hot_join(big: DataFrame, small: DataFrame, key: str | list[str], how: str = "left", counts: DataFrame | None = None) -> DataFrame:
     """big join small (a row for each key at most), left or inner. The rows of hot keys, at most HOT_SHARE keys, don't move:
     their rows of small are sent to them. counts: (key, n), big's rows by key or by those keys that may be hot, if known."""
     keys = [key] if isinstance(key, str) else key
-    least = (big.count() if counts is None else counts.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE
     if counts is None:
         counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hot = written(counts.where((F.col("n") > least) & (F.col("n") > 1)).select(*keys), "hot")
-    if hot.isEmpty():
+    sizes = counts.agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+    least = max(HOT_ROWS, (sizes["all"] or 0) // HOT_SHARE)
+    if (sizes["most"] or 0) <= least:
         return big.join(small, keys, how)
+    hot = written(counts.where(F.col("n") > least).select(*keys), "hot")
     few = written(small.join(F.broadcast(hot), keys, "left_semi"), "few")
     rest = big.join(F.broadcast(hot), keys, "left_anti").join(small, keys, how)
     return rest.unionByName(big.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(few), keys, how))
