@@ -95,6 +95,12 @@ def search(df: DataFrame, key: str, features: list[str], target: str, model: str
     """The tried parameters with their r2 on a validation part, best first; r2 on the training part that is more than
     `gap` above it costs `penalty` times the rest. Both parts are scored in one pass a trial, and `at_once` trials share
     the cluster, so that one's last tasks don't keep the others waiting."""
+    trial = trial_of(df, key, features, target, model, seed, gap, penalty)
+    return sorted(side_by_side(df.sparkSession, trial, tried, at_once), key=lambda t: -t["score"])
+
+
+def trial_of(df: DataFrame, key: str, features: list[str], target: str, model: str, seed: str = "search", gap: float = 0.1, penalty: float = 0.5) -> Callable[[dict], dict]:
+    """A function that fits and scores one set of parameters as `search` does."""
     marked = df.withColumn("__held", in_test(key, seed))
 
     def trial(params: dict) -> dict:
@@ -106,7 +112,7 @@ def search(df: DataFrame, key: str, features: list[str], target: str, model: str
             raise ValueError("too few rows, or a constant target, in one of the parts")
         return {"params": params, "r2": held, "r2_training": own, "score": held - max(0.0, (own - held - gap) * penalty)}
 
-    return sorted(side_by_side(df.sparkSession, trial, tried, at_once), key=lambda t: -t["score"])
+    return trial
 
 
 def predicted_by(fitted: dict, df: DataFrame) -> DataFrame:

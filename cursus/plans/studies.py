@@ -9,6 +9,7 @@ from ..functions import columns as C
 from ..operators import models as M
 from ..operators import practices as P
 from ..operators import statistics as S
+from ..operators.tuning import tuned
 from ..sources import remote
 from ..sources.tables import VIDEOS_SQL, table, videos
 from ..streaming import retries
@@ -237,6 +238,12 @@ def searched_parameters(spark, sf_dir):
     return spark.createDataFrame([(i, t["params"]["maxDepth"], round(t["score"], 6)) for i, t in enumerate(found)], "place long, max_depth int, score double")
 
 
+def tuned_parameters(spark, sf_dir):
+    """Boosted trees by halving: trials start with few rounds, and the best third goes on; models have no SQL."""
+    found = tuned(_modelled(spark, sf_dir), "video_id", ["views", "likes", "duration_sec"], "score", "boosted", {"maxDepth": (2, 4), "stepSize": (0.05, 0.3)}, 3, effort=("maxIter", 2, 6))
+    return spark.createDataFrame([(i, t["params"]["maxDepth"], t["params"]["maxIter"], round(t["score"], 6)) for i, t in enumerate(found)], "place long, max_depth int, rounds int, score double")
+
+
 def stacked_predictions(spark, sf_dir):
     """Out-of-fold predictions of two models and of the one above them; models have no SQL."""
     bases = {"by_line": ("ridge", {}), "by_trees": ("forest", {"numTrees": 4, "maxDepth": 4})}
@@ -244,4 +251,4 @@ def stacked_predictions(spark, sf_dir):
     return second.transform(folds).select("video_id", *[F.round(c, 6).alias(c) for c in ("by_line", "by_trees", "predicted")])
 
 
-QUERIES |= {f.__name__: f for f in (principal_components, searched_parameters, stacked_predictions)}
+QUERIES |= {f.__name__: f for f in (principal_components, searched_parameters, tuned_parameters, stacked_predictions)}
