@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from importlib import import_module
+from importlib.util import module_from_spec, spec_from_file_location
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
 from ..operators.relational import bins_for, cuts_of
 
@@ -21,12 +22,20 @@ UNITS = {"lookup": 1, "list": 1, "search": 100, "details": 1}
 
 
 def named(function: str) -> Callable:
-    module, _, name = function.partition(":")
-    return getattr(import_module(module), name)
+    """"module:function", or "/path/file.py:function" of a file that is in the same place on every machine."""
+    module, _, name = function.rpartition(":")
+    if not module.endswith(".py"):
+        return getattr(import_module(module), name)
+    spec = spec_from_file_location("client", module)
+    loaded = module_from_spec(spec)
+    spec.loader.exec_module(loaded)
+    return getattr(loaded, name)
 
 
 class PagedSource(DataSource):
-    """Options: client, lists (comma-separated ids), most (records of a list at most; all where it is absent)."""
+    """Options: client, lists (comma-separated ids), most (records of a list at most; all where it is absent), and for streams
+    follow, a function "module:function" of (list id, page token) that gives the next page's token alone; without it, the
+    client is asked and its records are not used."""
 
     @classmethod
     def name(cls) -> str:
@@ -38,12 +47,24 @@ class PagedSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return PagedReader(dict(self.options))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802 - Spark's name
+        return PagedStream(dict(self.options))
+
 
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.client, self.lists = options["client"], [x for x in options.get("lists", "").split(",") if x]
         self.most = int(options["most"]) if "most" in options else None
 
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802 - Spark's name
+        """Lists that a filter rules out are not asked for; the session must allow spark.sql.python.filterPushdown.enabled."""
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("list_id",):
+                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.lists = [x for x in self.lists if x in wanted]
+            else:
+                yield f
+
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(x) for x in self.lists] or [InputPartition(None)]
 
@@ -63,6 +84,54 @@ class PagedReader(DataSourceReader):
                 return
 
 
+class PagedStream(DataSourceStreamReader):
+    """A listing that only grows at its end, as a stream. An offset says of each list how many pages are read and the token of
+    the page after them; each page between two offsets is a partition, so a page is read once, by an executor, and a
+    restart goes on from the offset. The driver only follows the tokens."""
+
+    def __init__(self, options: dict):
+        self.client, self.lists, self.follow = options["client"], [x for x in options.get("lists", "").split(",") if x], options.get("follow")
+        self.at = self.initialOffset()
+
+    def initialOffset(self) -> dict:  # noqa: N802 - Spark's names
+        return {x: [0, None] for x in self.lists}
+
+    def _next(self, list_id: str, token):
+        return named(self.follow)(list_id, token) if self.follow else named(self.client)(list_id, token)[1]
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        """All pages but an open last one: a page without a successor may still get records."""
+        for x, (pages, token) in self.at.items():
+            while (after := self._next(x, token)) is not None:
+                pages, token = pages + 1, after
+            self.at[x] = [pages, token]
+        return {x: list(v) for x, v in self.at.items()}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        out = []
+        for x, (last, _) in end.items():
+            first, token = start.get(x, [0, None])
+            for page in range(first, last):
+                out.append(InputPartition((x, page, token)))
+                token = self._next(x, token)
+        return out
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        list_id, page, token = partition.value
+        for record in named(self.client)(list_id, token)[0]:
+            yield list_id, page, record
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+def paged_stream(spark: SparkSession, client: str, lists: list[str], follow: str | None = None) -> DataFrame:
+    """(list_id, page, record) of pages as they are filled, as a stream."""
+    spark.dataSource.register(PagedSource)
+    reader = spark.readStream.format("paged").option("client", client).option("lists", ",".join(lists))
+    return (reader.option("follow", follow) if follow else reader).load()
+
+
 def paged(spark: SparkSession, client: str, lists: list[str], most: int | None = None) -> DataFrame:
     """(list_id, page, record): the records are JSON strings."""
     spark.dataSource.register(PagedSource)
