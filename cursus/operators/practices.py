@@ -118,5 +118,19 @@ def recommendations(forms: list[dict], durations: list[dict], features: list[dic
     return {"Titles": titles, "Durations": lengths, "Delivery": speech, "Strategy": exams}
 
 
+def lost_profile(df: DataFrame, kept: str, wanted: str, category: str, markers: tuple, words: int = 15) -> DataFrame:
+    """(part, value, n, pct) of the rows (title, description, ...) that a filter rejected and a reviewer wanted: their
+    categories, in how many each marker stands, and the commonest Arabic words of their titles. pct is of these rows."""
+    lost = df.where(~F.coalesce(F.col(kept), F.lit(False)) & F.coalesce(F.col(wanted), F.lit(False)))
+    text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))
+    by_category = lost.groupBy(F.col(category).alias("value")).agg(F.count("*").alias("n")).select(F.lit("category").alias("part"), "value", "n")
+    one = lost.agg(F.count("*").alias("total"), *[F.count_if(F.contains(text, F.lit(m))).alias(f"m{i}") for i, m in enumerate(markers)])
+    by_marker = one.select(F.lit("marker").alias("part"), F.inline(F.array(*[F.struct(F.lit(m).alias("value"), F.col(f"m{i}").alias("n")) for i, m in enumerate(markers)])))
+    named = lost.select(F.explode(F.regexp_extract_all(F.coalesce("title", F.lit("")), F.lit("[\u0600-\u06ff]+"), 0)).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    by_word = named.orderBy(F.desc("n"), "value").limit(words).select(F.lit("word").alias("part"), "value", "n")
+    rows = by_category.unionByName(by_marker).unionByName(by_word)
+    return rows.crossJoin(F.broadcast(one.select("total"))).select("part", "value", "n", (F.col("n") * 100 / F.col("total")).alias("pct"))
+
+
 def report(title: str, facts: dict, sections: dict[str, list[str]]) -> str:
     return markdown_report(title, {k: str(v) for k, v in facts.items()}, sections)
