@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import chunks as K
 from ..operators import planning as P
 from ..operators import vector_index as I
 from ..sources import sinks
@@ -44,3 +45,17 @@ def vector_index_search(spark, sf_dir):
     I.build(e, "vec_id", place)
     found = I.search(spark, place, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("asked")), 10, exact=True)
     return found.select("question_id", F.col("k").alias("vec_id"), "score")
+
+
+@query("""WITH b AS (SELECT p_brand AS s, count(*) AS n, count(*) FILTER (p_size > 25) AS h, min(p_type) AS a, max(p_type) AS z, min(p_size) AS lo, max(p_size) AS hi FROM part GROUP BY 1)
+SELECT s || '_summary' AS chunk_id, 'subject_summary' AS category, 'subject_summary' AS type, s AS subject, array_to_string(['Subject: ' || s, 'Total videos: ' || n, 'High performers: ' || h, 'Average engagement: N/A', ''], chr(10)) AS content FROM b
+UNION ALL SELECT s || '_title_optimization_recommendations', 'title_optimization', 'recommendations', s, array_to_string(['Subject: ' || s, 'Category: title_optimization', 'Recommendations:', 'use ' || a, 'avoid ' || z], chr(10)) FROM b
+UNION ALL SELECT s || '_title_optimization_title_length', 'title_optimization', 'statistical_analysis', s, array_to_string(['Subject: ' || s, 'Category: title_optimization', 'Metric: title_length', 'High performers median: ' || hi, 'Low performers median: ' || lo, 'Difference: N/A%', ''], chr(10)) FROM b""")
+def practice_chunks(spark, sf_dir):
+    """A file of practices for each brand, as JSON, and its chunks."""
+    by_brand = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.count_if(F.col("p_size") > 25).alias("h"), F.min("p_type").alias("a"), F.max("p_type").alias("z"), F.min("p_size").alias("lo"), F.max("p_size").alias("hi"))
+    said = F.array(F.concat(F.lit("use "), "a"), F.concat(F.lit("avoid "), "z"))
+    title = F.struct(said.alias("recommendations"), F.struct(F.col("hi").alias("high_median"), F.col("lo").alias("low_median")).alias("title_length"))
+    files = by_brand.select(F.col("p_brand").alias("name"), F.to_json(F.struct(F.col("n").alias("total_videos"), F.col("h").alias("high_performers"), title.alias("title_optimization"))).alias("value"))
+    names = tuple(r["p_brand"] for r in by_brand.select("p_brand").collect())  # a row for each brand
+    return K.practice_chunks(files, names)
