@@ -6,10 +6,11 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ..operators import boosting as B
 from ..operators import matrix as X
 from ..sources import sinks
 from ..sources.tables import table
-from .catalogue import query
+from .catalogue import QUERIES, query
 
 
 def saved(spark, fitted, name: str) -> PipelineModel:
@@ -43,3 +44,22 @@ def component_sizes(spark, sf_dir):
     fitted = saved(spark, X.Pipeline(stages=[X.Components(most=64)]).fit(df), "components")
     size = F.aggregate("components", F.lit(0.0), lambda a, x: a + x * x)
     return fitted.transform(df).select("vec_id", F.round(size, 4).alias("size"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderpriority, o_totalprice AS y, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('order:' || o_orderkey), o_orderkey) AS r, sum(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY md5('order:' || o_orderkey), o_orderkey) - o_totalprice AS s, avg(o_totalprice) OVER () AS m FROM orders)
+SELECT o_orderkey, round((s + m) / r, 3) AS before, round(avg(y) OVER (PARTITION BY o_orderpriority) * count(*) OVER (PARTITION BY o_orderpriority) / (count(*) OVER (PARTITION BY o_orderpriority) + 1) + m / (count(*) OVER (PARTITION BY o_orderpriority) + 1), 3) AS whole FROM o""")
+def target_statistics(spark, sf_dir):
+    """Each order's priority as a number: from the orders before it, to learn from, and from all, for new ones."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    whole = B.target_statistics(df, "o_orderpriority", "o_totalprice").withColumnRenamed("statistic", "whole")
+    before = B.ordered_target_statistics(df, "o_orderkey", "o_orderpriority", "o_totalprice", "before")
+    return before.join(F.broadcast(whole), F.col("o_orderpriority") == F.col("value")).select("o_orderkey", F.round("before", 3).alias("before"), F.round("whole", 3).alias("whole"))  # a row for each priority
+
+
+def leafwise_predictions(spark, sf_dir):
+    """Parts' prices by trees that grow leaf by leaf; models have no SQL."""
+    df = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.length("p_name").alias("letters"), "p_retailprice")
+    return B.fit_leafwise(df, ["p_size", "letters"], "p_retailprice", trees=3, leaves=4).transform(df).select("p_partkey", F.round("predicted", 4).alias("predicted"))
+
+
+QUERIES["leafwise_predictions"] = leafwise_predictions
