@@ -45,7 +45,8 @@ class PagedSource(DataSource):
         return "list_id string, page int, record string"
 
     def reader(self, schema) -> DataSourceReader:
-        return PagedReader(dict(self.options))
+        options = dict(self.options)
+        return (FilteringReader if options.get("pushdown") == "true" else PagedReader)(options)
 
     def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802 - Spark's name
         return PagedStream(dict(self.options))
@@ -56,15 +57,6 @@ class PagedReader(DataSourceReader):
         self.client, self.lists = options["client"], [x for x in options.get("lists", "").split(",") if x]
         self.most = int(options["most"]) if "most" in options else None
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802 - Spark's name
-        """Lists that a filter rules out are not asked for; the session must allow spark.sql.python.filterPushdown.enabled."""
-        for f in filters:
-            if isinstance(f, (EqualTo, In)) and f.attribute == ("list_id",):
-                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.lists = [x for x in self.lists if x in wanted]
-            else:
-                yield f
-
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(x) for x in self.lists] or [InputPartition(None)]
 
@@ -84,6 +76,17 @@ class PagedReader(DataSourceReader):
                 return
 
 
+class FilteringReader(PagedReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802 - Spark's name
+        """Lists that a filter rules out are not asked for."""
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("list_id",):
+                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.lists = [x for x in self.lists if x in wanted]
+            else:
+                yield f
+
+
 class PagedStream(DataSourceStreamReader):
     """A listing that only grows at its end, as a stream. An offset says of each list how many pages are read and the token of
     the page after them; each page between two offsets is a partition, so a page is read once, by an executor, and a
@@ -133,9 +136,11 @@ def paged_stream(spark: SparkSession, client: str, lists: list[str], follow: str
 
 
 def paged(spark: SparkSession, client: str, lists: list[str], most: int | None = None) -> DataFrame:
-    """(list_id, page, record): the records are JSON strings."""
+    """(list_id, page, record): the records are JSON strings. Where spark.sql.python.filterPushdown.enabled is true, lists that a filter
+    rules out are not asked for; Spark has readers with filters only then."""
     spark.dataSource.register(PagedSource)
-    reader = spark.read.format("paged").option("client", client).option("lists", ",".join(lists))
+    pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    reader = spark.read.format("paged").option("client", client).option("lists", ",".join(lists)).option("pushdown", pushed)
     return (reader if most is None else reader.option("most", str(most))).load()
 
 
