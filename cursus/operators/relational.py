@@ -75,9 +75,22 @@ def ordered(df: DataFrame, value: str, bins: int | None = None) -> DataFrame:
     return binned.withColumn("__inside", inside).join(F.broadcast(totals), "__bin").select(value, "ties", (F.col("__before") + F.col("__inside")).alias("below"), "n")
 
 
-def mid_ranks(df: DataFrame, value: str, bins: int | None = None) -> DataFrame:
-    """df with mid_rank, the average rank of ties, and ties; rows with a null value are left out."""
-    return df.join(ordered(df, value, bins).select(value, (F.col("below") + (F.col("ties") + 1) / 2).alias("mid_rank"), "ties"), value)
+#: Rows of one value that are no burden to a task.
+FEW = 4096
+
+
+def mid_ranks(df: DataFrame, value: str, bins: int | None = None, few: int = FEW) -> DataFrame:
+    """df with mid_rank, the average rank of ties, and ties; rows with a null value are left out.
+
+    Values with more than `few` rows and a thousandth of all, fewer than a thousand values therefore, are told to all tasks, so that their rows meet
+    their rank in parts of about `few` rows.
+    """
+    ranks = ordered(df, value, bins)
+    parts = F.when((F.col("ties") > few) & (F.col("ties") * 1000 > F.col("n")), F.ceil(F.col("ties") / few)).otherwise(1)
+    hot = F.broadcast(ranks.select(value, parts.alias("__parts")).where("__parts > 1"))
+    spread = df.join(hot, value, "left").withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.coalesce("__parts", F.lit(1)))).drop("__parts")
+    each = ranks.select(value, (F.col("below") + (F.col("ties") + 1) / 2).alias("mid_rank"), "ties", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("__part"))
+    return spread.join(each, [value, "__part"]).drop("__part")
 
 
 def exact_quantiles(df: DataFrame, value: str, shares: list[float], bins: int | None = None) -> DataFrame:

@@ -58,3 +58,12 @@ def test_timing_channels_and_overview(spark):
     assert [r["value"] for r in found if r["part"] == "minutes" and r["place"] == 1] == ["60+"]
     assert [(r["channel"], r["place"]) for r in A.channels(df, "channel", "score", 2).orderBy("place").collect()] == [("c", 1), ("b", 2)]
     assert A.overview(df, "level", "score").first().asDict() == {"scope": "global", "videos": 60, "high": 60, "mean_score": 29.5}
+
+
+def test_rows_of_a_common_value_meet_their_rank_in_parts(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, 0.0).otherwise(F.col("id") % 7).alias("v")).unionByName(spark.createDataFrame([(9999, None)], "id long, v double"))
+    a, b = (R.mid_ranks(df, "v", few=few).select("id", "v", "mid_rank", "ties") for few in (100, 10**6))
+    assert a.count() == 3000 and a.exceptAll(b).isEmpty()
+    values = sorted(r["v"] for r in df.where("v IS NOT NULL").collect())
+    for r in a.select("v", "mid_rank", "ties").distinct().collect():
+        assert r["ties"] == values.count(r["v"]) and r["mid_rank"] == values.index(r["v"]) + (r["ties"] + 1) / 2
