@@ -297,14 +297,15 @@ def vector_top_k_filtered(spark, sf_dir):
     return V.retrieve(base, asked, 10, "vec_id", F.col("label") == 2).select("vec_id", "label", "score")
 
 
-def subject_hits(spark, sf_dir):
+@query("""WITH h AS (SELECT vec_id, CASE label WHEN 1 THEN 'global' ELSE CAST(label AS VARCHAR) END AS subject, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 50
+), t AS (SELECT *, CASE subject WHEN '2' THEN 0 WHEN 'global' THEN 1 ELSE 2 END AS tier FROM h), c AS (SELECT count(*) FILTER (tier = 0) AS own, count(*) FILTER (tier = 1) AS general FROM t)
+SELECT vec_id, subject, score, tier FROM t, c WHERE tier = 0 OR (tier = 1 AND own < 3) OR (tier = 2 AND own + general = 0) ORDER BY score DESC, vec_id LIMIT 5""")
+def retrieval_priority(spark, sf_dir):
+    """One question's fifty best, its subject before the general ones; planned_retrieval does it for many questions of many plans."""
     base = table(spark, sf_dir, "embeddings").withColumn("subject", F.when(F.col("label") == 1, "global").otherwise(F.col("label").cast("string")))
     return V.prioritised(V.retrieve(base, base.where("vec_id = 0").first()["embedding"], 50, "vec_id"), "vec_id", "subject", "2", 5)
 
 
-QUERIES["retrieval_priority"] = subject_hits
-
-
 def vif_selection(spark, sf_dir):
     """The lines' columns that survive selection, with a copy and a constant to drop; the algorithm is iterative."""
     df = table(spark, sf_dir, "lineitem").select(*_NUMBERS, (F.col("l_quantity") * 2).alias("twice"), F.lit(1.0).alias("constant"))

@@ -357,9 +357,9 @@ def coerced_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(C.utc_timestamp(text), "yyyy-MM-dd").alias("day"))
 
 
-@query("SELECT event_type || ':k' AS chunk_id, 'k' AS category, event_type AS subject, json_extract_string(props, '$.k') AS content FROM events WHERE event_id % 100 = 0")
+@query("SELECT event_type || event_id || ':k' AS chunk_id, 'k' AS category, event_type || event_id AS subject, json_extract_string(props, '$.k') AS content FROM events")
 def knowledge_chunks(spark, sf_dir):
-    files = table(spark, sf_dir, "events").where("event_id % 100 = 0").select(F.col("event_type").alias("subject"), F.col("props").alias("value"))
+    files = table(spark, sf_dir, "events").select(F.concat("event_type", F.col("event_id").cast("string")).alias("subject"), F.col("props").alias("value"))
     return Q.knowledge_chunks(files)
 
 
