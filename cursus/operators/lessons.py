@@ -108,6 +108,22 @@ def filter_statistics(filtered: DataFrame) -> DataFrame:
     return filtered.groupBy("filter_category").agg(F.count("*").alias("n"), F.count_if("is_bac_3as").alias("accepted"), F.avg(c).alias("mean"), F.stddev(c).alias("std"), F.min(c).alias("low"), F.max(c).alias("high"))
 
 
+def filter_summary(filtered: DataFrame, reviews: DataFrame | None = None, key: str = "video_id") -> DataFrame:
+    """One row on a filter's whole output: videos, kept ones and their share, the categories' sizes, mean confidence of kept and
+    rejected ones and, with reviews (key, wanted), how many were reviewed and the share of right decisions. A null review is none."""
+    kept, c = F.coalesce(F.col("is_bac_3as"), F.lit(False)), F.col("filter_confidence")
+    one = filtered.agg(
+        F.count("*").alias("total_videos"), F.count_if(kept).alias("kept"), (F.count_if(kept) * 100 / F.count("*")).alias("kept_pct"),
+        F.avg(F.when(kept, c)).alias("mean_confidence_kept"), F.avg(F.when(~kept, c)).alias("mean_confidence_rejected"))
+    sizes = filtered.groupBy("filter_category").agg(F.count("*").alias("n"))
+    sizes = sizes.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("filter_category", "n")))).alias("categories"))  # few categories
+    out = one.crossJoin(F.broadcast(sizes))
+    if reviews is not None:
+        both = filtered.select(key, kept.alias("__kept")).join(reviews.where("wanted IS NOT NULL").select(key, "wanted"), key)
+        out = out.crossJoin(F.broadcast(both.agg(F.count("*").alias("reviews"), F.avg((F.col("__kept") == F.col("wanted")).cast("double")).alias("accuracy"))))
+    return out
+
+
 def discover_terms(texts: DataFrame, min_df: int = 5, max_df: float = 0.8, top_n: int = 100, min_positive: int = 50, min_negative: int = 20, grams: tuple = (1, 2)) -> DataFrame:
     """Character n-grams inside words whose mean TF-IDF is higher in texts with positive = true: (term, diff).
 

@@ -226,3 +226,17 @@ def give_embedder(fitted, embed):
         if isinstance(s, Embedded):
             s.using(embed)
     return fitted
+
+
+def importances_by_type(fitted) -> dict[str, dict]:
+    """Of a fitted pipeline of feature_matrix and trees: by type of feature (numeric, text, embedding) its share of all importance,
+    and under each the features, highest first."""
+    weights = dict(zip(feature_names(fitted), map(float, fitted.stages[-1].featureImportances.toArray()), strict=True))
+    of = lambda n: "text" if n.startswith("tfidf_") else "embedding" if n.startswith("embedding_pc") else "numeric"
+    total = sum(weights.values()) or 1.0
+    out: dict[str, dict] = {}
+    for name, w in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
+        part = out.setdefault(of(name), {"share": 0.0, "features": {}})
+        part["share"] += w / total
+        part["features"][name] = w
+    return out

@@ -73,6 +73,17 @@ def filter_statistics(spark, sf_dir):
     return rounded(O.filter_statistics(filtered(spark, sf_dir)), "mean", "std")
 
 
+@query(FILTERED_SQL + """, judged AS (SELECT *, filter_category LIKE 'bac%' AS kept FROM f), reviewed AS (SELECT count(*) AS reviews, avg(CAST(kept = (video_id % 3 = 0) AS DOUBLE)) AS accuracy FROM judged WHERE video_id % 4 = 0), sizes AS (SELECT filter_category AS category, count(*) AS n FROM judged GROUP BY 1)
+SELECT category, n, total_videos, kept_videos, round(kept_pct, 6) AS kept_pct, round(sure, 6) AS mean_confidence_kept, round(unsure, 6) AS mean_confidence_rejected, reviews, round(accuracy, 6) AS accuracy
+FROM sizes, reviewed, (SELECT count(*) AS total_videos, count(*) FILTER (kept) AS kept_videos, count(*) FILTER (kept) * 100.0 / count(*) AS kept_pct, avg(filter_confidence) FILTER (kept) AS sure, avg(filter_confidence) FILTER (NOT kept) AS unsure FROM judged)""")
+def filter_summary(spark, sf_dir):
+    """The summary of a filter's output with the reviews of every fourth video, a row for each category."""
+    df = filtered(spark, sf_dir)
+    reviews = df.select("video_id", F.when(F.col("video_id") % 4 == 0, F.col("video_id") % 3 == 0).alias("wanted"))
+    one = rounded(O.filter_summary(df, reviews), "kept_pct", "mean_confidence_kept", "mean_confidence_rejected", "accuracy")
+    return one.withColumnRenamed("kept", "kept_videos").select("*", F.explode("categories").alias("category", "n")).drop("categories")
+
+
 _T = "lower(text)"
 _EVERY = tuple(dict.fromkeys(m.lower() for c in L.CURRICULA.values() for m in c))
 TRANSCRIPTS_SQL = rf"""WITH a AS (SELECT doc_id, text, lower(text) AS t, CAST(floor(n_chars / 15) AS BIGINT) AS s, list_filter(regexp_split_to_array(text, '{SPACE}'), lambda x: x <> '') AS w FROM documents

@@ -90,3 +90,11 @@ def test_each_text_is_embedded_once_and_the_embedder_is_not_saved(spark, videos,
     want = {r["video_id"]: r["predicted"] for r in model.transform(videos).collect()}
     got = {r["video_id"]: r["predicted"] for r in X.give_embedder(loaded, hashing_embedder(8)).transform(videos).collect()}
     assert got == pytest.approx(want) and len(got) == 62
+
+
+def test_importances_by_type(videos):
+    df = videos.where("vector IS NOT NULL").withColumn("score", F.coalesce("b", F.lit(0)) * 2 + F.when(F.contains(F.coalesce("title", F.lit("")), F.lit("exam")), 50.0).otherwise(0.0))
+    fitted = X.matrix_model(["a", "b"], "title", "score", "forest", embedding="vector", numTrees=5, maxDepth=4).fit(df)
+    got = X.importances_by_type(fitted)
+    assert set(got) == {"numeric", "text", "embedding"} and sum(p["share"] for p in got.values()) == pytest.approx(1)
+    assert next(iter(got["numeric"]["features"])) == "b" and got["numeric"]["share"] > 0.5
