@@ -106,7 +106,7 @@ class Model:
         r = np.random.default_rng(seed)
         vectors = ((r.random((BUCKETS, DIMENSIONS), np.float32) - 0.5) * (2 / DIMENSIONS)).astype(np.float32)
         output, bias = np.zeros((2, DIMENSIONS), np.float32), np.array([math.log(1 - self.share), math.log(self.share)], np.float32)
-        rows = _of_texts(texts)
+        rows = [row for k in range(0, len(texts), 64) for row in _of_texts(texts[k : k + 64])]  # a text's features don't depend on the others
         seen = np.zeros(BUCKETS, bool)
         for found, _ in rows:
             seen[found] = True
