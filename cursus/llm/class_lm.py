@@ -109,14 +109,14 @@ def blocks(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
 
 
 def counted(words: DataFrame, least: int, most_words: int, shapes: int) -> tuple[DataFrame, int]:
-    """(word, c, unit) of each word, and how many words are units of their own."""
-    counts = written(words.groupBy("word").agg(F.sum("n").alias("c")), "counts")
+    """(word, c, unit, rows) of each word, rows being its blocks, and how many words are units of their own."""
+    counts = written(words.groupBy("word").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("rows")), "counts")
     common = counts.where(F.col("c") >= least).orderBy(F.desc("c"), "word").limit(most_words)
     common = written(common.select("word", (F.row_number().over(Window.orderBy(F.desc("c"), "word")) - 1).alias("rank")), "common")  # most_words rows at most
     n = common.count()
     ending = F.concat(F.least(F.octet_length("word"), F.lit(12)).cast("string").cast("binary"), F.substring("word", -3, 3))
     unit = F.coalesce("rank", (F.pmod(F.crc32(ending), F.lit(shapes)) + n).cast("int"))
-    return counts.join(F.broadcast(common), "word", "left").select("word", "c", unit.alias("unit")), n
+    return counts.join(F.broadcast(common), "word", "left").select("word", "c", unit.alias("unit"), "rows"), n
 
 
 def unit_texts(texts: DataFrame, vocabularies: DataFrame, total: int, distinct: int) -> DataFrame:
@@ -296,7 +296,8 @@ def score(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, n_c
     ends = counts.where(F.octet_length("word") == 0).select("unit").first()
     end, n_classes = (ends["unit"] if ends else 0), n_classes or n_classes_for(n_words)
     # A common word has a row for each block.
-    held = unit_texts(texts, hot_join(words, counts, "word", "inner").select("block", "local", "c", "unit"), n, v)
+    many = counts.select("word", F.col("rows").alias("n"))
+    held = unit_texts(texts, hot_join(words, counts.drop("rows"), "word", "inner", many).select("block", "local", "c", "unit"), n, v)
     remove(docs.sparkSession, place)  # what comes later reads the units alone
 
     classes, pairs = clustered(held, totals, n_classes, end, sweeps) if n else (np.zeros(len(totals), np.uint8), np.zeros((n_classes, n_classes)))
