@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import lexicons as L
+from ..sources.sinks import scratch
 
 
 @dataclass(frozen=True)
@@ -128,16 +129,22 @@ def discover_terms(texts: DataFrame, min_df: int = 5, max_df: float = 0.8, top_n
     """Character n-grams inside words whose mean TF-IDF is higher in texts with positive = true: (term, diff).
 
     texts (id, text, positive). Smoothed idf, raw counts, unit vectors. Below the least numbers of texts no term is found.
+    Texts are dealt out by id once and their terms are counted, weighted and scaled where they lie: a text's terms are many
+    times its size, which the planner can't see, and no join moves them. What each task gets whole are the terms with their
+    frequencies, written first, so that no broadcast waits for the reading of all texts.
     """
-    sizes = texts.agg(F.count("*").alias("n"), F.count_if("positive").alias("np"), F.count_if(~F.col("positive")).alias("nn"))
+    size = texts.agg(F.count("*").alias("n"), F.count_if("positive").alias("np"), F.count_if(~F.col("positive")).alias("nn")).first()
+    n, enough = size["n"], size["np"] >= min_positive and size["nn"] >= min_negative
     terms = F.explode(C.char_grams(F.coalesce("text", F.lit("")), *grams)).alias("term")
-    tf = texts.select("id", "positive", terms).groupBy("id", "positive", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(sizes)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")) & (F.col("np") >= min_positive) & (F.col("nn") >= min_negative))
-    weight = tf.join(df, "term").withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = weight.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = weight.join(norm, "id").withColumn("u", F.col("w") / F.col("norm"))
-    mean = lambda side, n: F.coalesce(F.sum(F.when(side, F.col("u"))), F.lit(0.0)) / F.first(n)
-    diff = unit.groupBy("term").agg((mean(F.col("positive"), "np") - mean(~F.col("positive"), "nn")).alias("diff"))
+    tf = texts.select("id", "positive", "text").repartition("id").select("id", "positive", terms).groupBy("id", "positive", "term").agg(F.count("*").alias("tf"))
+    place = scratch(texts.sparkSession, "terms")
+    tf.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n) & F.lit(enough)).write.parquet(place)
+    df = texts.sparkSession.read.parquet(place)
+    weight = tf.join(F.broadcast(df), "term").withColumn("w", F.col("tf") * (F.log((1 + n) / (1 + F.col("df"))) + 1))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    unit = weight.withColumn("u", F.col("w") / norm)
+    mean = lambda side, of: F.coalesce(F.sum(F.when(side, F.col("u"))), F.lit(0.0)) / of
+    diff = unit.groupBy("term").agg((mean(F.col("positive"), size["np"]) - mean(~F.col("positive"), size["nn"])).alias("diff"))
     return diff.where("diff > 0").orderBy(F.desc("diff"), "term").limit(top_n)
 
 
