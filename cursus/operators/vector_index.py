@@ -108,7 +108,9 @@ def _search(spark: SparkSession, path: str, wanted: DataFrame, question_kind: st
 
     asked = dealt.select("list", "q").mapInPandas(packed, f"list int, q_ids array<{question_kind}>, q_units binary, q_ks array<int>")
     held = lists_of(spark, path, probed)
-    return V.best_of_pairs(held.join(asked, "list"), question_kind, dict(held.dtypes)["ids"][6:-1])  # blocks of a list meet
+    # Blocks of a list meet. A question's vector goes to each of its lists, which packs well on disk, so the planner would take
+    # the whole for small and send it through the driver.
+    return V.best_of_pairs(held.join(asked.hint("merge"), "list"), question_kind, dict(held.dtypes)["ids"][6:-1])
 
 
 def search(spark: SparkSession, path: str, questions: DataFrame, k: int | str, probes: int = 8, exact: bool = False) -> DataFrame:
@@ -135,7 +137,7 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int | str, p
     first = spark.read.parquet(place)
     # A question with fewer rows than it asks for has no bound yet.
     found = first.groupBy("question_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-    bounded = asked.join(found, "question_id", "left").select("question_id", "asked", "k", F.when(F.col("n") >= F.col("k"), F.col("least")).otherwise(-2.0).alias("least"))
+    bounded = asked.join(found.hint("merge"), "question_id", "left").select("question_id", "asked", "k", F.when(F.col("n") >= F.col("k"), F.col("least")).otherwise(-2.0).alias("least"))
 
     def others(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, middle, widest = shared.value
@@ -150,6 +152,6 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int | str, p
                 yield frame.iloc[row][["question_id", "asked", "k"]].assign(list=names[at])
 
     more = _search(spark, path, bounded.mapInPandas(others, columns + ", list int"), kind)
-    ranked = first.unionByName(more).join(asked.select("question_id", F.col("k").alias("asks")), "question_id")
+    ranked = first.unionByName(more).join(asked.select("question_id", F.col("k").alias("asks")).hint("merge"), "question_id")
     w = V.Window.partitionBy("question_id").orderBy(F.desc("score"), "k")
     return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("asks")).select("question_id", "k", "score", "rank")

@@ -5,12 +5,13 @@ import re
 from pyspark.sql import functions as F
 
 from cursus.operators import lessons as O
+from cursus.operators import vector_index as I
 
 
 def joins(df) -> list[str]:
     """The joins of the planned query."""
     plan = df._jdf.queryExecution().sparkPlan().toString()
-    return re.findall(r"Join[^\n]*", plan)
+    return re.findall(r"\w*Join[^\n]*", plan)
 
 
 def test_terms_move_once(spark, tmp_path):
@@ -27,3 +28,15 @@ def test_terms_of_repeated_ids(spark):
     rows = [(i % 60, "red" if i % 2 else "old", bool(i % 2)) for i in range(240)]
     df = spark.createDataFrame(rows, "id long, text string, positive boolean")
     assert [r["term"] for r in O.discover_terms(df, top_n=2, max_df=1.0).collect()] and O.discover_terms(df.limit(30)).count() == 0
+
+
+def test_index_blocks_meet_by_merge(spark, tmp_path):
+    """Blocks of questions and of lists, and what both searches found, are never sent through the driver, however small they look."""
+    rows = [(i, [float((i * p) % 17 - 8) for p in (1, 3, 5, 7)]) for i in range(1, 161)]
+    base, path = spark.createDataFrame(rows, "id long, embedding array<double>"), str(tmp_path / "index")
+    I.build(base, "id", path)
+    found = I.search(spark, path, base.where("id % 50 = 0").select(F.col("id").alias("question_id"), F.col("embedding").alias("asked")), 5, probes=2, exact=True)
+    assert joins(found)[0].startswith("SortMergeJoin")  # the outermost: what was found meets what was asked
+    near = I.search(spark, path, base.where("id = 50").select(F.col("id").alias("question_id"), F.col("embedding").alias("asked")), 5)
+    assert joins(near)[0].startswith("SortMergeJoin")  # the outermost: blocks of a list
+    assert {r["question_id"] for r in found.where("rank = 1").collect()} == {50, 100, 150}
