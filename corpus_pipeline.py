@@ -27,7 +27,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.near_dedup(docs)  # five words, similarity 0.8: beyond the bits that SimHash can search
+    # Links of five words' SimHash fingerprints, checked: similarity 0.8. MinHash adds those beyond the bits that the trees can search.
+    return jaccard.near_dedup(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

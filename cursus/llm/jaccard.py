@@ -1,7 +1,8 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, candidates from MinHash bands.
+"""Near-duplicates by exact Jaccard similarity of word shingles, candidates from SimHash fingerprints and MinHash bands.
 
-Rows with equal shingle sets are linked as they are. Of the others, those that share a band of minima are candidates: each
-is held against its bucket's least row, then against some peers of the same bucket unless they are linked by now. In
+Rows with equal shingle sets are linked as they are. Of the others, those whose fingerprints the vantage-point trees of
+simhash link are candidates, each checked exactly. Similar texts may differ in more bits than the trees can search, so those
+that share a band of minima are candidates too: each is held against its bucket's least row, then against some peers of the same bucket unless they are linked by now. In
 buckets that still hold several components every row outside the largest is held against all rows of other components,
 in cells of a bounded number of rows, so no candidate is left out; only links leave a cell, never its pairs.
 A link needs a Jaccard similarity of `least` or more between whole shingle sets. A pair at 0.8 shares none of the 20 bands
@@ -23,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import hot_join, numbered, one_per_component, written
 from .graph import components
 from .tokens import array_slices, distinct_words
@@ -98,6 +100,18 @@ def linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return found.where(both / (F.size("x") + F.size("y") - both) >= least).select("a", "b")
 
 
+def fingerprint_pairs(rows: DataFrame, words: int = SHINGLE, bits: int = simhash.BITS) -> DataFrame:
+    """Pairs (a, b), a < b, of the rows (__row, text): each row with the least one of its fingerprint, and the least ones of
+    fingerprints that simhash links."""
+    prints = written(simhash.fingerprints(rows.select(F.col("__row").alias("doc_id"), "text"), words).select(F.col("doc_id").alias("__row"), "fp"), "prints")
+    fps = written(prints.groupBy("fp").agg(F.min("__row").alias("least")), "fps")
+    equal = hot_join(prints, fps, "fp").where("__row <> least").select(F.col("least").alias("a"), F.col("__row").alias("b"))
+    tied = written(simhash.links(fps.select("fp"), bits), "tied")
+    of = lambda side: fps.select(F.col("fp").alias(side), F.col("least").alias(f"of_{side}")).hint("merge")
+    near = tied.join(of("a"), "a").join(of("b"), "b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b"))
+    return equal.unionByName(near)
+
+
 def near_roots(rows: DataFrame, words: int = SHINGLE, least: float = LEAST, peers: int = PEERS) -> DataFrame:
     """__row, root for each of the rows (__row, text) that is linked to another."""
     signed = written(signatures(rows, words), "signatures")
@@ -108,11 +122,13 @@ def near_roots(rows: DataFrame, words: int = SHINGLE, least: float = LEAST, peer
     buckets = placed.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("lead")).where("n > 1")
     buckets = written(buckets, "buckets")
     members = written(hot_join(placed, buckets, ["band", "h"], "inner", buckets), "members")
-    asked = written(members.select("__row").distinct(), "asked")
+    ones = one.select(F.col("one.__row").alias("__row"))  # rows of equal sets are linked already
+    pairs = written(fingerprint_pairs(rows.join(ones.hint("merge"), "__row", "left_semi"), words), "pairs")
+    asked = written(members.select("__row").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("__row"))).distinct(), "asked")
     sets = written(whole_sets(rows.join(asked.hint("merge"), "__row", "left_semi"), words), "sets")
 
     leads = members.where("__row <> lead").select(F.col("lead").alias("a"), F.col("__row").alias("b")).distinct()
-    edges = written(linked(leads, sets, least), "led")
+    edges = written(linked(leads.unionByName(pairs).distinct(), sets, least), "led")
     roots = written(components(edges), "led-roots")
     part = F.pmod(F.xxhash64("__row", "band"), F.ceil(F.col("n") / peers))
     groups = members.where("n > 2").groupBy("band", "h", part.alias("part")).agg(F.collect_list("__row").alias("rows"))
