@@ -29,7 +29,7 @@ z AS (SELECT p_partkey, 'p_size' AS feature, (p_size - avg(p_size) OVER ()) / st
 SELECT p_partkey, feature, round(v, 5) + 0.0 AS value FROM (FROM s UNION ALL FROM z) WHERE round(v, 5) <> 0""")
 def feature_matrix(spark, sf_dir):
     """Each part's features that aren't 0, from a pipeline that was fitted, saved and loaded; a copy and a constant are left out."""
-    df = table(spark, sf_dir, "part").withColumn("twice", F.col("p_size") * 2).withColumn("constant", F.lit(3))
+    df = table(spark, sf_dir, "part").repartition("p_partkey").withColumn("twice", F.col("p_size") * 2).withColumn("constant", F.lit(3))
     fitted = saved(spark, X.feature_matrix(["p_size", "p_retailprice", "twice", "constant"], "p_name").fit(df), "matrix")
     names = F.array(*map(F.lit, X.feature_names(fitted)))
     rows = fitted.transform(df).select("p_partkey", F.explode(F.arrays_zip(names.alias("feature"), vector_to_array("features").alias("v"))).alias("x"))
