@@ -200,10 +200,11 @@ def transcript_features(df: DataFrame, text: str = "text", seconds: str = "durat
     t, low = F.col(text), F.col("__low")
     base = df.withColumn("__ok", valid_transcript(t)).withColumn("__low", F.lower(t)).withColumn("__w", F.array_remove(F.split(t, r"\s+"), ""))
     w = F.col("__w")
+    # Each word's syllables and each count are columns of their own, so that what uses them twice finds them once.
     syllables = lambda x: F.greatest(F.regexp_count(F.lower(x), F.lit("[aeiouéèêëàâùûôîïœæ]+")), F.lit(1))
-    base = base.withColumns({
+    base = base.withColumn("__y", F.transform(w, syllables)).withColumns({
         "__words": F.size(w).cast("long"), "__sentences": C.sentences(t), "__unique": F.size(F.array_distinct(F.transform(F.filter(w, lambda x: F.length(x) > 2), F.lower))).cast("long"),
-        "__syll": F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + syllables(x)), "__hard": F.size(F.filter(w, lambda x: syllables(x) >= 3)).cast("long"),
+        "__syll": F.aggregate("__y", F.lit(0).cast("long"), lambda a, x: a + x), "__hard": F.size(F.filter("__y", lambda x: x >= 3)).cast("long"),
         "__chars": F.length(F.array_join(w, "")).cast("long"),
     })
     words, sentences = F.col("__words"), F.col("__sentences")
@@ -221,6 +222,7 @@ def transcript_features(df: DataFrame, text: str = "text", seconds: str = "durat
         "question": C.occurrences(low, "?") + C.occurrences(low, "؟"), "example": C.total(low, L.EXAMPLES), "explanation": C.total(low, L.EXPLANATIONS), "contrast": C.total(low, L.CONTRASTS),
         "technical_term": C.total(low, L.TECHNICAL), "domain_keyword": domain, "bac_marker": C.distinct_markers(low, list(L.EXAM_MARKERS)), "pedagogical_marker": C.distinct_markers(low, list(L.TEACHING)),
     }
+    base = base.withColumns({f"__n_{name}": F.when(F.col("__ok"), n) for name, n in counts.items()})
     out = {
         "transcript_word_count": words, "transcript_char_count": F.length(t).cast("long"), "transcript_sentence_count": sentences, "avg_words_per_sentence": ws,
         "unique_word_count": F.col("__unique"), "lexical_diversity": per(F.col("__unique"), words),
@@ -228,10 +230,11 @@ def transcript_features(df: DataFrame, text: str = "text", seconds: str = "durat
         "gunning_fog_index": 0.4 * (ws + 100 * per(F.col("__hard"), words)), "automated_readability_index": 4.71 * per(F.col("__chars"), words) + 0.5 * ws - 21.43,
         "speech_rate_wpm": wpm, "speech_rate_optimal": wpm.between(120, 180).cast("int"), "speech_rate_above_optimal": (wpm > 180).cast("int"), "speech_rate_below_optimal": (wpm < 100).cast("int"),
     }
-    for name, n in counts.items():
+    for name in counts:
+        n = F.col(f"__n_{name}")
         out[f"{name}_count"] = n
         out[f"{name}_density"] = per(n, sentences if name in ("question", "example", "contrast") else words)
-    out |= {"subject_keyword_count": domain, "subject_keyword_density": per(domain, words)}
+    out |= {"subject_keyword_count": F.col("__n_domain_keyword"), "subject_keyword_density": per(F.col("__n_domain_keyword"), words)}
     return base.withColumns({k: F.when(F.col("__ok"), v) for k, v in out.items()}).select(*df.columns, *out)
 
 

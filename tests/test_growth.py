@@ -1,10 +1,12 @@
 """Plans that must not depend on how small a table looks on disk."""
 
 import re
+import shutil
 
 from pyspark.sql import functions as F
 
 from cursus.operators import lessons as O
+from cursus.operators import models as M
 from cursus.operators import vector_index as I
 
 
@@ -40,3 +42,26 @@ def test_index_blocks_meet_by_merge(spark, tmp_path):
     near = I.search(spark, path, base.where("id = 50").select(F.col("id").alias("question_id"), F.col("embedding").alias("asked")), 5)
     assert joins(near)[0].startswith("SortMergeJoin")  # the outermost: blocks of a list
     assert {r["question_id"] for r in found.where("rank = 1").collect()} == {50, 100, 150}
+
+
+def test_fits_read_what_was_joined_once(spark, tmp_path):
+    """Search and stacking don't make their rows anew for each fit: the source may be gone once they have begun."""
+    rows = spark.range(120).select("id", (F.col("id") % 7).cast("double").alias("a"), ((F.col("id") % 7) * 2.0 + 1).alias("y"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    trial = M.trial_of(df, "id", ["a"], "y", "ridge")
+    _, second, folds = M.stack(df, "id", ["a"], "y", {"line": ("ridge", {"regParam": 0.0})}, folds=2)
+    shutil.rmtree(tmp_path / "rows")
+    assert trial({"regParam": 0.0})["r2"] > 0.99
+    assert second.transform(folds).count() == 120 and sorted(folds.columns) == ["a", "id", "line", "y"]
+
+
+def test_each_word_and_term_is_counted_once(spark):
+    """Syllables are one pass over a text's words, and a term's count is one pass over a text's terms."""
+    df = spark.createDataFrame([(1, "A banana. But so, however: like a cat?", 6), (2, None, 1)], "id long, text string, duration_sec long")
+    plan = O.transcript_features(df).select("example_count", "example_density", "flesch_reading_ease", "gunning_fog_index")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[aeiou") == 1
+    got = M.tfidf(df, "text", {"banana": 2.0, "cat": 1.0, "like": 1.0}, "v")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("filter(__g") <= 1
+    assert [[round(x, 4) for x in r["v"]] for r in got.orderBy("id").collect()] == [[0.8165, 0.4082, 0.4082], [0.0, 0.0, 0.0]]
+    assert [r["v"] for r in M.tfidf(df, "text", {}, "v").collect()] == [[], []]
