@@ -14,6 +14,8 @@ from ..sources.sinks import scratch
 from .preparation import knowledge_chunks
 
 CHUNK = "chunk_id string, category string, subject string, content string"
+#: Scores have six digits; two products of the same vectors may round apart.
+SLACK = 2e-6
 
 
 def knowledge_base(spark: SparkSession, folder: str, suffix: str = "_best_practices.json", skip: tuple = ("combined_best_practices.json",)) -> DataFrame:
@@ -71,33 +73,35 @@ def prioritised(hits: DataFrame, key: str, subject: str, wanted: str, k: int, le
     return once.withColumn("tier", tier).crossJoin(F.broadcast(counts)).where(allowed).select(key, subject, "score", "tier").orderBy(F.desc("score"), key).limit(k)
 
 
-def unit_blocks(df: DataFrame, key: str, vector: str, size: int, name: str, k: int | str = 0) -> DataFrame:
-    """(ids, units, ks): up to `size` rows of a partition with their unit vectors side by side and k, a number or a column of
-    numbers, written to the shared folder so that each block is made once. Rows without a vector are in none."""
+def unit_blocks(df: DataFrame, key: str, vector: str, size: int, name: str, k: int | str = 0, bound: str | None = None) -> DataFrame:
+    """(ids, units, ks, bounds): up to `size` rows of a partition with their unit vectors side by side, k, a number or a column of
+    numbers, and the column of least scores, if any, written to the shared folder so that each block is made once. Rows
+    without a vector are in none."""
     kind = dict(df.dtypes)[key]
 
     def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, vectors, ks = [], [], []
+        ids, vectors, ks, bounds = [], [], [], []
 
         def block() -> pd.DataFrame:
             rows = np.array(vectors, np.float64)
             rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-            return pd.DataFrame({"ids": [list(ids)], "units": [rows.tobytes()], "ks": [list(ks)]})
+            return pd.DataFrame({"ids": [list(ids)], "units": [rows.tobytes()], "ks": [list(ks)], "bounds": [list(bounds)]})
 
         for part in parts:
-            for i, v, n in zip(part["id"].tolist(), part["vector"], part["k"].tolist(), strict=True):
+            for i, v, n, b in zip(part["id"].tolist(), part["vector"], part["k"].tolist(), part["bound"].tolist(), strict=True):
                 ids.append(i)
                 vectors.append(v)
                 ks.append(n)
+                bounds.append(b)
                 if len(ids) == size:
                     yield block()
-                    ids, vectors, ks = [], [], []
+                    ids, vectors, ks, bounds = [], [], [], []
         if ids:
             yield block()
 
     place = scratch(df.sparkSession, name)
-    rows = df.select(F.col(key).alias("id"), F.col(vector).alias("vector"), (F.col(k) if isinstance(k, str) else F.lit(k)).cast("int").alias("k")).where("vector IS NOT NULL")
-    rows.mapInPandas(packed, f"ids array<{kind}>, units binary, ks array<int>").write.parquet(place)
+    rows = df.select(F.col(key).alias("id"), F.col(vector).alias("vector"), (F.col(k) if isinstance(k, str) else F.lit(k)).cast("int").alias("k"), (F.col(bound) if bound else F.lit(-2.0)).alias("bound")).where("vector IS NOT NULL")
+    rows.mapInPandas(packed, f"ids array<{kind}>, units binary, ks array<int>, bounds array<double>").write.parquet(place)
     return df.sparkSession.read.parquet(place)
 
 
@@ -109,29 +113,36 @@ def best_per_question(questions: DataFrame, base: DataFrame, key: str, k: int |
     memory is that of a few pairs of blocks. Of equal scores (to six digits) the smaller key goes first; a row or a
     question without a vector has no part in it.
     """
-    asked = unit_blocks(questions, "question_id", "asked", asked_rows, "asked", k).select(F.col("ids").alias("q_ids"), F.col("units").alias("q_units"), F.col("ks").alias("q_ks"))
-    pairs = unit_blocks(base, key, "embedding", held_rows, "held").drop("ks").crossJoin(asked)  # of blocks, never of rows
+    asked = unit_blocks(questions, "question_id", "asked", asked_rows, "asked", k).select(F.col("ids").alias("q_ids"), F.col("units").alias("q_units"), F.col("ks").alias("q_ks"), F.col("bounds").alias("q_bounds"))
+    pairs = unit_blocks(base, key, "embedding", held_rows, "held").drop("ks", "bounds").crossJoin(asked)  # of blocks, never of rows
 
     kinds = dict(base.dtypes) | dict(questions.dtypes)
     return best_of_pairs(pairs, kinds["question_id"], kinds[key]).withColumnRenamed("k", key)
 
 
 def best_of_pairs(pairs: DataFrame, question_kind: str, key_kind: str) -> DataFrame:
-    """(question_id, k, score, rank): each question's nearest rows, from pairs of blocks (ids, units, q_ids, q_units, q_ks)."""
+    """(question_id, k, score, rank): each question's nearest rows, from pairs of blocks (ids, units, q_ids, q_units, q_ks,
+    q_bounds). Rows that score less than a question's bound may be left out."""
 
     def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for ids, units, q_ids, q_units, q_ks in part.itertuples(index=False, name=None):
+            for ids, units, q_ids, q_units, q_ks, q_bounds in part.itertuples(index=False, name=None):
                 held, ask = (np.frombuffer(u).reshape(len(i), -1) for i, u in ((ids, units), (q_ids, q_units)))
-                scores, keys, ks = np.round(ask @ held.T, 6), np.asarray(ids), np.asarray(q_ks)
-                least = np.full(len(scores), -np.inf)
-                for n in np.unique(ks[(ks > 0) & (ks < len(keys))]):
-                    least[ks == n] = np.partition(scores[ks == n], -n, axis=1)[:, -n]
-                tops = [(at := np.flatnonzero(s >= low))[np.lexsort((keys[at], -s[at]))[:n]] for s, low, n in zip(scores, least, ks, strict=True)]
-                flat, each = np.concatenate(tops), np.repeat(np.arange(len(tops)), [len(t) for t in tops])
-                yield pd.DataFrame({"question_id": np.asarray(q_ids)[each], "asks": ks[each], "k": keys[flat], "score": scores[each, flat]})
-
-    found = pairs.select("ids", "units", "q_ids", "q_units", "q_ks").mapInPandas(best, f"question_id {question_kind}, asks int, k {key_kind}, score double")
+                scores, keys, ks = ask @ held.T, np.asarray(ids), np.asarray(q_ks)
+                open_ = scores >= np.asarray(q_bounds)[:, None] - SLACK
+                many = open_.sum(axis=1) > ks
+                for n in np.unique(ks[many & (ks > 0)]):
+                    of = np.flatnonzero(many & (ks == n))
+                    low = np.partition(np.where(open_[of], scores[of], -np.inf), -n, axis=1)[:, -n]
+                    open_[of] &= scores[of] >= low[:, None] - SLACK
+                row, at = np.nonzero(open_)
+                score = np.round(scores[row, at], 6)
+                order = np.lexsort((keys[at], -score, row))
+                row, at, score = row[order], at[order], score[order]
+                top = np.arange(len(row)) - np.searchsorted(row, row) < ks[row]  # place among the question's own
+                yield pd.DataFrame({"question_id": np.asarray(q_ids)[row[top]], "asks": ks[row[top]], "k": keys[at[top]], "score": score[top]})
+
+    found = pairs.select("ids", "units", "q_ids", "q_units", "q_ks", "q_bounds").mapInPandas(best, f"question_id {question_kind}, asks int, k {key_kind}, score double")
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "k")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("asks")).select("question_id", "k", "score", "rank")
 

@@ -9,7 +9,7 @@ and centre and the widest angle in the list, so the result is that of a search o
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,8 @@ from . import retrieval as V
 
 #: Lists at most; rows that train each centre; rows and questions of a block.
 MOST_LISTS, SAMPLE_A_LIST, BLOCK_ROWS, BLOCK_QUESTIONS = 16_384, 64, 4096, 1024
+#: Shelves of an index at least, and rows of a shelf where there are more; angles and bytes that are held at once.
+SHELVES, SHELF_ROWS, CELLS, FRAME_BYTES = 64, 16_384, 1_000_000, 16_000_000
 
 
 def _units(vectors) -> np.ndarray:
@@ -30,6 +32,21 @@ def _units(vectors) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
 
 
+def _slices(rows: int, lists: int) -> Iterator[slice]:
+    """Rows in slices whose angles to all centres are CELLS at most."""
+    size = max(1, CELLS // max(1, lists))
+    return (slice(at, at + size) for at in range(0, rows, size))
+
+
+def _nearest(units: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row, which centre is nearest, and its cosine."""
+    at, dots = np.zeros(len(units), np.int64), np.zeros(len(units))
+    for part in _slices(len(units), len(centres)):
+        near = units[part] @ centres.T
+        at[part], dots[part] = near.argmax(axis=1), near.max(axis=1)
+    return at, dots
+
+
 def train(base: DataFrame, key: str, lists: int, seed: int = 42) -> np.ndarray:
     """Unit vectors of the centres, from at most SAMPLE_A_LIST rows a list, drawn by a hash of the key."""
     n = base.count()
@@ -52,9 +69,8 @@ def build(base: DataFrame, key: str, path: str, lists: int | None = None) -> Non
         for part in parts:
             if len(part):
                 units = _units(part["embedding"])
-                near = units @ shared.value.T
-                at = near.argmax(axis=1)
-                yield pd.DataFrame({"list": at, "id": part["id"], "unit": [u.tobytes() for u in units], "angle": np.arccos(np.clip(near[np.arange(len(at)), at], -1, 1))})
+                at, dots = _nearest(units, shared.value)
+                yield pd.DataFrame({"list": at, "id": part["id"], "unit": [u.tobytes() for u in units], "angle": np.arccos(np.clip(dots, -1, 1))})
 
     place = scratch(spark, "placed")
     base.mapInPandas(placed, f"list int, id {kind}, unit binary, angle double").write.parquet(place)
@@ -92,66 +108,92 @@ def lists_of(spark: SparkSession, path: str, only: list[int] | None = None) -> D
     return lists if only is None else lists.where(F.col("list").isin(*only) if only else F.lit(False))
 
 
-def _search(spark: SparkSession, path: str, wanted: DataFrame, question_kind: str) -> DataFrame:
-    """wanted (question_id, asked, k, list): each question's nearest rows in the lists that it wants."""
-    place = scratch(spark, "wanted")
-    wanted.write.parquet(place)
-    wanted = spark.read.parquet(place)
-    probed = sorted(r["list"] for r in wanted.select("list").distinct().collect())  # MOST_LISTS at most
-    size = F.broadcast(wanted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUESTIONS).alias("parts")))
-    dealt = wanted.join(size, "list").groupBy("list", F.pmod(F.xxhash64("question_id"), "parts").alias("part")).agg(F.collect_list(F.struct("question_id", "asked", "k")).alias("q"))
+def _search(spark: SparkSession, path: str, asked: DataFrame, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray], names: np.ndarray, shelf_lists: int) -> DataFrame:
+    """asked (question_id, asked, k, near, least): each question's nearest rows in the lists that it wants.
+
+    wanted(units, least) says of each question and each list, in the order of names, whether it wants it. Lists stand on shelves
+    of `shelf_lists` each. A question's vector goes once to each shelf that holds a list it wants, and meets there what its block
+    wants of that shelf, which may be more than it wants itself.
+    """
+    kind = dict(asked.dtypes)["question_id"]
+    # Questions near the same centre want the same lists, so they share a block.
+    dealt = asked.repartitionByRange(max(1, math.ceil(asked.count() / BLOCK_QUESTIONS)), "near", "question_id").sortWithinPartitions("near")
+    packed = V.unit_blocks(dealt, "question_id", "asked", BLOCK_QUESTIONS, "asked", "k", "least")
+    shelves = names // shelf_lists
+    columns = ["shelf", "lists", "q_ids", "q_units", "q_ks", "q_bounds"]
+
+    def wants(units: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        return np.concatenate([wanted(units[part], bounds[part]) for part in _slices(len(units), len(names))])
 
-    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def probed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for of, q in zip(frame["list"], frame["q"], strict=True):
-                yield pd.DataFrame({"list": [of], "q_ids": [[x["question_id"] for x in q]], "q_units": [_units([x["asked"] for x in q]).tobytes()], "q_ks": [[x["k"] for x in q]]})
+            for units, bounds in zip(frame["units"], frame["bounds"], strict=True):
+                yield pd.DataFrame({"list": names[wants(np.frombuffer(units).reshape(len(bounds), -1), bounds).any(axis=0)]})
 
-    asked = dealt.select("list", "q").mapInPandas(packed, f"list int, q_ids array<{question_kind}>, q_units binary, q_ks array<int>")
-    held = lists_of(spark, path, probed)
-    # Blocks of a list meet. A question's vector goes to each of its lists, which packs well on disk, so the planner would take
-    # the whole for small and send it through the driver.
-    return V.best_of_pairs(held.join(asked.hint("merge"), "list"), question_kind, dict(held.dtypes)["ids"][6:-1])
+    def shelved(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, held = [], 0
+        for frame in frames:
+            for ids, units, ks, bounds in zip(frame["ids"], frame["units"], frame["ks"], frame["bounds"], strict=True):
+                rows = np.frombuffer(units).reshape(len(ids), -1)
+                open_ = wants(rows, bounds)
+                for shelf in np.unique(shelves[open_.any(axis=0)]):
+                    here = open_[:, shelves == shelf]
+                    at = np.flatnonzero(here.any(axis=1))
+                    out.append((shelf, names[shelves == shelf][here.any(axis=0)], ids[at], rows[at].tobytes(), ks[at], bounds[at]))
+                    held += rows[at].nbytes
+                    if held > FRAME_BYTES:  # a frame is bounded, however many lists are wanted
+                        yield pd.DataFrame(out, columns=columns)
+                        out, held = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+
+    asking = packed.select("ids", "units", "ks", "bounds").mapInPandas(shelved, f"shelf int, lists array<int>, q_ids array<{kind}>, q_units binary, q_ks array<int>, q_bounds array<double>")
+    held = lists_of(spark, path, sorted(r["list"] for r in packed.select("units", "bounds").mapInPandas(probed, "list int").distinct().collect()))  # MOST_LISTS at most
+    # A question's vector goes to many shelves, which packs well on disk, so the planner would take the whole for small and
+    # send it through the driver. Blocks of questions pass by the lists of their shelf, which are held.
+    meet = (F.col("shelf") == F.floor(F.col("list") / shelf_lists).cast("int")) & F.array_contains("lists", F.col("list"))
+    return V.best_of_pairs(asking.join(held.hint("merge"), meet), kind, dict(held.dtypes)["ids"][6:-1])
 
 
 def search(spark: SparkSession, path: str, questions: DataFrame, k: int | str, probes: int = 8, exact: bool = False) -> DataFrame:
     """(question_id, k, score, rank): the k nearest rows to each question (question_id, asked), from its `probes` nearest
     lists, or, if exact, from all rows. k may be a column of questions."""
     centres = spark.read.parquet(f"{path}/centres").orderBy("list").collect()  # MOST_LISTS rows at most
-    shared = spark.sparkContext.broadcast((np.array([r["list"] for r in centres]), np.array([r["centre"] for r in centres]), np.array([r["widest"] for r in centres])))
+    names = np.array([r["list"] for r in centres])
+    shared = spark.sparkContext.broadcast((np.array([r["centre"] for r in centres]), np.array([r["widest"] for r in centres])))
     kind = dict(questions.dtypes)["question_id"]
-    columns = f"question_id {kind}, asked array<double>, k int"
     asked = questions.select("question_id", F.col("asked").cast("array<double>").alias("asked"), (F.col(k) if isinstance(k, str) else F.lit(k)).cast("int").alias("k")).where("asked IS NOT NULL")
 
-    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, middle, _ = shared.value
+    def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                near = np.argsort(-(_units(frame["asked"]) @ middle.T), axis=1, kind="stable")[:, :probes]
-                yield frame.loc[frame.index.repeat(near.shape[1])].assign(list=names[near.ravel()])
+                yield frame.assign(near=_nearest(_units(frame["asked"]), shared.value[0])[0])
+
+    place = scratch(spark, "questions")
+    asked.mapInPandas(placed, f"question_id {kind}, asked array<double>, k int, near int").write.parquet(place)
+    asked = spark.read.parquet(place)
+
+    def nearest(units: np.ndarray, _: np.ndarray) -> np.ndarray:
+        near = np.argsort(-(units @ shared.value[0].T), axis=1, kind="stable")[:, :probes]
+        open_ = np.zeros((len(units), len(names)), bool)
+        np.put_along_axis(open_, near, True, axis=1)
+        return open_
 
-    first = _search(spark, path, asked.mapInPandas(nearest, columns + ", list int"), kind)
+    first = _search(spark, path, asked.withColumn("least", F.lit(-2.0)), nearest, names, 1)
     if not exact:
         return first
-    place = scratch(spark, "first")
-    first.write.parquet(place)
-    first = spark.read.parquet(place)
     # A question with fewer rows than it asks for has no bound yet.
-    found = first.groupBy("question_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-    bounded = asked.join(found.hint("merge"), "question_id", "left").select("question_id", "asked", "k", F.when(F.col("n") >= F.col("k"), F.col("least")).otherwise(-2.0).alias("least"))
-
-    def others(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, middle, widest = shared.value
-        for frame in frames:
-            if len(frame):
-                dots = np.clip(_units(frame["asked"]) @ middle.T, -1, 1)
-                done = np.argsort(-dots, axis=1, kind="stable")[:, :probes]
-                best = np.cos(np.maximum(0, np.arccos(dots) - widest))
-                open_ = best >= frame["least"].to_numpy()[:, None] - 1e-6  # scores have six digits
-                np.put_along_axis(open_, done, False, axis=1)
-                row, at = np.nonzero(open_)
-                yield frame.iloc[row][["question_id", "asked", "k"]].assign(list=names[at])
-
-    more = _search(spark, path, bounded.mapInPandas(others, columns + ", list int"), kind)
-    ranked = first.unionByName(more).join(asked.select("question_id", F.col("k").alias("asks")).hint("merge"), "question_id")
-    w = V.Window.partitionBy("question_id").orderBy(F.desc("score"), "k")
-    return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("asks")).select("question_id", "k", "score", "rank")
+    found = first.groupBy("question_id").agg(F.count("*").alias("n"), F.min("score").alias("bound"))
+    bounded = asked.join(found.hint("merge"), "question_id", "left").select(*asked.columns, F.when(F.col("n") >= F.col("k"), F.col("bound")).otherwise(-2.0).alias("least"))
+    place = scratch(spark, "bounded")
+    bounded.write.parquet(place)
+
+    def left(units: np.ndarray, least: np.ndarray) -> np.ndarray:
+        middle, widest = shared.value
+        best = np.cos(np.maximum(0, np.arccos(np.clip(units @ middle.T, -1, 1)) - widest))
+        return best >= least[:, None] - V.SLACK
+
+    # Whatever is among the best has the bound's score at least, so this finds the first search's rows again.
+    rows = sum(r["n"] for r in centres)
+    shelf_lists = max(1, math.ceil(len(names) / max(SHELVES, rows // SHELF_ROWS)))
+    return _search(spark, path, spark.read.parquet(place), left, names, shelf_lists)

@@ -1,5 +1,6 @@
 """Plans that must not depend on how small a table looks on disk."""
 
+import random
 import re
 import shutil
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cursus.operators import lessons as O
 from cursus.operators import models as M
+from cursus.operators import retrieval as V
 from cursus.operators import vector_index as I
 
 
@@ -65,3 +67,41 @@ def test_each_word_and_term_is_counted_once(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("filter(__g") <= 1
     assert [[round(x, 4) for x in r["v"]] for r in got.orderBy("id").collect()] == [[0.8165, 0.4082, 0.4082], [0.0, 0.0, 0.0]]
     assert [r["v"] for r in M.tfidf(df, "text", {}, "v").collect()] == [[], []]
+
+
+def test_a_search_writes_each_question_once(spark, tmp_path, monkeypatch):
+    """What a search by bounds writes grows with its questions, not with questions times the lists that they want."""
+    r = random.Random(7)
+    rows = [(i, [r.gauss(0, 1) for _ in range(24)]) for i in range(600)]  # without clusters nearly all lists are wanted
+    base, path = spark.createDataFrame(rows, "id long, embedding array<double>"), str(tmp_path / "index")
+    I.build(base, "id", path, 20)
+    places = []
+
+    def noted(scratch):
+        return lambda *a: places.append(scratch(*a)) or places[-1]
+
+    monkeypatch.setattr(I, "scratch", noted(I.scratch))
+    monkeypatch.setattr(V, "scratch", noted(V.scratch))
+    asked = base.where("id % 5 = 0").select(F.col("id").alias("question_id"), F.col("embedding").alias("asked"))
+    found = I.search(spark, path, asked, 4, probes=1, exact=True)
+    vectors = 0
+    for place in places:
+        table = spark.read.parquet(place)
+        vectors += sum(len(x["ids"]) for x in table.collect()) if "ids" in table.columns else table.count() if "asked" in table.columns else 0
+    assert 120 <= vectors <= 5 * 120
+    whole = V.best_per_question(asked, base, "id", 4)
+    assert {tuple(x) for x in found.collect()} == {tuple(x) for x in whole.select("question_id", "id", "score", "rank").collect()}
+
+
+def test_frames_of_a_search_are_bounded(spark, tmp_path, monkeypatch):
+    """Slices, frames and shelves of the least size give the same rows, also where many rows are copies."""
+    r = random.Random(8)
+    rows = [(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(150)]
+    rows += [(150 + i, rows[i % 3][1]) for i in range(150)]
+    base, path = spark.createDataFrame(rows, "id long, embedding array<double>"), str(tmp_path / "index")
+    asked = base.where("id % 7 = 0").select(F.col("id").alias("question_id"), F.col("embedding").alias("asked"))
+    whole = {tuple(x) for x in V.best_per_question(asked, base, "id", 5).collect()}
+    for name, value in {"CELLS": 1, "FRAME_BYTES": 1, "SHELVES": 2, "BLOCK_QUESTIONS": 4, "BLOCK_ROWS": 16}.items():
+        monkeypatch.setattr(I, name, value)
+    I.build(base, "id", path, 12)
+    assert {tuple(x) for x in I.search(spark, path, asked, 5, probes=1, exact=True).select("question_id", "k", "score", "rank").collect()} == {(q, i, s, n) for q, i, s, n in whole}
